@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokoro.llm import binary_records, byte_bpe, packing, quality, token_counts, toxicity
+from tokoro.llm import binary_records, byte_bpe, minhash, packing, quality, token_counts, toxicity
 from tokoro.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -38,7 +42,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_binary_records, op3_token_counts, op5_toxicity, op7_quality, op8_packing, op10_byte_bpe)
+        for f in (op2_binary_records, op3_token_counts, op5_toxicity, op7_quality, op8_packing, op9_minhash, op10_byte_bpe)
     }
 
 
