@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokoro.llm import binary_records, byte_bpe, hilbert_shards, impact_search, minhash, packing, quality, token_counts, toxicity
+from tokoro.llm import binary_records, byte_bpe, hilbert_shards, impact_search, minhash, packing, progressive_jpeg, quality, token_counts, toxicity
 from tokoro.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,11 +51,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four stages of corpus_pipeline.py, each written and read again."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_impact_search, op2_binary_records, op3_token_counts, op4_hilbert_shards, op5_toxicity, op7_quality, op8_packing, op9_minhash, op10_byte_bpe)
-    }
+    operators = (op1_impact_search, op2_binary_records, op3_token_counts, op4_hilbert_shards, op5_toxicity, op6_progressive_jpeg, op7_quality, op8_packing, op9_minhash, op10_byte_bpe)
+    return {f.__name__: f for f in (*operators, pipeline)}
 
 
 OP1_SQL = """
