@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
@@ -37,7 +37,7 @@ MASK_DELTA = 0xA282EAD8
 #: A file is closed and the next one begun beyond so many bytes.
 FILE_BYTES = 128 << 20
 MANIFEST = "part int, file int, path string, first_doc long, records long, tokens long, bytes long"
-READ = "doc_id long, local_start long, n_tokens long, ids_crc32 long, part int, file int"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -125,7 +125,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, at: str, wide: b
 
 
 def read_records(manifest: DataFrame, at: str, wide: bool = False) -> DataFrame:
-    """Per record of the manifest's files: doc_id, the ids before it in its file, number
+    """Per record of the manifest's files: doc_id, the ids of all records before it, number
     of ids and their checksum. Files are read as streams, every checksum is tested."""
 
     def read(batches):
@@ -133,10 +133,10 @@ def read_records(manifest: DataFrame, at: str, wide: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_stream(row["path"]) as stream:
-                    out, start = [], 0
+                    out, start = [], row["base"]
                     for data in unframe(stream):
                         doc_id, ids = parse(data, wide)
-                        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), row["part"], row["file"]))
+                        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
                         if len(out) == 4096:
                             yield _batch(out)
@@ -144,13 +144,14 @@ def read_records(manifest: DataFrame, at: str, wide: bool = False) -> DataFrame:
                     if out:
                         yield _batch(out)
 
-    files = manifest.select("part", "file", "path").repartition("part", "file")
-    return files.mapInArrow(read, READ)
+    # One row a file: a running sum over so few rows needs no dealing out.
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("part", "file", "path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    return files.repartition("part", "file").mapInArrow(read, READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
 
 def read_one(at: str, path: str, n: int, wide: bool = False) -> tuple[int, np.ndarray]:
@@ -166,11 +167,4 @@ def read_one(at: str, path: str, n: int, wide: bool = False) -> tuple[int, np.nd
 def tokenise_to_files(docs: DataFrame, tokenizer: str, end_id: int = 2, at: str | None = None) -> DataFrame:
     """Write the files and read them back: doc_id, start, n_tokens, ids_crc32."""
     at = at or shared_dir(docs.sparkSession)
-    manifest = write_records(docs, tokenizer, end_id, at)
-    from pyspark.sql import Window
-
-    # One row a file: a running sum over so few rows needs no dealing out.
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("part", "file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    records = read_records(manifest, at)
-    return records.join(offsets, ["part", "file"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return read_records(write_records(docs, tokenizer, end_id, at), at)
