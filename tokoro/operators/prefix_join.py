@@ -48,11 +48,7 @@ def longest_prefix(texts: DataFrame, keys: DataFrame, value: str, lengths: tuple
 
 
 def extension_join(stems: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``stems`` (with a column stem) with the keys that begin with the stem.
-
-    Keys are cut to the lengths that stems have, a handful, and joined by equality.
-    """
-    lengths = stems.where("stem <> ''").select(F.length("stem").alias("len")).distinct()
-    few = lengths.agg(F.sort_array(F.collect_set("len")).alias("lens"))  # as many as a text has characters, at most
-    cut = keys.join(F.broadcast(few)).select("*", F.explode("lens").alias("_len")).where(F.length("key") >= F.col("_len"))
-    return cut.withColumn("stem", F.substring("key", F.lit(1), F.col("_len"))).drop("_len", "lens").join(stems, "stem")
+    """Rows of ``stems`` (with a column stem) with the keys that begin with the stem: each
+    key's prefixes are rows, joined by equality."""
+    cut = keys.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))).alias("_len"))
+    return cut.withColumn("stem", F.substring("key", F.lit(1), F.col("_len"))).drop("_len").join(stems.where("stem <> ''"), "stem")

@@ -42,7 +42,7 @@ def _read(spark, sf_dir, name) -> DataFrame:
 
 
 # ---- keys as SQL: variants of a town's names, multiplied out
-_PREFS = "list_distinct(['', pref, regexp_replace(pref, '[都道府県]$', '')])"
+_PREFS = "['', pref, regexp_replace(pref, '[都道府県]$', '')]"
 _CORES = "list_distinct([county || city || ward, city || ward])"
 _SO = "CASE WHEN oaza_cho LIKE '大字_%' THEN substring(oaza_cho, 3) WHEN oaza_cho LIKE '字_%' THEN substring(oaza_cho, 2) ELSE oaza_cho END"
 _SK = "CASE WHEN koaza LIKE '字_%' THEN substring(koaza, 2) ELSE koaza END"
@@ -52,7 +52,7 @@ _KANJI = """CASE WHEN n BETWEEN 1 AND 999 THEN
   || (CASE WHEN n % 10 = 0 THEN '' ELSE substring('一二三四五六七八九', n % 10, 1) END) ELSE '' END"""
 _CHOMES = f"""CASE WHEN chome = '' THEN [''] WHEN chome_number = '' THEN [chome] ELSE
   (SELECT list(v ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest([chome, chome_number || '丁目', chome_number,
-    (SELECT {_KANJI} || '丁目' FROM (SELECT CAST(chome_number AS INT) AS n))]) AS v, unnest([0, 1, 2, 3]) AS i) GROUP BY v)) END"""
+    (SELECT {_KANJI} || '丁目' FROM (SELECT TRY_CAST(chome_number AS INT) AS n))]) AS v, unnest([0, 1, 2, 3]) AS i) GROUP BY v)) END"""
 _KEYS = f"""town_key AS (
   SELECT DISTINCT p || c || s.o || h || s.k AS key, row_id FROM (SELECT row_id, {_PREFS} AS ps, {_CORES} AS cs, chs,
     [{{'o': oaza_cho, 'k': koaza}}, {{'o': {_SO}, 'k': {_SK}}}] AS ss FROM (SELECT *, {_CHOMES} AS chs FROM g_town)),
@@ -183,7 +183,7 @@ def fn19_ids(spark, sf_dir):
     return _g(spark, sf_dir)["g_number"].select("machiaza_id", "kind", "num1", "num2", "num3", *(c.alias(n) for c, n in zip(ids, ("blk_id", "rsdt_id", "rsdt2_id", "prc_id"), strict=True)))
 
 
-@query("SELECT n_nationkey, (11 - list_sum(list_transform([[1, 6], [2, 5], [3, 4], [4, 3], [5, 2]], lambda x: CAST(substring(j, x[1], 1) AS INT) * x[2])) % 11) % 10 AS digit FROM (SELECT n_nationkey, CAST((n_regionkey + 11) * 1000 + n_nationkey AS VARCHAR) AS j FROM nation)")
+@query("SELECT n_nationkey, CAST((11 - list_sum(list_transform([[1, 6], [2, 5], [3, 4], [4, 3], [5, 2]], lambda x: CAST(substring(j, x[1], 1) AS INT) * x[2])) % 11) % 10 AS BIGINT) AS digit FROM (SELECT n_nationkey, CAST((n_regionkey + 11) * 1000 + n_nationkey AS VARCHAR) AS j FROM nation)")
 def fn21_check_digit(spark, sf_dir):
     code = ((F.col("n_regionkey") + 11) * 1000 + F.col("n_nationkey")).cast("string")
     return _read(spark, sf_dir, "nation").select("n_nationkey", geo.check_digit(code).cast("bigint").alias("digit"))
@@ -193,7 +193,7 @@ def fn21_check_digit(spark, sf_dir):
 FROM (SELECT c_custkey, 30 + c_nationkey / 3.0 AS a, 31 + c_custkey % 17 / 7.0 AS b, 130 + c_nationkey / 5.0 AS c, 131 + c_custkey % 13 / 9.0 AS d FROM customer)""")
 def fn22_haversine(spark, sf_dir):
     c, n = F.col("c_custkey"), F.col("c_nationkey")
-    return _read(spark, sf_dir, "customer").select("c_custkey", F.round(geo.haversine_m(30 + n / 3.0, 31 + c % 17 / 7.0, 130 + n / 5.0, 131 + c % 13 / 9.0), 3).alias("metres"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", F.round(geo.haversine_m(30 + n / 3.0, 130 + n / 5.0, 31 + c % 17 / 7.0, 131 + c % 13 / 9.0), 3).alias("metres"))
 
 
 @query(f"{WITH} SELECT row_id, CAST(2 * length(oaza_cho || chome || koaza) + 18 AS BIGINT) AS tokens FROM g_town")
@@ -270,11 +270,11 @@ EXTRA = """SELECT CAST(row_id AS BIGINT) AS ord, pref, CASE WHEN row_id % 10 = 9
 
 @query(f"""{WITH}, {_FOLDED}, extra AS ({EXTRA.format(g_town='g_town')}),
 town0 AS (SELECT f.*, row_number() OVER (ORDER BY f.ord) - 1 AS row_id, r.pref, r.county, r.city, r.ward, r.oaza_cho, r.chome, r.koaza FROM folded f JOIN raw r ON r.ord = f.ord),
-place AS (SELECT pref || county || city || ward || regexp_replace(oaza_cho, '^(大字|字)', '') || {_FOLD.format('chome')} || regexp_replace(koaza, '^(大字|字)', '') AS at, min(row_id) AS row_id FROM town0 GROUP BY 1),
-cty AS (SELECT DISTINCT pref || county || city || ward AS at FROM town0),
-e AS (SELECT extra.*, pref || extra.city || town AS at FROM extra WHERE pref || extra.city IN (SELECT at FROM cty)),
-fresh AS (SELECT at, min(ord) AS ord, min_by(lat, ord) AS lat FROM e WHERE at NOT IN (SELECT at FROM place) GROUP BY at)
-SELECT CAST(row_id AS INT) AS row_id, 'registry' AS source, coalesce(t.lat, (SELECT min_by(e.lat, e.ord) FROM e JOIN place USING (at) WHERE place.row_id = t.row_id)) AS lat FROM town0 t
+place AS (SELECT pref || county || city || ward || regexp_replace(oaza_cho, '^(大字|字)', '') || {_FOLD.format('chome')} || regexp_replace(koaza, '^(大字|字)', '') AS spot, min(row_id) AS row_id FROM town0 GROUP BY 1),
+cty AS (SELECT DISTINCT pref || county || city || ward AS spot FROM town0),
+e AS (SELECT extra.*, pref || extra.city || town AS spot FROM extra WHERE pref || extra.city IN (SELECT spot FROM cty)),
+fresh AS (SELECT spot, min(ord) AS ord, min_by(lat, ord) AS lat FROM e WHERE spot NOT IN (SELECT spot FROM place) GROUP BY spot)
+SELECT CAST(row_id AS INT) AS row_id, 'registry' AS source, coalesce(t.lat, (SELECT min_by(e.lat, e.ord) FROM e JOIN place USING (spot) WHERE place.row_id = t.row_id)) AS lat FROM town0 t
 UNION ALL SELECT CAST((SELECT count(*) FROM town0) + row_number() OVER (ORDER BY ord) - 1 AS INT), 'supplement', lat FROM fresh""")
 def bd6_supplement(spark, sf_dir):
     extra = spark.sql(EXTRA, g_town=_g(spark, sf_dir)["g_town"])
