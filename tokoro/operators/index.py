@@ -35,7 +35,6 @@ class Index:
         if self.lengths is None:
             self.lengths = key_lengths(self.all_keys)
         self.all_keys = bounded(self.all_keys)
-        self.cities, self.prefs = bounded(self.cities), bounded(self.prefs)
 
     @classmethod
     def of_towns(cls, towns: DataFrame, cities: DataFrame, prefs: DataFrame, numbers: DataFrame, norm=normalize) -> Index:

@@ -1,8 +1,9 @@
 """Queries to results: forward match, what is left step by step, numbers, assembly.
 
-Without a model everything is one lazy plan. The forward step is a single hash aggregation
+The forward step is a single hash aggregation
 over the prefix join; only texts without any hit go on to the extension and city-wide
-steps, and only confident towns to the number join.
+steps, and only confident towns to the number join. States that several steps read are
+written once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tokoro.operators.banchi import chosen_groups, with_entries
 from tokoro.operators.candidates import boundary, city_wide, extensions, forward, unambiguous
 from tokoro.operators.index import Index
 from tokoro.schema import PREF
+from tokoro.storage import stored
 
 TOWN_COLUMNS = ["row_id", "lg_code", "machiaza_id", "pref", "county", "city", "ward", "oaza_cho", "chome", "koaza", "rsdt_addr_flg", "lat", "lon", "source", "alt_machiaza"]
 
@@ -32,11 +34,16 @@ def states(queries: DataFrame, index: Index, norm=normalize) -> DataFrame:
     return forward(texts, index).withColumn("ends_at", boundary())
 
 
+def leftover(state: DataFrame) -> DataFrame:
+    """Texts that no forward key and no boundary settled."""
+    return state.where("not had_hit and ends_at is null and norm <> ''")
+
+
 def leftover_heads(state: DataFrame, index: Index, cfg: Config) -> DataFrame:
     """(qid, h_row, h_n, h_step): the first candidate of texts without a forward hit; a
     city-wide step that would need narrowing has no head."""
-    left = state.where("not had_hit and ends_at is null and norm <> ''").select("qid", "norm", "city_n")
-    ext = extensions(left, index, 1).select("qid", F.col("row_id").alias("h_row"), F.col("n").alias("h_n"), F.lit("extension").alias("h_step"))
+    left = leftover(state).select("qid", "norm", "city_n")
+    ext = stored(extensions(left, index, 1)).select("qid", F.col("row_id").alias("h_row"), F.col("n").alias("h_n"), F.lit("extension").alias("h_step"))
     wide, towns = city_wide(left.join(ext, "qid", "left_anti"), index, cfg)
     firsts = towns.where("rank = 1").select("key", F.col("row_id").alias("h_row"))
     rest = wide.join(firsts, "key").select("qid", F.when(~F.col("needs_narrowing"), F.col("h_row")).alias("h_row"), F.col("n").alias("h_n"), F.lit("city").alias("h_step"))
@@ -81,7 +88,7 @@ def with_numbers(state: DataFrame, index: Index, cfg: Config) -> DataFrame:
 
 def resolved_states(queries: DataFrame, index: Index, cfg: Config, norm=normalize) -> DataFrame:
     """States up to the number decision, without a model."""
-    state = states(queries, index, norm)
+    state = stored(states(queries, index, norm))
     state = with_codes(state.join(leftover_heads(state, index, cfg), "qid", "left"))
     sure = unambiguous() & F.lit(not cfg.always_ask)
     row = F.when(F.col("had_hit"), F.col("first_row")).otherwise(F.col("h_row"))

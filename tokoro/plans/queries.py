@@ -17,6 +17,7 @@ from tokoro.operators.prefix_join import extension_join, longest_prefix, prefix_
 from tokoro.plans import synthetic
 from tokoro.plans.geocode import geocode, resolved_states, states
 from tokoro.plans.synthetic import WITH
+from tokoro.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,8 +83,8 @@ ext_best AS (SELECT qid, row_id, n, row_number() OVER (PARTITION BY qid ORDER BY
   SELECT qid, row_id, n, key, length(key) AS len, row_number() OVER (PARTITION BY qid, row_id ORDER BY length(key), key) AS k FROM ext SEMI JOIN ext_first USING (qid, stem_no)) WHERE k = 1)"""
 _WIDE = f"""{_EXT}, rest AS (SELECT * FROM remaining WHERE qid NOT IN (SELECT qid FROM ext_best) AND city_n IS NOT NULL),
 wide AS (SELECT DISTINCT qid, row_id FROM rest JOIN town_key ON starts_with(key, left(norm, city_n))),
-wide_n AS (SELECT qid, count(*) AS cnt, min(row_id) AS first_row FROM wide GROUP BY qid HAVING count(*) <= 20000),
-wide_state AS (SELECT qid, cnt, first_row, city_n + length(regexp_extract(substring(norm, city_n + 1), '^(\\D*)', 1)) AS n FROM rest JOIN wide_n USING (qid))"""
+wide_n AS (SELECT qid, count(*) AS cnt, min(row_id) AS wide_first FROM wide GROUP BY qid HAVING count(*) <= 20000),
+wide_state AS (SELECT qid, cnt, wide_first, city_n + length(regexp_extract(substring(norm, city_n + 1), '^(\\D*)', 1)) AS n FROM rest JOIN wide_n USING (qid))"""
 
 
 # ---- scalar functions
@@ -336,7 +337,7 @@ def jn9_position_fallback(spark, sf_dir):
 def _state(spark, sf_dir):
     g = _g(spark, sf_dir)
     index = synthetic.index(g)
-    return index, states(g["g_query"], index)
+    return index, stored(states(g["g_query"], index))
 
 
 @query(f"{BASE} SELECT qid, row_id, CAST(n AS INT) AS n, CAST(row_number() OVER (PARTITION BY qid ORDER BY n DESC, row_id) AS INT) AS rank FROM (SELECT qid, row_id, max(n) AS n FROM hit WHERE NOT splits GROUP BY 1, 2)")
@@ -357,11 +358,11 @@ def cg3_extensions(spark, sf_dir):
     return candidates.extensions(left, index, Config().max_candidates).select("qid", "row_id", "n", "rank")
 
 
-@query(f"{BASE}, {_WIDE} SELECT qid, CAST(n AS INT) AS n, cnt AS towns, first_row, cnt > 254 AS needs_narrowing FROM wide_state")
+@query(f"{BASE}, {_WIDE} SELECT qid, CAST(n AS INT) AS n, cnt AS towns, wide_first AS first_row, cnt > 254 AS needs_narrowing FROM wide_state")
 def cg4_city_wide(spark, sf_dir):
     index, state = _state(spark, sf_dir)
     left = state.where("not had_hit and ends_at is null and norm <> ''")
-    ext = candidates.extensions(left, index, 1)
+    ext = stored(candidates.extensions(left, index, 1))
     wide, towns = candidates.city_wide(left.join(ext, "qid", "left_anti"), index, Config())
     return wide.join(towns.where("rank = 1"), "key").select("qid", "n", F.col("count").alias("towns"), F.col("row_id").alias("first_row"), "needs_narrowing")
 
@@ -370,7 +371,7 @@ def cg4_city_wide(spark, sf_dir):
 def cg5_coarse(spark, sf_dir):
     index, state = _state(spark, sf_dir)
     left = state.where("not had_hit and ends_at is null and norm <> ''")
-    rest = left.join(candidates.extensions(left, index, 1), "qid", "left_anti")
+    rest = left.join(stored(candidates.extensions(left, index, 1)), "qid", "left_anti")
     wide, _ = candidates.city_wide(rest, index, Config())
     return rest.join(wide, "qid", "left_anti").select("qid", "city_lg", "pref_lg")
 
@@ -439,7 +440,7 @@ def nb5_exact(spark, sf_dir):
 # ---- end to end
 
 _GEO = f"""{BASE}, {_WIDE},
-head AS (SELECT qid, row_id, n FROM ext_best WHERE rank = 1 UNION ALL SELECT qid, CASE WHEN cnt <= 254 THEN first_row END, n FROM wide_state),
+head AS (SELECT qid, row_id, n FROM ext_best WHERE rank = 1 UNION ALL SELECT qid, CASE WHEN cnt <= 254 THEN wide_first END, n FROM wide_state),
 pick0 AS (SELECT e.*, CASE WHEN had_hit THEN first_row ELSE h.row_id END AS town_row, CASE WHEN had_hit THEN e.n ELSE h.n END AS town_n, coalesce(had_hit AND first_row = last_row, FALSE) AS sure, h.qid IS NOT NULL AS stepped
   FROM ended e LEFT JOIN head h ON h.qid = e.qid),
 towned AS (SELECT p.*, t.row_id, t.lg_code AS t_lg, t.machiaza_id, t.pref AS t_pref, t.county AS t_county, t.city AS t_city, t.ward AS t_ward, oaza_cho || chome || koaza AS t_name, rsdt_addr_flg, t.lat AS t_lat, t.source,
@@ -494,7 +495,7 @@ def ag8_stop_reasons(spark, sf_dir):
     return stop_reasons(geocode(g["g_query"], synthetic.index(g))).select("note_code", "queries")
 
 
-@query(f"""{_GEO} SELECT threshold, count(*) AS queries, count(*) FILTER (WHERE row_id IS NOT NULL AND (sure OR threshold <= 0 AND FALSE)) AS towns FROM coarse, (SELECT unnest([0.0, 0.3, 0.7, 0.95]) AS threshold) GROUP BY 1""")
+@query(f"""{_GEO} SELECT threshold, count(*) AS queries, count(*) FILTER (WHERE row_id IS NOT NULL AND sure) AS towns FROM coarse, (SELECT CAST(unnest([0.0, 0.3, 0.7, 0.95]) AS DOUBLE) AS threshold) GROUP BY 1""")
 def as_gate_sweep(spark, sf_dir):
     from tokoro.plans.evaluate import threshold_sweep
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tokoro.operators.index import Index
+from tokoro.storage import stored
 
 PREF = """
 SELECT CAST((r_regionkey + 11) * 10000 AS INT) AS lg_code, replace(r_name, ' ', '') || '県' AS pref,
@@ -86,8 +87,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def index(g: dict[str, DataFrame]) -> Index:
     from pyspark.sql import functions as F
 
-    towns = g["g_town"].withColumn("alt_machiaza", F.when(F.col("row_id") % 9 == 0, F.array(F.col("machiaza_id") + 25)))
-    return Index.of_towns(towns, g["g_city"].drop("nation"), g["g_pref"], g["g_number"])
+    towns = stored(g["g_town"]).withColumn("alt_machiaza", F.when(F.col("row_id") % 9 == 0, F.array(F.col("machiaza_id") + 25)))
+    made = Index.of_towns(towns, g["g_city"].drop("nation"), g["g_pref"], g["g_number"])
+    return Index(towns, stored(made.keys), made.cities, made.prefs, made.numbers, made.city_keys, made.pref_keys, made.lengths)
 
 
 #: The same tables for DuckDB, as common table expressions.
