@@ -14,7 +14,7 @@
    needs a whole band. Pairs inside a component can't change the result and are skipped.
 
 A pair at the threshold shares no band once in a million pairs (1 - (1 - .85^5)^25), and the
-margin is five standard deviations of the estimate. Components come from alternating star
+margin is over five standard deviations of the estimate. Components come from alternating star
 contraction over written tables; no links or components reach the driver.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer
@@ -26,6 +26,8 @@ rows; other columns are ignored (``keep`` returns them).
 from __future__ import annotations
 
 import functools
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,11 @@ from pyspark.sql import functions as F
 
 from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
 
-WORDS, BANDS, ROWS, LANES, BITS, SEED = 5, 25, 5, 1024, 4, 20240229
-PER_CENT, MARGIN, BLOCK = 85, 0.06, 2048
+WORDS, BANDS, ROWS, LANES, BITS, SEED = 5, 25, 5, 2048, 4, 20240229
+PER_CENT, MARGIN, BLOCK = 85, 0.045, 2048
+#: Bits of the map of member ids that the second scan is given (16 MB), and the members up
+#: to which it is used; beyond them texts are joined with ids instead.
+MAP_BITS, MAP_MEMBERS = 1 << 27, 1 << 24
 SET = "doc_id long, n_shingles long, digest binary, bands array<long>"
 MEMBER = "rep long, n long, sig binary, shingles binary"
 
@@ -133,7 +138,22 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(id_and_text(docs), run, SET)
 
 
+def id_map(reps: DataFrame) -> np.ndarray | None:
+    """A bit map of hashed ids; None if there are too many for it to tell much."""
+    if reps.count() > MAP_MEMBERS:
+        return None
+    at = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
+    words = reps.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(MAP_BITS // 64, "i8")
+    for r in words.toLocalIterator():  # at most MAP_BITS / 64 words
+        out[r["word"]] = r["bits"]
+    return out
+
+
 def member_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The sets and signatures of some documents. With the bit map, texts aren't shuffled;
+    the few other documents it lets through are never asked for."""
+
     def run(batches):
         for batch in batches:
             n, sigs, sets = [], [], []
@@ -144,7 +164,33 @@ def member_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "n", "sig", "shingles"])
 
-    return map_arrow(id_and_text(docs).join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), run, MEMBER)
+    texts, known = id_and_text(docs), id_map(reps)
+    if known is None:
+        return map_arrow(texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), run, MEMBER)
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(known.tobytes(), 1))
+    name = uuid.uuid4().hex
+    hashed = texts.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("at"))
+
+    def chosen(batches):
+        bits = _worker_map(name, shared)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            kept = batch.filter(pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool)))
+            if kept.num_rows:
+                yield kept
+
+    return map_arrow(hashed, lambda batches: run(chosen(batches)), MEMBER)
+
+
+_MAPS: dict[str, np.ndarray] = {}
+
+
+def _worker_map(name: str, shared) -> np.ndarray:
+    """The worker's copy of a broadcast bit map."""
+    if name not in _MAPS:
+        _MAPS.clear()
+        _MAPS[name] = np.frombuffer(zlib.decompress(shared.value), "i8")
+    return _MAPS[name]
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
@@ -274,7 +320,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None =
     bands = usable.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).where("pivot != last").drop("last")
     buckets = written(bands.join(shared, "key"), f"{at}/buckets")  # key, rep, pivot, size
-    members = written(member_sets(docs, buckets.select("rep").distinct()), f"{at}/members")
+    members = written(member_sets(docs, written(buckets.select("rep").distinct(), f"{at}/reps")), f"{at}/members")
 
     stars = buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = written(confirmed(stars, members, per_cent), f"{at}/stars")
