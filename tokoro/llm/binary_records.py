@@ -4,7 +4,7 @@ File format. A file is a row of frames: length (unsigned 64-bit), masked checksu
 those 8 bytes, payload, masked checksum of the payload; numbers are little-endian, a
 checksum is CRC-32 rotated right by 15 bits plus 0xa282ead8 (a fixed value of this
 format), so that data holding checksums of its own stays checkable. A payload is a
-document's id (signed 64-bit), its number of tokens (unsigned 32-bit) and its ids,
+byte that says whether there is an id, the id (signed 64-bit), the document's number of tokens (unsigned 32-bit) and its ids,
 unsigned 16- or 32-bit as the vocabulary needs, deflated at level 1. Beside each file lies
 ``<file>.idx``: per record doc_id, byte offset in the file, and ids of the file's records
 before it, so that records can be read in any order.
@@ -15,7 +15,7 @@ one) and its manifest row is what makes a file count: a file left by a lost atte
 never read. The manifest is written once to the shared folder.
 
 Defined results: null text is empty (the end id alone); rows with equal doc_ids are kept,
-each a record; an empty table writes no file and gives no rows; other columns are ignored.
+each a record; a row without id comes first; an empty table writes no file and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,16 +62,16 @@ def unframe(stream) -> Iterator[bytes]:
         yield body[:n]
 
 
-def payload(doc_id: int, ids: np.ndarray, wide: bool) -> bytes:
-    return struct.pack("<qI", doc_id, len(ids)) + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+def payload(doc_id: int | None, ids: np.ndarray, wide: bool) -> bytes:
+    return struct.pack("<?qI", doc_id is not None, doc_id or 0, len(ids)) + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
 
 
-def parse(data: bytes, wide: bool) -> tuple[int, np.ndarray]:
-    doc_id, n = struct.unpack_from("<qI", data)
-    ids = np.frombuffer(zlib.decompress(data[12:]), "<u4" if wide else "<u2").astype("<u4")
+def parse(data: bytes, wide: bool) -> tuple[int | None, np.ndarray]:
+    known, doc_id, n = struct.unpack_from("<?qI", data)
+    ids = np.frombuffer(zlib.decompress(data[13:]), "<u4" if wide else "<u2").astype("<u4")
     if len(ids) != n:
         raise ValueError("damaged record")
-    return doc_id, ids
+    return doc_id if known else None, ids
 
 
 def filesystem(uri: str):
@@ -107,7 +107,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, at: str, wide: b
                     out, marks, number = store.open_output_stream(path), [], number + 1
                 ids = np.append(np.frombuffer(coder.ids(text), "<u4"), np.uint32(end_id))
                 data, row = frame(payload(doc_id, ids, wide)), rows[-1]
-                marks.append((doc_id, row[6], row[5]))
+                marks.append((doc_id or 0, row[6], row[5]))
                 out.write(data)
                 row[4:] = row[4] + 1, row[5] + len(ids), row[6] + len(data)
                 if row[6] >= FILE_BYTES:
