@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from tokoro.llm.common import WorkerCache, id_and_text, map_arrow, small_batches
 from tokoro.llm.labelled import class_counts, held_out, sample
 
-WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 24, 8, 6, 1500
+WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 24, 8, 6, 1000
 #: Characters at a word's ends that aren't part of it.
 EDGE = " .,;:!?\"'()[]{}<>|#$%&*^~`-_=+/\\"
 EPOCHS, STEPS, RATE, BATCH, SEED = 12, 240, 0.02, 256, 11
-#: Lengths of character n-grams.
-SIZES = (4, 6)
+#: Length of character n-grams, and of beginnings (with the mark).
+GRAM, BEGINNINGS = 4, (5, 6, 7)
 WORD_ROWS, GRAM_ROWS = 3, 6  # documents that a word or n-gram must be in to get an embedding
 VOCABULARY = 20_000
 #: A word's first n-grams have embeddings in training; odds and scores use all.
@@ -52,9 +52,9 @@ def clean(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Character n-grams, the word's start and end marked."""
+    """Character n-grams, the word's start and end marked, and longer beginnings."""
     w = f"^{word}$"
-    return [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)]
+    return [w[i : i + GRAM] for i in range(len(w) - GRAM + 1)] + [w[:n] for n in BEGINNINGS if n < len(w)]
 
 
 class Inputs:
@@ -82,15 +82,14 @@ class Inputs:
         """For each word its embedding's row and four odds; the n-grams' embedding rows of
         all, flat, with the word that each belongs to."""
         word = np.array([self.words.get(w, 0) for w in words], "i8")
-        known, flat, owner = self.grams.get, [], []
-        for k, w in enumerate(words):
+        known, found, n = self.grams.get, array("i"), array("i")
+        for w in words:
             own = [i for g in grams(w) if (i := known(g))] or [0]
-            flat += own
-            owner += [k] * len(own)
-        flat, owner = np.array(flat, "i8"), np.array(owner, "i8")
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            found.extend(own)
+            n.append(len(own))
+        flat, n = np.frombuffer(found, "i4"), np.frombuffer(n, "i4")
+        owner, starts = np.repeat(np.arange(len(words), dtype="i4"), n), np.r_[0, np.cumsum(n)[:-1]]
         odds = self.gram_odds[views[owner], flat]
-        n = np.diff(np.r_[starts, len(flat)])
         four = np.stack([self.word_odds[views, word], np.maximum.reduceat(odds, starts), np.minimum.reduceat(odds, starts), np.add.reduceat(odds, starts) / n], axis=1)
         return np.where(word <= self.n_words, word, 0), four, np.where(flat <= self.n_grams, flat, 0), owner, starts, n
 
@@ -286,18 +285,17 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
     rng = np.random.default_rng(SEED)
     docs = [([clean(w) for w in t.split()], y) for t, y in rows]
     docs.append(([], 0))  # no words: no sign of toxicity
-    counts, gram_counts = {}, {}
-    known: dict[str, list[str]] = {}
+    counts: dict[str, tuple[int, int]] = {}
+    gram_counts: dict[str, tuple[int, int]] = {}
+    pairs: dict[tuple[int, int], tuple[int, int]] = {}  # one object for each pair of counts
     for own, y in docs:
         distinct = set(own)
-        seen = set()
-        for w in distinct:
-            if w not in known:
-                known[w] = grams(w)
-            seen.update(known[w])
+        seen = {g for w in distinct for g in grams(w)}
         for which, keys in ((counts, distinct), (gram_counts, seen)):
             for k in keys:
-                which.setdefault(k, [0, 0])[y] += 1
+                zero, one = which.get(k, (0, 0))
+                pair = (zero + 1, one) if y == 0 else (zero, one + 1)
+                which[k] = pairs.setdefault(pair, pair)
     inputs = Inputs(counts, gram_counts, (sum(y == 0 for _, y in docs), sum(y == 1 for _, y in docs)))
     net = Network(4 + 2 * EMBED, inputs.n_words, inputs.n_grams, rng)
     net.p["word"][1:] = 0.1 * rng.normal(size=net.p["word"][1:].shape)
@@ -310,12 +308,13 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
             key.setdefault((w, y) if w else ("", 0), len(key))
     word_row, odds, flat, flat_owner, starts, gram_n = inputs.parts([w for w, _ in key], np.array([y + 1 for _, y in key], "i8"))
     word_row[0], odds[0] = 0, 0
-    docs = [(np.array([key[w, y] if w else 0 for w in own], "i8"), y) for own, y in docs]
+    docs = [(np.array([key[w, y] if w else 0 for w in own], "i4"), y) for own, y in docs]
     parts = [[own[at : at + WINDOW] for at in windows(len(own))] for own, _ in docs]
     y_of = np.array([y for _, y in docs], "f8")
 
     n_grams = np.minimum(gram_n, MOST_GRAMS)
-    gram_row = np.zeros((len(key), MOST_GRAMS), "i8")
+    del counts, gram_counts
+    gram_row = np.zeros((len(key), MOST_GRAMS), "i4")
     place = np.arange(len(flat)) - starts[flat_owner]
     within = place < MOST_GRAMS
     gram_row[flat_owner[within], place[within]] = flat[within]
@@ -329,7 +328,7 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
         return np.stack([np.bincount(rows, values[:, j], n) for j in range(values.shape[1])], axis=1)
 
     def padded(chosen: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(chosen), WINDOW), "i8")
+        out = np.zeros((len(chosen), WINDOW), "i4")
         for i, own in enumerate(chosen):
             out[i, : len(own)] = own
         return out
@@ -340,11 +339,14 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
     def all_logits() -> np.ndarray:
         out = []
         project, bias = net.p["in"], net.p["bias"]
-        x = np.concatenate([vectors(np.arange(at, min(len(key), at + 8192))) for at in range(0, len(key), 8192)])
-        by = np.stack([x @ project[0] + bias[0], x @ project[1] + bias[1]]).astype("f4")
+        by = np.empty((2, len(key), 3 * HIDDEN), "f4")
+        for at in range(0, len(key), 2048):
+            x = vectors(np.arange(at, min(len(key), at + 2048)))
+            for k in (0, 1):
+                by[k, at : at + 2048] = x @ project[k] + bias[k]
         u, attend = net.p["u"].astype("f4"), net.p["attend"].astype("f4")
-        for at in range(0, len(table), 4096):
-            index = table[at : at + 4096]
+        for at in range(0, len(table), 1024):
+            index = table[at : at + 1024]
             mask = (index > 0).astype("f4")
             _, _, pooled, _ = run(np.stack([by[0][index], by[1][index[:, ::-1]]]), np.stack([mask, mask[:, ::-1]]), u, attend)
             out.append(pooled @ net.p["out"] + net.p["out_bias"][0])
