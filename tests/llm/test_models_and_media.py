@@ -80,6 +80,30 @@ def test_isotonic():
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
 
 
+def test_isotonic_weights():
+    x, y = np.array([1, 2, 3, 4, 5.0]), np.array([0, 1, 0, 1, 1.0])
+    many = np.array([1, 3, 2, 1, 4])
+    for own, repeated in zip(quality.isotonic(x, y, many.astype("f8")), quality.isotonic(np.repeat(x, many), np.repeat(y, many)), strict=True):
+        assert np.allclose(own, repeated)
+
+
+def test_scores_do_not_depend_on_the_bound(spark, make):
+    """Two kinds of text, good at 0.97 and 0.6; a bound that cuts label 1 alone."""
+    r, rows, labels = random.Random(8), [], []
+    for i in range(1000):
+        odd = i % 10 < 3
+        words = prose(i, r.randint(20, 60)).split()
+        rows.append((i, " ".join(w + "###" if odd else w for w in words)))
+        labels.append((i, int(r.random() < (0.6 if odd else 0.97))))
+    docs, table = make(rows), spark.createDataFrame([*labels, *labels, (None, 0)], "doc_id long, quality int")
+    zeros = sum(not held(i) and q == 0 for i, q in labels)
+    whole, cut = ({r["doc_id"]: r for r in quality.score_documents(docs, table, most).collect()} for most in (5000, zeros))
+    for kind in (True, False):
+        own = [i for i, _ in rows if (i % 10 < 3) == kind]
+        assert abs(np.mean([whole[i]["score"] - cut[i]["score"] for i in own])) < 0.08
+    assert np.mean([whole[i]["predicted"] == cut[i]["predicted"] for i, _ in rows]) > 0.97
+
+
 def test_media_digests(make):
     rows = pj.media_digests(make(EDGE)).collect()
     want = Counter()

@@ -11,6 +11,12 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def usable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) that may be learnt from, one row for each id."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, label, fold) of at most ``most`` labelled training rows of each class.
 
@@ -18,9 +24,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     part, of repeated ids the larger label counts. The ids are few enough to broadcast by
     that bound, so the texts aren't shuffled.
     """
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
-    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
-    by_hash = usable.withColumn("at", F.xxhash64("doc_id"))
+    by_hash = usable(labels, label).withColumn("at", F.xxhash64("doc_id"))
     one, zero = (by_hash.where(F.col("label") == k).orderBy("at", "doc_id").limit(most) for k in (1, 0))
     picked = one.unionByName(zero).select("doc_id", "label", F.pmod("at", F.lit(2)).cast("int").alias("fold"))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "fold")
@@ -31,3 +35,9 @@ def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:
     found = labels.where(~held_out()).groupBy(F.col(label).cast("int").alias("label")).count().where("label in (0, 1)").collect()
     n = {r["label"]: r["count"] for r in found}
     return n.get(0, 0), n.get(1, 0)
+
+
+def class_weights(labels: DataFrame, label: str, most: int) -> tuple[float, float]:
+    """How many usable ids of label 0 and 1 stand behind each one that ``sample`` takes."""
+    n = {r["label"]: r["count"] for r in usable(labels, label).groupBy("label").count().collect()}
+    return max(1.0, n.get(0, 0) / most), max(1.0, n.get(1, 0) / most)

@@ -8,7 +8,10 @@ its own outer products, for each of two folds; the driver adds these fixed-size
 and solves for ridge weights. Each fold's raw scores under the other fold's weights give
 the isotonic map from raw score to the share of label 1.
 
-Training rows are bounded by ``most`` of each class (the ids with the smallest hash);
+Training rows are bounded by ``most`` of each class (the ids with the smallest hash).
+Where that cuts the classes by different rates, each row weighs as many as it stands for,
+in the standardising, the ridge sums and the isotonic means, so that scores are shares of
+the label table at any size of it;
 scores cover every document. Labels never enter a score, nor do ids, languages or sources.
 
 Defined results: null text counts as empty and gets the score of its statistics (all
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokoro.llm.common import id_and_text, map_arrow, small_batches
-from tokoro.llm.labelled import held_out, sample
+from tokoro.llm.labelled import class_weights, held_out, sample
 
 FEATURES, RIDGE, MOST, SEED = 256, 1.0, 10_000, 7
 THRESHOLD = 0.3
@@ -102,12 +105,13 @@ def features(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([z, np.ones((len(z), 1))], axis=1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: means of y that don't fall with x, at the blocks' middles."""
     order = np.argsort(x, kind="stable")
+    weight = np.ones(len(x)) if weight is None else weight
     blocks: list[list[float]] = []
-    for v, t in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([t, 1, v, v])
+    for v, t, n in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([t, n, v, v])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0] or len(blocks) > 1 and blocks[-2][3] == blocks[-1][2]:
             mean, n, _, last = blocks.pop()
             own = blocks[-1]
@@ -127,15 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     rows = map_arrow(sample(docs, labels, label, most).select("text", "label", "fold"), measure, "stats array<double>, label int, fold int")
     rows = rows.coalesce(8).persist()  # at most 2 * most rows of N_STATS numbers
     try:
-        moments = rows.select(F.posexplode("stats"), "label").groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s"), F.avg("label").alias("y")).collect()
-        if not moments:
+        found = rows.select(F.posexplode("stats"), "label").groupBy("pos", "label").agg(F.avg("col").alias("m"), F.var_pop("col").alias("v"), F.count("*").alias("n")).collect()
+        if not found:
             return Model(np.zeros(N_STATS), np.ones(N_STATS), w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
-        mean, scale = np.zeros(N_STATS), np.ones(N_STATS)
-        for r in moments:
-            mean[r["pos"]], scale[r["pos"]] = r["m"], r["s"] if r["s"] > 1e-9 else 1.0
-        balance = moments[0]["y"]
-        if balance in (0.0, 1.0):
-            return Model(mean, scale, w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, balance))
+        size, center, spread = np.zeros(2), np.zeros((2, N_STATS)), np.zeros((2, N_STATS))
+        for r in found:
+            k = r["label"]
+            size[k], center[k, r["pos"]], spread[k, r["pos"]] = r["n"], r["m"], r["v"]
+        weight = np.array(class_weights(labels, label, most))
+        weight *= size.sum() / (size * weight).sum()  # 1 on average: the ridge is set against the rows there are
+        share = (size * weight / size.sum())[:, None]
+        mean = (share * center).sum(axis=0)
+        scale = np.sqrt((share * (spread + (center - mean) ** 2)).sum(axis=0))
+        scale[scale <= 1e-9] = 1.0
+        if not size.all():
+            return Model(mean, scale, w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, float(size[1] > 0)))
 
         def sums(batches):
             gram = np.zeros((2, FEATURES + 1, FEATURES + 2))
@@ -146,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
                     y = batch.column(1).to_numpy()
                     fold = batch.column(2).to_numpy()
                     for k in (0, 1):
-                        gram[k] += z[fold == k].T @ np.column_stack([z, y])[fold == k]
+                        gram[k] += (z * weight[y][:, None])[fold == k].T @ np.column_stack([z, y])[fold == k]
             yield pa.RecordBatch.from_pydict({"gram": pa.array([gram.tobytes()], pa.binary())})
 
         parts = rows.mapInArrow(sums, "gram binary").collect()  # 8 matrices of a fixed size
@@ -161,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     z = features((np.array([r["stats"] for r in known]) - mean) / scale, w, b)
     fold, y = np.array([r["fold"] for r in known]), np.array([r["label"] for r in known], "f8")
     raw = np.where(fold == 0, z @ other[0], z @ other[1])
-    knots, values = isotonic(raw, y)
+    knots, values = isotonic(raw, y, weight[y.astype(int)])
     return Model(mean, scale, w, b, weights, knots, np.clip(values, 0, 1))
 
 
