@@ -128,3 +128,42 @@ def test_bin_completion_is_optimal_on_small_cases():
         plan = packing.complete(Counter(items), 20)
         assert sum(n for n, _ in plan) == fewest(items, 20)
         assert Counter({s: 0 for s in items}) + sum((Counter({s: c * n}) for n, own in plan for s, c in own), Counter()) == Counter(items)
+
+
+def test_bin_completion_of_many_pieces():
+    """Perfect packings of 5 to 8 pieces a sequence, by cutting sequences at random places."""
+    r, worse = random.Random(6), 0
+    for case in range(20):
+        items, n = [], 3 + case % 3
+        for _ in range(n):
+            ends = sorted(r.sample(range(10, 200), r.randint(4, 7)))
+            items += [b - a for a, b in zip([0, *ends], [*ends, 200], strict=True)]
+        counts = Counter({s: 3 * c for s, c in Counter(items).items()})
+        worse += sum(k for k, _ in packing.best_fit(counts, 200)) > 3 * n
+        plan = packing.complete(counts, 200)
+        assert sum(k for k, _ in plan) == 3 * n
+        assert all(sum(s * c for s, c in own) <= 200 for _, own in plan)
+        assert Counter(s for k, own in plan for s, c in own for _ in range(c * k)) == counts
+    assert worse > 3
+
+
+def test_fillings_are_all_undominated_ones():
+    """Against every multiset of pieces, dominance by its definition for one exchange."""
+    from itertools import product
+
+    r = random.Random(9)
+    for _ in range(60):
+        have = Counter(r.randint(2, 9) for _ in range(r.randint(1, 9)))
+        room, sizes = r.randint(5, 30), sorted(have)
+        want = set()
+        for many in product(*(range(have[s] + 1) for s in sizes)):
+            own = Counter(dict(zip(sizes, many, strict=True)))
+            waste = room - sum(s * c for s, c in own.items())
+            spare = [s for s in sizes if have[s] > own[s]]
+            parts = product(*(range(c + 1) for c in many))
+            if waste >= 0 and not any((t := sum(a * b for a, b in zip(sizes, part, strict=True))) <= s <= t + waste and (s > t or sum(part) > 1) for part in parts for s in spare):
+                want.add(tuple((s, c) for s, c in sorted(own.items(), reverse=True) if c))
+        got = [f for f in packing.fillings(room, have, lambda: room) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+        wastes = [room - sum(s * c for s, c in f) for f in got]
+        assert wastes == sorted(wastes)

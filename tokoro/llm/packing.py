@@ -7,12 +7,15 @@ gets at most that many (length, count) rows at any corpus size, and plans *kinds
 sequences (a multiset of lengths and how often to make it) instead of single ones.
 
 Planning. A best-fit-decreasing packing is the first incumbent. Then the largest length
-left is completed again and again: all undominated fillings of the space beside it are
-enumerated by waste (a filling is dominated when one available length, at least its sum,
-fits too, or when a smaller last length was taken than fits), each applied as often as
-its counts allow. Depth-first search over the choices stops a branch whose waste so far
-exceeds what a packing better than the incumbent may waste, and ends at the lower bound
-or after ``nodes`` nodes; then the incumbent is the result.
+left is completed again and again: all undominated fillings of the space beside it, of any
+number of pieces, come lazily, least waste first (a filling is dominated when an available
+length fits beside it, or fits in the place of some of its pieces without wasting more),
+each applied as often as its counts and the waste still allowed permit, then less often.
+Depth-first search over the choices stops a branch whose waste so far exceeds what a
+packing better than the incumbent may waste, and ends at the lower bound, when nothing is
+left to try (the incumbent is then proven to be best) or after ``nodes`` nodes beyond the
+first dive; then the incumbent is the result. ``STEPS`` lengths looked at within a filling
+count as a node.
 
 Placing. Each task numbers its pieces of a length; offsets over (length, task) counts make
 that a gapless rank with no window over a whole length (a third of all pieces may share
@@ -28,7 +31,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
 from tokoro.llm.subwords import byte_bpe
 
-CAPACITY, NODES, WIDTH = 2048, 4000, 8
+CAPACITY, NODES, STEPS = 2048, 4000, 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -101,108 +104,130 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Kind]:
     return [(n, content) for group in bins.values() for content, n in group.items()]
 
 
-def fillings(room: int, sizes: list[int], left: dict[int, int], width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, larger lengths first among
-    equals; at most ``width``. ``sizes``: the available lengths, ascending."""
-    top = bisect.bisect_right(sizes, room)
-    if not top:
-        return [()]
-    one = sizes[top - 1]
-    found = {(one,): room - one}
-
-    def pairs(space: int, head: tuple[int, ...], most: int) -> bool:
-        """Add head + (a, b) with the largest b for each a; whether one is perfect."""
-        for i in range(bisect.bisect_right(sizes, min(most, space)) - 1, -1, -1):
-            a = sizes[i]
-            if 2 * a < space and len(found) > 4 * width and a + a <= space - found_worst():
-                break
-            if left[a] <= head.count(a):
-                continue
-            j = bisect.bisect_right(sizes, min(a, space - a)) - 1
-            while j >= 0 and left[sizes[j]] <= head.count(sizes[j]) + (sizes[j] == a):
-                j -= 1
-            if j < 0:
-                if space - a == 0:
-                    found[(*head, a)] = 0
-                continue
-            waste = space - a - sizes[j]
-            if sum(head) + a + sizes[j] > one:  # else one length dominates it
-                found[(*head, a, sizes[j])] = waste
-            if waste == 0:
-                return True
-            if 2 * a < space:
-                break
-        return False
-
-    def found_worst() -> int:
-        return sorted(found.values())[min(len(found), width) - 1]
-
-    if one < room and not pairs(room, (), room):
-        for i in range(top - 1, max(-1, top - 1 - 8 * width), -1):  # third lengths, only where no pair is perfect
-            if pairs(room - sizes[i], (sizes[i],), sizes[i]):
-                break
-    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))[:width]
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = WIDTH) -> list[Kind]:
+def fillings(room: int, have: dict[int, int], slack: Callable[[], int]) -> Iterator[tuple[tuple[int, int], ...] | None]:
+    """Undominated fillings of ``room`` as (length, copies), least waste first, larger
+    lengths first among equals, while the waste is within ``slack()``. None is given after
+    every ``STEPS`` lengths looked at, for the caller to count.
+
+    Sets of sums are the bits of an integer; ``reach[i]`` holds those that the i smallest
+    lengths can make, so no branch is entered that can't end at the waste looked for.
+    """
+    sizes = sorted(s for s, n in have.items() if n and s <= room)
+    reach, every = [1], (1 << room + 1) - 1
+    for s in sizes:
+        bits, n, k = reach[-1], min(have[s], room // s), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << k * s & every
+            n, k = n - k, 2 * k
+        reach.append(bits)
+    steps = 0
+
+    def within(i: int, target: int, waste: int, one: int, more: int, unused: int) -> Iterator[tuple | None]:
+        """Of the i smallest lengths; one, more: sums of one and of several pieces taken."""
+        nonlocal steps
+        if not target:
+            if not unused or (unused & -unused).bit_length() - 1 > waste:
+                yield ()
+            return
+        while i and reach[i] >> target & 1:
+            i -= 1
+            size = sizes[i]
+            steps += 1
+            if not steps % STEPS:
+                yield None
+            sums, singles, grown = [], one, more
+            for _ in range(min(have[size], target // size)):
+                grown |= (singles | grown) << size & every
+                singles |= 1 << size
+                sums.append(grown)
+            for copies in range(len(sums), 0, -1):
+                rest = target - copies * size
+                if not reach[i] >> rest & 1:
+                    continue
+                grown, still = sums[copies - 1], unused & ~(1 << size) if copies == have[size] else unused
+                wider, k = (singles | grown) << 1, 1
+                while k < waste:  # sums with 1 to waste more
+                    step = min(k, waste - k)
+                    wider, k = wider | wider << step, k + step
+                # lengths that could stand for pieces are larger than all that may still be taken
+                if still & (grown | wider if waste else grown):
+                    continue
+                for tail in within(i, rest, waste, singles, grown, still):
+                    yield tail if tail is None else ((size, copies), *tail)
+
+    available = sum(1 << s for s in sizes)
+    must = 0
+    for waste in range(room + 1):
+        must += waste * have.get(waste, 0)  # all that would still fit has to be taken
+        if waste > slack() or must > room - waste:
+            return
+        if reach[-1] >> room - waste & 1:
+            yield from within(len(sizes), room - waste, waste, 0, 0, available)
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Kind]:
     """A packing with as few sequences as the search finds."""
-    counts = {s: n for s, n in counts.items() if n}
-    best = best_fit(counts, capacity)
-    fewest, least = sum(n for n, _ in best), lower_bound(counts, capacity)
-    total = sum(s * n for s, n in counts.items())
-    left, sizes, chosen = dict(counts), sorted(counts), []
+    left = {s: n for s, n in counts.items() if n}
+    best = best_fit(left, capacity)
+    fewest, least = sum(n for n, _ in best), lower_bound(left, capacity)
+    total = sum(s * n for s, n in left.items())
+    sizes, chosen = sorted(left), []
     used = wasted = seen = 0
-    stack: list[tuple[Iterator, list]] = []
-
-    def take(size: int, n: int) -> None:
-        left[size] -= n
-        if not left[size]:
-            sizes.pop(bisect.bisect_left(sizes, size))
 
-    def give(size: int, n: int) -> None:
-        if not left[size]:
-            bisect.insort(sizes, size)
-        left[size] += n
+    def slack() -> int:
+        return (fewest - 1) * capacity - total - wasted
 
-    def options() -> Iterator[tuple[int, ...]]:
+    def options(last: tuple) -> Iterator[Kind | None]:
+        """Kinds that hold the largest length, but the one just made: more of it was tried."""
         largest = sizes[-1]
-        take(largest, 1)
-        made = fillings(capacity - largest, sizes, left, width)
-        give(largest, 1)
-        return iter([(largest, *f) for f in made])
-
-    stack.append((options() if sizes else iter(()), []))
+        have = {s: left[s] for s in sizes}
+        have[largest] -= 1
+        for filling in fillings(capacity - largest, have, slack):
+            if filling is None:
+                yield None
+                continue
+            content = ((largest, 1), *filling)
+            if filling and filling[0][0] == largest:
+                content = ((largest, 1 + filling[0][1]), *filling[1:])
+            if content == last:
+                continue
+            most, waste = min(left[s] // c for s, c in content), capacity - sum(s * c for s, c in content)
+            for n in range(min(most, slack() // waste) if waste else most, 0, -1):
+                yield n, content
+
+    def put(n: int, content: tuple, sign: int) -> None:
+        nonlocal used, wasted
+        used, wasted = used + sign * n, wasted + sign * n * (capacity - sum(s * c for s, c in content))
+        for s, c in content:
+            if not left[s]:
+                bisect.insort(sizes, s)
+            left[s] -= sign * n * c
+            if not left[s]:
+                sizes.pop(bisect.bisect_left(sizes, s))
+
+    stack = [options(())] if sizes else []
+    diving = True
     while stack and fewest > least and seen < nodes:
-        choice = next(stack[-1][0], None)
-        if choice is None:
-            _, undo = stack.pop()
-            if undo:
-                content, n = undo
-                chosen.pop()
-                used, wasted = used - n, wasted - n * (capacity - sum(content))
-                for size, c in Counter(content).items():
-                    give(size, c * n)
+        choice = next(stack[-1], ())
+        if choice == ():
+            diving = False
+            stack.pop()
+            if chosen:
+                put(*chosen.pop(), -1)
             continue
-        seen += 1
-        need = Counter(choice)
-        n = min(left[s] // c for s, c in need.items())
-        waste = n * (capacity - sum(choice))
-        if wasted + waste > (fewest - 1) * capacity - total:
+        seen += not diving or choice is None  # the first dive is free
+        if choice is None or choice[0] * (capacity - sum(s * c for s, c in choice[1])) > slack():
             continue
-        for s, c in need.items():
-            take(s, c * n)
-        used, wasted = used + n, wasted + waste
-        chosen.append((n, tuple(sorted(need.items(), reverse=True))))
-        if not sizes:
-            if used < fewest:
-                best, fewest = list(chosen), used
-            chosen.pop()
-            used, wasted = used - n, wasted - waste
-            for s, c in need.items():
-                give(s, c * n)
+        put(*choice, 1)
+        chosen.append(choice)
+        if sizes:
+            stack.append(options(choice[1]))
             continue
-        stack.append((options(), [choice, n]))
-        nodes += 1 if len(stack) > 1 and seen == len(stack) - 1 else 0  # the first dive is free
+        diving = False
+        if used < fewest:
+            best, fewest = list(chosen), used
+        put(*chosen.pop(), -1)
     return best
 
 
