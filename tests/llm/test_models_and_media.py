@@ -75,6 +75,20 @@ def test_gradients():
         assert math.isclose((ends[0] - ends[1]) / 2e-5, g[k][at], rel_tol=1e-4, abs_tol=1e-8)
 
 
+def test_training_sees_all_grams_of_a_long_word(monkeypatch):
+    word, own, seen = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=60)), toxicity.gradients, []
+    assert len(set(toxicity.grams(word))) == len(toxicity.grams(word)) > 24
+
+    def gradients(net, vec, mask, y, weight):
+        got = vec[mask > 0][:, 4 + toxicity.EMBED :]
+        seen.append(np.allclose(got, net.p["gram"][1:].mean(axis=0)))
+        return own(net, vec, mask, y, weight)
+
+    monkeypatch.setattr(toxicity, "gradients", gradients)
+    toxicity.train([(word, i % 2) for i in range(16)], (8, 8))
+    assert seen and all(seen)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([1, 2, 3, 4, 5.0]), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()

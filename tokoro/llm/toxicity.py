@@ -43,8 +43,6 @@ EPOCHS, STEPS, RATE, BATCH, SEED = 12, 240, 0.02, 256, 11
 GRAM, BEGINNINGS = 4, (5, 6, 7)
 WORD_ROWS, GRAM_ROWS = 3, 6  # documents that a word or n-gram must be in to get an embedding
 VOCABULARY = 20_000
-#: A word's first n-grams have embeddings in training; odds and scores use all.
-MOST_GRAMS = 24
 
 
 def clean(word: str) -> str:
@@ -306,22 +304,24 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
     for own, y in docs:
         for w in own:
             key.setdefault((w, y) if w else ("", 0), len(key))
-    word_row, odds, flat, flat_owner, starts, gram_n = inputs.parts([w for w, _ in key], np.array([y + 1 for _, y in key], "i8"))
+    word_row, odds, flat, _, starts, gram_n = inputs.parts([w for w, _ in key], np.array([y + 1 for _, y in key], "i8"))
     word_row[0], odds[0] = 0, 0
     docs = [(np.array([key[w, y] if w else 0 for w in own], "i4"), y) for own, y in docs]
     parts = [[own[at : at + WINDOW] for at in windows(len(own))] for own, _ in docs]
     y_of = np.array([y for _, y in docs], "f8")
 
-    n_grams = np.minimum(gram_n, MOST_GRAMS)
     del counts, gram_counts
-    gram_row = np.zeros((len(key), MOST_GRAMS), "i4")
-    place = np.arange(len(flat)) - starts[flat_owner]
-    within = place < MOST_GRAMS
-    gram_row[flat_owner[within], place[within]] = flat[within]
+
+    def grams_of(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of some rows of (word, label), flat, and where each row's begin."""
+        n = gram_n[of]
+        first = np.cumsum(n) - n
+        return flat[np.arange(n.sum()) + np.repeat(starts[of] - first, n)], first
 
     def vectors(of: np.ndarray) -> np.ndarray:
         """Of some rows of (word, label)."""
-        mean = net.p["gram"][gram_row[of]].sum(axis=1) / n_grams[of][:, None]
+        rows, first = grams_of(of)
+        mean = np.add.reduceat(net.p["gram"][rows], first, axis=0) / gram_n[of][:, None]
         return np.concatenate([odds[of], net.p["word"][word_row[of]], mean], axis=1)
 
     def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -374,7 +374,7 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
             _, g, dvec = gradients(net, vectors(used)[at_used], mask, target, np.full(len(own), 1 / len(own)))
             of_key = summed(at_used.ravel(), (dvec * mask[..., None])[..., 4:].reshape(-1, 2 * EMBED), len(used))
             g["word"] = summed(word_row[used], of_key[:, :EMBED], len(net.p["word"]))
-            g["gram"] = summed(gram_row[used].ravel(), np.repeat(of_key[:, EMBED:] / n_grams[used][:, None], MOST_GRAMS, axis=0), len(net.p["gram"]))
+            g["gram"] = summed(grams_of(used)[0], np.repeat(of_key[:, EMBED:] / gram_n[used][:, None], gram_n[used], axis=0), len(net.p["gram"]))
             g["word"][0] = g["gram"][0] = 0
             for k in ("word", "gram"):
                 g[k] += 1e-4 * net.p[k]
