@@ -59,6 +59,13 @@ def test_windows_cover_every_word():
         assert set(range(n)) <= {i for a in starts for i in range(a, a + toxicity.WINDOW)} and starts[-1] + toxicity.WINDOW >= n
 
 
+def test_windows_hold_passages_of_half_a_window_whole():
+    size, half = toxicity.WINDOW, toxicity.WINDOW // 2
+    for n in (33, 57, 100, 1000):
+        starts = toxicity.windows(n)
+        assert all(any(a <= p and p + half <= a + size for a in starts) for p in range(n - half + 1))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net, vec, mask = toxicity.Network(5, 3, 3, rng), rng.normal(size=(4, 6, 5)), np.ones((4, 6))

@@ -5,8 +5,8 @@ Inputs of a word: a learned embedding (words seen often enough), the mean of lea
 embeddings of its character n-grams, and how strongly the word and its n-grams went with
 label 1 in the training sample (log odds, shrunk; in training, a document's own counts are
 taken out first, so that its rare words don't tell its label). A text is cut into windows
-of ``WINDOW`` words, each ``STRIDE`` on from the last, so that all of it is read and each
-border lies inside another window. Both directions of the network run over a window,
+of ``WINDOW`` words, each ``STRIDE`` (half of it) on from the last, so that all of it is
+read and each passage of up to ``STRIDE`` words lies whole in a window. Both directions of the network run over a window,
 attention pools its states, and the document's logit is that of its worst window, mapped
 to a probability by logistic calibration with the classes weighted as they occur.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokoro.llm.common import WorkerCache, id_and_text, map_arrow, small_batches
 from tokoro.llm.labelled import class_counts, held_out, sample
 
-WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 24, 8, 6, 1000
+WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1000
 #: Characters at a word's ends that aren't part of it.
 EDGE = " .,;:!?\"'()[]{}<>|#$%&*^~`-_=+/\\"
 EPOCHS, STEPS, RATE, BATCH, SEED = 12, 240, 0.02, 256, 11
