@@ -53,6 +53,12 @@ def test_degenerate_labels(spark, make, module):
     assert module.score_documents(make([]), labels).count() == 0
 
 
+def test_toxicity_learns_from_1500_rows_a_class():
+    import inspect
+
+    assert {inspect.signature(f).parameters["most"].default for f in (toxicity.fit, toxicity.score_documents, toxicity.keep)} == {1500}
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 32, 33, 57, 100, 1000):
         starts = toxicity.windows(n)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokoro.llm.common import WorkerCache, id_and_text, map_arrow, small_batches
 from tokoro.llm.labelled import class_counts, held_out, sample
 
-WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1000
+WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1500
 #: Characters at a word's ends that aren't part of it.
 EDGE = " .,;:!?\"'()[]{}<>|#$%&*^~`-_=+/\\"
 EPOCHS, STEPS, RATE, BATCH, SEED = 12, 240, 0.02, 256, 11
