@@ -14,12 +14,22 @@ AFTER_UNITS = "丁目|番地|番|号室|号|地割|の|ノ"
 TRIM = r"[\-ー−–—―‐ 　,、]"
 
 
+#: What a number of more than 18 digits counts as: the registry has none so large.
+TOO_LARGE = 10**18 - 1
+
+
+def whole_number(digits: Column) -> Column:
+    """Digits as a 64-bit integer, ``TOO_LARGE`` where they are more."""
+    own = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(own) > 18, F.lit(TOO_LARGE)).otherwise(own.try_cast("bigint"))
+
+
 def tail_parts(text: Column) -> tuple[Column, Column]:
     """(numbers, skipped) of a tail: at most three numbers parted by separators and units
     only (a unit is taken whole or not at all), and the text before the first."""
     body = F.regexp_replace(text, f"^{SEPARATORS}+", "")
     run = F.regexp_extract(body, rf"^\D*+(\d++(?:(?:{SEPARATORS}|(?>{UNITS}))*+\d++)*+)", 1)
-    numbers = F.transform(F.slice(F.regexp_extract_all(run, F.lit(r"(\d+)")), 1, 3), lambda n: n.try_cast("int"))
+    numbers = F.transform(F.slice(F.regexp_extract_all(run, F.lit(r"(\d+)")), 1, 3), whole_number)
     return numbers, F.regexp_extract(body, r"^(\D*+)\d", 1)
 
 
@@ -38,6 +48,7 @@ def numbers_array(num1: Column, num2: Column, num3: Column) -> Column:
 
 
 def number_at(numbers: Column, i: int) -> Column:
+    """The i-th number; 0 where there are fewer."""
     return F.coalesce(F.try_element_at(numbers, F.lit(i)), F.lit(0))
 
 

@@ -19,11 +19,11 @@ ENTRY = ["num1", "num2", "num3", "lat", "lon"]
 
 def lookups(tails: DataFrame) -> DataFrame:
     """tails: qid, lg_code, machiaza_id, alt_machiaza, rsdt_addr_flg, numbers. One row for
-    each id and kind to look under."""
+    each id and kind to look under; a first number beyond 32 bits is null and meets none."""
     ids = F.concat(F.array("machiaza_id"), F.coalesce("alt_machiaza", F.array().cast("array<int>")))
     kinds = F.when(F.col("rsdt_addr_flg") == 1, F.array(*map(F.lit, (KIND_RSDT, KIND_BLOCK, KIND_PARCEL)))).otherwise(F.array(F.lit(KIND_PARCEL)))
     rows = tails.select("qid", "lg_code", "numbers", F.posexplode(ids).alias("id_pos", "machiaza_id"), kinds.alias("kinds"))
-    return rows.select("qid", "lg_code", "numbers", "id_pos", "machiaza_id", F.posexplode("kinds").alias("kind_pos", "kind")).withColumn("num1", number_at(F.col("numbers"), 1))
+    return rows.select("qid", "lg_code", "numbers", "id_pos", "machiaza_id", F.posexplode("kinds").alias("kind_pos", "kind")).withColumn("num1", number_at(F.col("numbers"), 1).try_cast("int"))
 
 
 def with_entries(tails: DataFrame, numbers: DataFrame) -> DataFrame:
