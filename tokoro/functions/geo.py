@@ -22,18 +22,6 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def quantise(degrees: Column) -> Column:
-    """Degrees as they are stored: in units of 1e-7, halves to even."""
-    return F.rint(degrees * 1e7) / 1e7
-
-
-def step_quantile(values: Column, q: float) -> Column:
-    """Aggregate: the value at place min(n - 1, int(n q)), not interpolated. The values of
-    a group meet in one array; for large groups use ``quantiles_by_rank``."""
-    n = F.count(values)
-    return F.try_element_at(F.array_sort(F.collect_list(values)), F.least(n, F.floor(n * q) + 1).cast("int"))
-
-
 def token_estimate(options: Column, request: int = 0) -> Column:
     """Tokens a question's options take: two a character, six an option."""
     chars = F.aggregate(F.transform(options, F.length), F.lit(0), lambda a, n: a + n)
@@ -43,32 +31,42 @@ def token_estimate(options: Column, request: int = 0) -> Column:
 #: Characters that are written for one another, and that are taken for one another.
 VARIANTS = ("ケヶ沢澤辺邉斎斉浜濱", "ヶケ澤沢邉辺斉斎濱浜")
 CONFUSED = ("大犬木本田由日目石右土士", "犬大本木由田目日右石士土")
-KANJI_CHOME = tuple(zip("一二三四五六七八九", "123456789", strict=True))
 
 
-def perturb(text: Column, pref: Column, kind: str, seed: int = 0) -> Column:
-    """One of the input perturbations; the place comes from a hash of text and seed."""
-    at = F.pmod(F.xxhash64(text, F.lit(seed)), F.greatest(F.length(text), F.lit(1))).cast("int") + 1
-    one = F.substring(text, at, F.lit(1))
-    swap = lambda table: F.overlay(text, F.translate(one, *table), at, F.lit(1))
+def _kanji_chome_digits(chome: Column) -> Column:
+    """The digits of a kanji chome read one by one; empty if it isn't one."""
+    body = F.regexp_replace(chome, "[^〇一二三四五六七八九]", "")
+    return F.when(chome.endswith("丁目"), F.translate(body, "〇一二三四五六七八九", "0123456789")).otherwise("")
+
+
+def perturb(text: Column, pref: Column, kind: str, start: Column | int = 0, end: Column | None = None, chome: Column | None = None, seed: int = 0, pick: Column | None = None) -> Column:
+    """One of the input perturbations, or null where it can't be made.
+
+    One-character changes fall into the town's name, the characters from ``start`` up to
+    ``end`` (0-based; the whole text by default), on one of the characters that they can be
+    made at: the ``pick``-th of these, counted round (a hash of text and seed by default).
+    """
     if kind == "as_is":
         return text
     if kind == "full_width":
-        return F.translate(text, NARROW, WIDE)
+        wide = F.translate(text, NARROW, WIDE)
+        return F.when(wide != text, wide)
     if kind == "arabic_chome":
-        out = text
-        for k, d in KANJI_CHOME:
-            out = F.regexp_replace(out, f"(?<![十百{''.join(a for a, _ in KANJI_CHOME)}]){k}丁目", f"{d}丁目")
-        return out
+        own = F.coalesce(chome, F.lit(""))
+        digits = _kanji_chome_digits(own)
+        return F.when(digits != "", F.replace(text, own, F.concat(digits, F.lit("丁目"))))
     if kind == "drop_pref":
-        return F.when((pref != "") & text.startswith(pref), F.substring(text, F.length(pref) + 1, F.length(text))).otherwise(text)
-    if kind == "variant":
-        return swap(VARIANTS)
-    if kind == "typo":
-        return swap(CONFUSED)
-    if kind == "drop_char":
-        return F.overlay(text, F.lit(""), at, F.lit(1))
-    raise ValueError(f"unknown perturbation: {kind}")
+        return F.when((pref != "") & text.startswith(pref), F.substring(text, F.length(pref) + 1, F.length(text)))
+    table = {"variant": VARIANTS, "typo": CONFUSED, "drop_char": None}[kind]
+    least = 2 if table is None else 1
+    first, last = (F.lit(start) if isinstance(start, int) else start) + 1, F.length(text) if end is None else end
+    places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    one = lambda i: F.substring(text, i, F.lit(1))
+    spots = F.filter(places, lambda i: ~one(i).rlike("[0-9]") if table is None else F.instr(F.lit(table[0]), one(i)) > 0)
+    number = F.xxhash64(text, F.lit(seed)) if pick is None else pick
+    at = F.try_element_at(spots, (F.pmod(number, F.greatest(F.size(spots), F.lit(1))) + 1).cast("int"))
+    new = F.lit("") if table is None else F.translate(one(at), *table)
+    return F.when(F.size(spots) >= least, F.overlay(text, new, at, F.lit(1)))
 
 
 PERTURBATIONS = ("as_is", "full_width", "arabic_chome", "drop_pref", "variant", "typo", "drop_char")
