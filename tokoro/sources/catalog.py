@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The feed's address, the files' host and the kinds of files.
 FEED_URL = "https://dataset.address-br.digital.go.jp/api/feed/dcat-us/1.1.json"
 DATA_HOST = "data.address-br.digital.go.jp"
 FEED = "dataset array<struct<title:string,modified:string,distribution:array<struct<accessURL:string,downloadURL:string>>>>"
@@ -72,7 +73,3 @@ def stale(selected: DataFrame, ledger: DataFrame, force: bool = False) -> DataFr
         return selected
     known = ledger.where("last_modified is not null").select("url", "last_modified")
     return selected.join(known, ["url", "last_modified"], "left_anti")
-
-
-def parse_feed_file(spark: SparkSession, path: str) -> DataFrame:
-    return parse_feed(spark.read.text(path, wholetext=True), "value")

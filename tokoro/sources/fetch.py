@@ -1,4 +1,4 @@
-"""Conditional downloads, on the driver before a build."""
+"""Conditional downloads, on the driver before a build: into a folder that executors see too."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import json
 import os
 import urllib.error
 import urllib.request
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
+from tokoro.sources.catalog import FEED_URL
+
 
 @dataclass(frozen=True)
 class Download:
@@ -51,7 +54,17 @@ def download(url: str, folder: str, timeout: float = 120.0, opener=_open) -> Dow
     return Download(url, str(target), modified, False)
 
 
-def download_all(urls: list[str], folder: str, concurrency: int = 4, opener=_open) -> list[Download]:
-    """In the order of the urls."""
+def download_all(urls: list[str], folder: str, concurrency: int = 4, opener=_open, progress: Callable[[int, int, str], None] = lambda *_: None) -> list[Download]:
+    """In the order of the urls; ``progress`` is told done, total and url of each."""
+    out = []
     with ThreadPoolExecutor(concurrency) as pool:
-        return list(pool.map(lambda u: download(u, folder, opener=opener), urls))
+        for k, one in enumerate(pool.map(lambda u: download(u, folder, opener=opener), urls), 1):
+            out.append(one)
+            progress(k, len(urls), one.url)
+    return out
+
+
+def fetch_feed(opener=_open, url: str = FEED_URL, timeout: float = 120.0) -> str:
+    """The catalogue's JSON text; an error status is an error."""
+    with opener(url, {}, timeout) as answer:
+        return answer.read().decode("utf-8")

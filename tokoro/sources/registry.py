@@ -1,8 +1,7 @@
 """The registry's CSV files as typed DataFrames.
 
 Files come zipped. Members are unzipped on the executors from ``binaryFile`` rows (any
-store that Spark reads), a member a time; already unzipped folders are read by Spark's CSV
-reader. Every column is text until it is cast here.
+store that Spark reads), a member a time. Every column is text until it is cast here.
 """
 
 from __future__ import annotations
@@ -37,7 +36,9 @@ FIELD_LIMIT, BATCH = 10_000_000, 10_000
 
 def read_zips(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     """Rows of all CSV members of zip files, in order: ``ord`` counts file by file (files
-    by path), columns a file lacks are null. A file without a CSV member is an error."""
+    by path), columns a file lacks are null; ``path`` is the file as given. A file without
+    a CSV member is an error. Many files are read by many tasks, each row of a file by the
+    task that has the file."""
 
     def unzip(batches):
         import pyarrow as pa
@@ -68,14 +69,7 @@ def read_zips(spark: SparkSession, paths: str | list[str], columns: list[str]) -
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     rows = files.mapInArrow(unzip, "path string, line long, " + ", ".join(f"{c} string" for c in columns))
     order = files.select("path").distinct().withColumn("_f", F.row_number().over(Window.orderBy("path")) - 1)  # one row a file
-    return rows.join(F.broadcast(order), "path").withColumn("ord", F.shiftleft(F.col("_f").cast("long"), 40) + F.col("line")).drop("path", "line", "_f")
-
-
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """An unzipped file or folder with a header row."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
-    clean = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
-    return clean.select(*(F.col(c) if c in clean.columns else F.lit(None).cast("string").alias(c) for c in columns), F.monotonically_increasing_id().alias("ord"))
+    return rows.join(F.broadcast(order), "path").withColumn("ord", F.shiftleft(F.col("_f").cast("long"), 40) + F.col("line")).drop("line", "_f")
 
 
 def _int(c: str) -> Column:
@@ -143,7 +137,8 @@ def _record_key(kind: int) -> dict[str, Column]:
 
 
 def number_rows(kind: int, body: DataFrame, pos: DataFrame | None) -> DataFrame:
-    """(lg_code, machiaza_id, kind, num1, num2, num3, lat, lon) of one kind of file."""
+    """(lg_code, machiaza_id, kind, num1, num2, num3, lat, lon) of any number of files of
+    one kind; points meet their records by id, whichever files they are in."""
     key = _record_key(kind)
     shown = [c.alias(f"num{i}") for i, c in enumerate(_numbers(kind), 1)]
     own = in_force(body).select(*(c.alias(k) for k, c in key.items()), *shown)

@@ -25,10 +25,6 @@ def json_lines(results: DataFrame) -> DataFrame:
     return results.select("qid", F.to_json(F.struct(*map(field, FIELDS)), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_json_lines(results: DataFrame, path: str) -> None:
-    json_lines(results).sort("qid").select("value").write.mode("overwrite").text(path)
-
-
 def human(results: DataFrame) -> DataFrame:
     """(qid, value): a few lines for each result; parts that are missing are left out."""
     line = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"  {name}: "), c))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,33 +11,70 @@ from tokoro import schema
 from tokoro.operators.index import Index
 from tokoro.storage import stored
 
-VERSION = "1"
+VERSION = "2"
 SCHEMAS = {
-    "meta": schema.META, "source": schema.LEDGER, "pref": schema.PREF_TABLE, "city": schema.CITY_TABLE,
-    "machiaza": schema.TOWN_TABLE, "machiaza_key": schema.KEY_TABLE, "banchi": schema.NUMBER_TABLE,
+    "meta": schema.META, "source": schema.LEDGER, "pref": schema.PREF_TABLE, "city": schema.CITY_TABLE, "machiaza": schema.TOWN_TABLE,
+    "machiaza_head": schema.HEAD_TABLE, "machiaza_key": schema.KEY_TABLE, "banchi": schema.NUMBER_TABLE,
 }
+#: Files of a municipality's numbers: towns are dealt to so many, so that a large one is no single task.
+SPLITS = 8
 
 
 class Store:
+    """Tables under a folder. A table is replaced by writing it beside the old one and then
+    renaming a small pointer file onto the old pointer: a lost job leaves the old table in
+    place, and readers of the old one can finish, as it goes with the next replacement."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self.hadoop = jvm.org.apache.hadoop.fs
+        self.fs = self.hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _exists(self, path: str) -> bool:
+        return self.fs.exists(self.hadoop.Path(path))
+
+    def current(self, table: str) -> str | None:
+        """The folder that holds a table now; None if it was never written."""
+        if table == "banchi":
+            return self.path(table) if self._exists(self.path(table)) else None
+        pointer = f"{self.path(table)}/current"
+        if not self._exists(pointer):
+            return None
+        stream = self.fs.open(self.hadoop.Path(pointer))
+        try:
+            return f"{self.path(table)}/{stream.readUTF()}"
+        finally:
+            stream.close()
+
     def read(self, table: str) -> DataFrame:
         """A table; empty if it was never written."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        except AnalysisException:
+        at = self.current(table)
+        if at is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(at)
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Delete all, then insert. Rows may come from the table itself."""
+        """Write beside, then switch. Rows may come from the table itself."""
         names = [c.strip().split()[0] for c in SCHEMAS[table].split(", ")]
-        stored(rows.select(*names)).write.mode("overwrite").parquet(self.path(table))
+        before, name = self.current(table), f"v-{uuid.uuid4().hex}"
+        rows.select(*names).write.parquet(f"{self.path(table)}/{name}")
+        top, made = self.hadoop.Path(self.path(table)), f"{self.path(table)}/{name}.pointer"
+        stream = self.fs.create(self.hadoop.Path(made), True)
+        stream.writeUTF(name)
+        stream.close()
+        overwrite = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = self.hadoop.FileContext.getFileContext(top.toUri() if top.toUri().getScheme() else self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self.hadoop.Path(made), self.hadoop.Path(f"{self.path(table)}/current"), overwrite)
+        kept = {name, (before or "").rpartition("/")[2]}
+        for found in self.fs.listStatus(top):
+            old = found.getPath()
+            if old.getName().startswith("v-") and old.getName() not in kept:
+                self.fs.delete(old, True)
 
     def upsert(self, table: str, rows: DataFrame, key: list[str]) -> None:
         self.replace(table, self.read(table).join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows))
@@ -48,13 +87,17 @@ class Store:
         held = self.read("banchi").join(new.select("lg_code").distinct(), "lg_code", "left_semi")
         rest = held.join(new.select("lg_code", "machiaza_id", "kind").distinct(), ["lg_code", "machiaza_id", "kind"], "left_anti")
         both = stored(rest.unionByName(new.select(*rest.columns)))
-        out = both.repartition("lg_code").sortWithinPartitions("lg_code", "machiaza_id", "kind", "num1", "num2", "num3")
+        out = both.repartition("lg_code", F.pmod("machiaza_id", F.lit(SPLITS))).sortWithinPartitions("lg_code", "machiaza_id", "kind", "num1", "num2", "num3")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lg_code").parquet(self.path("banchi"))
 
     def lookup(self, lg_code: int, machiaza_id: int, kind: int, num1: int | None = None) -> DataFrame:
         own = self.read("banchi").where((F.col("lg_code") == lg_code) & (F.col("machiaza_id") == machiaza_id) & (F.col("kind") == kind))
         return (own if num1 is None else own.where(F.col("num1") == num1)).orderBy("num1", "num2", "num3")
 
+    def sources(self) -> DataFrame:
+        """The ledger: a row for each number file that was read."""
+        return self.read("source")
+
     def counts(self) -> dict[str, int]:
         return {t: self.read(t).count() for t in ("pref", "city", "machiaza", "banchi")}
 
@@ -71,4 +114,4 @@ class Store:
         version = self.meta().get("version")
         if version != VERSION:
             raise ValueError(f"these tables have version {version}, not {VERSION}: build them again")
-        return Index(self.read("machiaza"), self.read("machiaza_key"), self.read("city"), self.read("pref"), self.read("banchi"))
+        return Index(*map(self.read, ("machiaza", "machiaza_head", "machiaza_key", "city", "pref", "banchi")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: where the list is published.
+SUPPLEMENT_URL = "https://raw.githubusercontent.com/geolonia/japanese-addresses/master/data/latest.csv"
+SUPPLEMENT_ATTRIBUTION = "Contains the open town list 'japanese-addresses' (CC BY 4.0)."
 #: Headers and the names used here.
 HEADERS = {"都道府県名": "pref", "市区町村名": "city", "大字町丁目名": "town", "小字・通称名": "koaza", "緯度": "lat", "経度": "lon"}
 
