@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Rows up to which a lookup table may be broadcast; beyond it Spark deals both sides out.
-BROADCAST_ROWS = 200_000
+#: Bytes, as counted in the table, up to which a lookup table is broadcast; beyond them
+#: Spark deals both sides out (and splits skewed keys as it runs).
+BROADCAST_BYTES = 192 << 20
 
 
 @dataclass(frozen=True)

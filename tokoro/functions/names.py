@@ -64,21 +64,6 @@ def city_cores(county, city, ward) -> Column:
     return F.array_distinct(F.array(F.concat(_text(county), short), short))
 
 
-def _product(prefs: Column, cores: Column, tails: Column) -> Column:
-    join = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, y))))
-    return F.filter(F.array_distinct(join(join(prefs, cores), tails)), lambda k: k != "")
-
-
-def city_alias_array(pref="pref", county="county", city="city", ward="ward") -> Column:
-    return _product(pref_variants(pref), city_cores(county, city, ward), F.array(F.lit("")))
-
-
-def town_alias_array(pref="pref", county="county", city="city", ward="ward", oaza="oaza_cho", chome="chome", number="chome_number", koaza="koaza") -> Column:
-    """All keys of a town before normalisation: the two prefix styles aren't mixed."""
-    tails = F.flatten(F.transform(prefix_styles(oaza, koaza), lambda s: F.transform(chome_variants(chome, number), lambda h: F.concat(s["oaza"], h, s["koaza"]))))
-    return _product(pref_variants(pref), city_cores(county, city, ward), tails)
-
-
 def display(*names) -> Column:
     """Names put together."""
     return F.concat(*(_text(n) for n in names))

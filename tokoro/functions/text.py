@@ -1,17 +1,18 @@
 """Normalisation and comparison keys.
 
 Spark has no Unicode normalisation. Texts of characters that NFKC leaves alone (after
-full-width ASCII, which ``translate`` maps) never leave the JVM; only the others are sent
-to an Arrow function, as nulls otherwise.
+full-width ASCII, which ``translate`` maps) never leave the JVM: ``normalized`` filters the
+others out, sends them alone to an Arrow function and puts both together again.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,18 +34,33 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else nfkc(t))
 
 
-def normalize(text: Column) -> Column:
-    """NFKC without any white space; null stays null."""
-    plain = F.translate(text, WIDE, NARROW)
-    stable = plain.rlike(STABLE)
-    return F.when(stable, F.regexp_replace(plain, SPACE, "")).otherwise(_nfkc(F.when(~stable, text)))
+def is_stable(text: Column) -> Column:
+    """Whether a text can be normalised in the JVM; true for null."""
+    return F.coalesce(F.translate(text, WIDE, NARROW).rlike(STABLE), F.lit(True))
 
 
 def normalize_stable(text: Column) -> Column:
-    """The same for texts known to hold stable characters only; stays in the JVM."""
+    """Normalises texts known to hold stable characters only."""
     return F.regexp_replace(F.translate(text, WIDE, NARROW), SPACE, "")
 
 
+def normalize(text: Column) -> Column:
+    """NFKC without any white space; null stays null. Every row passes an Arrow function
+    (nulls for stable texts); for tables see ``normalized``."""
+    return F.when(is_stable(text), normalize_stable(text)).otherwise(_nfkc(F.when(~is_stable(text), text)))
+
+
+def by_stability(rows: DataFrame, text: Column, make: Callable[[DataFrame, Callable[[Column], Column]], DataFrame]) -> DataFrame:
+    """``make(rows, normalise)`` of the rows whose ``text`` is stable, in the JVM, and of the
+    others, through Arrow. The rows are read twice, but few reach the second branch."""
+    return make(rows.where(is_stable(text)), normalize_stable).unionByName(make(rows.where(~is_stable(text)), _nfkc))
+
+
+def normalized(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """Rows with the normalised ``source`` as ``target``."""
+    return by_stability(rows, F.col(source), lambda df, norm: df.withColumn(target, norm(F.col(source))))
+
+
 _DIGITS = {d: i for i, d in enumerate("〇一二三四五六七八九")}
 _UNITS = {"十": 10, "百": 100, "千": 1000}
 _RUN = re.compile("[〇零一二三四五六七八九十百千]+")
@@ -91,3 +107,9 @@ def comparable(name: Column) -> Column:
         return texts.map(lambda t: None if t is None else re.sub("([〇零一二三四五六七八九十百千]+)(?=丁目|丁)", lambda m: str(kanji_value(m[1])), nfkc(t)))
 
     return F.regexp_replace(chome(name), "大字|字", "")
+
+
+def compare_key(name: Column) -> Column:
+    """Town names for comparison with other registers: the matching key, 大字 and 字 dropped
+    wherever they stand."""
+    return F.regexp_replace(match_key(F.lit(""), name), "大字|字", "")

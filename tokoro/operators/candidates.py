@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokoro.config import Config
-from tokoro.operators.index import KIND_CITY, KIND_PREF, KIND_TOWN, Index
-from tokoro.operators.prefix_join import extension_join, prefix_join
+from tokoro.operators.index import KIND_CITY, KIND_HEAD, KIND_PREF, KIND_TOWN, Index
+from tokoro.operators.prefix_join import digits_meet, extension_join, prefix_join
 from tokoro.schema import CITY, PREF
+from tokoro.storage import stored
 
 TOP = (1 << 31) - 1
 #: A trailing run of digits and dashes.
@@ -35,12 +36,28 @@ def _low(c: str, smaller_first: bool = True) -> Column:
     return (F.lit(TOP) - low if smaller_first else low).cast("int")
 
 
+def town_hits(queries: DataFrame, index: Index) -> DataFrame:
+    """(qid, n, row_id, splits): the towns that have a key which a text begins with. The
+    text is cut at the heads that it begins with (a broadcast join), and only there are
+    prefixes of the rest looked up, among the place's tails."""
+    tails = index.tails
+    heads = prefix_join(queries, index.names).where(F.col("kind") == KIND_HEAD)
+    most = F.least(F.length("norm") - F.col("n"), F.lit(tails.longest))
+    lengths = F.when(most >= tails.shortest, F.sequence(F.lit(tails.shortest), most))
+    cut = heads.select("qid", "norm", F.col("id").alias("place"), F.col("n").alias("_n"), F.explode(lengths).alias("_m"))
+    cut = cut.withColumn("tail", F.substring("norm", F.col("_n") + 1, F.col("_m"))).withColumn("n", F.col("_n") + F.col("_m")).where("n > 0")
+    found = cut.join(tails.table, ["place", "tail"])
+    return found.select("qid", "n", "row_id", digits_meet("norm", "n").alias("splits"))
+
+
 def forward(queries: DataFrame, index: Index) -> DataFrame:
     """queries (qid, norm, ...) with: had_hit, n, first_row, last_row (towns under the
     longest key), city_n, city_lg, pref_n, pref_lg."""
-    hits = prefix_join(queries, index.all_keys, index.lengths)
+    texts = queries.select("qid", "norm")
+    coarse = prefix_join(texts, index.names).where(F.col("kind") != KIND_HEAD).select("qid", "n", "id", "kind", F.lit(False).alias("splits"))
+    towns = town_hits(texts, index).select("qid", "n", F.col("row_id").alias("id"), F.lit(KIND_TOWN).alias("kind"), "splits")
     town = (F.col("kind") == KIND_TOWN) & ~F.col("splits")
-    found = hits.groupBy("qid").agg(
+    found = coarse.unionByName(towns).groupBy("qid").agg(
         F.max(F.col("kind") == KIND_TOWN).alias("had_hit"),
         F.max(F.when(town, _pack(True))).alias("_a"),
         F.max(F.when(town, _pack(False))).alias("_b"),
@@ -56,7 +73,7 @@ def forward(queries: DataFrame, index: Index) -> DataFrame:
 
 def forward_candidates(queries: DataFrame, index: Index, cap: int) -> DataFrame:
     """(qid, rank, row_id, n): towns by longest key, ties to the smaller row."""
-    hits = prefix_join(queries, index.keys, index.lengths).where("not splits")
+    hits = town_hits(queries.select("qid", "norm"), index).where("not splits")
     best = hits.groupBy("qid", "row_id").agg(F.max("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "row_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= cap)
@@ -82,12 +99,14 @@ def extension_stems(left: DataFrame) -> DataFrame:
 
 def extensions(left: DataFrame, index: Index, cap: int) -> DataFrame:
     """(qid, rank, row_id, n): for texts that are the beginning of keys, those keys' towns,
-    shortest key first; n: length of the stem."""
-    hits = extension_join(extension_stems(left), index.keys)
-    first = hits.groupBy("qid").agg(F.min("stem_no").alias("stem_no"))
-    best = hits.join(first, ["qid", "stem_no"]).groupBy("qid", "row_id").agg(F.min(F.struct(F.length("key").alias("len"), "key")).alias("k"), F.first(F.length("stem")).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("k", "row_id"))
-    return best.select("qid", "row_id", "n", rank.alias("rank")).where(F.col("rank") <= cap)
+    shortest key first; n: length of the stem. Each distinct stem is looked up once."""
+    stems = stored(extension_stems(left))
+    hits = extension_join(stems.select("stem").distinct(), index.full_keys)
+    best = hits.groupBy("stem", "row_id").agg(F.min(F.struct(F.length("key").alias("len"), "key")).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("stem").orderBy("k", "row_id"))
+    best = best.select("stem", "row_id", rank.alias("rank")).where(F.col("rank") <= cap)
+    first = stems.join(best.select("stem").distinct(), "stem", "left_semi").groupBy("qid").agg(F.min_by("stem", "stem_no").alias("stem"))
+    return first.join(best, "stem").select("qid", "row_id", F.length("stem").alias("n"), "rank")
 
 
 def city_wide(left: DataFrame, index: Index, cfg: Config) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +114,7 @@ def city_wide(left: DataFrame, index: Index, cfg: Config) -> tuple[DataFrame, Da
     (qid, key, n, count, needs_narrowing), n being where the towns' names may end, and the
     towns under each key (key, row_id, rank). Cities over the ceiling are left out."""
     named = left.where("city_n is not null").select("qid", F.substring("norm", F.lit(1), F.col("city_n")).alias("stem"), "norm", "city_n")
-    towns = extension_join(named.select("stem").distinct(), index.keys).select("stem", "row_id").distinct()
+    towns = extension_join(named.select("stem").distinct(), index.full_keys).select("stem", "row_id").distinct()
     counts = towns.groupBy("stem").agg(F.count("*").alias("count")).where(F.col("count") <= cfg.ceiling)
     rest = F.substring("norm", F.col("city_n") + 1, F.length("norm"))
     n = F.col("city_n") + F.length(F.regexp_extract(rest, r"^(\D*+)", 1))

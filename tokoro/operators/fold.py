@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokoro.functions.text import match_key, without_prefix
-from tokoro.operators.aliases import town_keys
+from tokoro.operators.aliases import split_keys
 from tokoro.schema import REGISTRY, SUPPLEMENT
 
 NAME_COLUMNS = ["pref", "county", "city", "ward", "oaza_cho", "chome", "chome_number", "koaza"]
@@ -77,17 +77,17 @@ def numbered(towns: DataFrame) -> DataFrame:
     return own.withColumn("_place", place).join(counts, "_range").withColumn("row_id", (F.col("_base") + F.col("_place")).cast("int")).drop("_range", "_place", "_base")
 
 
-def build_towns(rows: DataFrame, supplement: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """(town table, key table, counts) of registry rows and a supplement (ord, pref, city,
+def build_towns(rows: DataFrame, supplement: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """(town table, heads, keys, counts) of registry rows and a supplement (ord, pref, city,
     town, koaza, lat, lon). A row without any key gives no town."""
     rows = rows.where(F.concat(*(F.coalesce(c, F.lit("")) for c in NAME_COLUMNS)) != "")
     towns, owners = fold_towns(rows)
     towns = numbered(towns).withColumn("source", F.lit(REGISTRY))
-    keys = town_keys(owners, "owner").join(towns.select(F.col("ord").alias("owner"), "row_id"), "owner").select("key", "row_id").distinct()
+    named = owners.join(towns.select(F.col("ord").alias("owner"), "row_id"), "owner").select("row_id", *NAME_COLUMNS)
     stats = {"rows": rows.count(), "towns": towns.count()}
     stats["folded"] = owners.count() - stats["towns"]
     if supplement is None:
-        return towns.drop("ord", "chome_number"), keys, stats | {"added": 0, "merged": 0}
+        return towns.drop("ord", "chome_number"), *split_keys(named), stats | {"added": 0, "merged": 0}
 
     text = lambda c: F.coalesce(c, F.lit(""))
     city = F.concat(*(text(c) for c in ("pref", "county", "city", "ward")))
@@ -106,7 +106,6 @@ def build_towns(rows: DataFrame, supplement: DataFrame | None = None) -> tuple[D
     filled = towns.drop("chome_number", "ord").join(points, "row_id", "left").withColumn("_fill", F.col("lat").isNull())
     filled = filled.withColumn("lat", F.when(F.col("_fill"), F.col("q.lat")).otherwise(F.col("lat"))).withColumn("lon", F.when(F.col("_fill"), F.col("q.lon")).otherwise(F.col("lon"))).drop("q", "_fill")
     new = added.select("row_id", "lg_code", "machiaza_id", *[c for c in NAME_COLUMNS if c != "chome_number"], F.lit(0).alias("rsdt_addr_flg"), "lat", "lon", F.array().cast("array<int>").alias("alt_machiaza"), F.lit(SUPPLEMENT).alias("source"))
-    named = known.withColumnRenamed("owner_row", "row_id").unionByName(fresh.drop("owner_row").join(added.select("at", "row_id"), "at")).select("row_id", *NAME_COLUMNS)
-    all_keys = keys.unionByName(town_keys(named)).distinct()
+    also = known.withColumnRenamed("owner_row", "row_id").unionByName(fresh.drop("owner_row").join(added.select("at", "row_id"), "at")).select("row_id", *NAME_COLUMNS)
     n_new = added.count()
-    return filled.unionByName(new), all_keys, stats | {"added": n_new, "merged": extra.count() - n_new}
+    return filled.unionByName(new), *split_keys(named.unionByName(also.select("row_id", *NAME_COLUMNS))), stats | {"added": n_new, "merged": extra.count() - n_new}

@@ -1,42 +1,54 @@
-"""The tables that geocoding reads, with what is known of their sizes."""
+"""The tables that geocoding reads. What is derived from them is computed when first asked
+for, so that a look-up of numbers, say, doesn't measure keys."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.functions.text import normalize
-from tokoro.operators.aliases import city_keys, pref_keys, town_keys
-from tokoro.operators.prefix_join import bounded, key_lengths
+from tokoro.operators.aliases import city_keys, joined_keys, pref_keys, split_keys
+from tokoro.operators.prefix_join import Lookup, lookup
 
-KIND_PREF, KIND_CITY, KIND_TOWN = 0, 1, 2
+KIND_PREF, KIND_CITY, KIND_TOWN, KIND_HEAD = 0, 1, 2, 3
 
 
 @dataclass
 class Index:
     towns: DataFrame
-    keys: DataFrame  # key, row_id
+    heads: DataFrame  # head, place
+    keys: DataFrame  # place, tail, row_id
     cities: DataFrame
     prefs: DataFrame
     numbers: DataFrame
-    city_keys: DataFrame = None
-    pref_keys: DataFrame = None
-    lengths: tuple[int, int] = field(default=None)
-    all_keys: DataFrame = None
-
-    def __post_init__(self):
-        self.city_keys = city_keys(self.cities) if self.city_keys is None else self.city_keys
-        self.pref_keys = pref_keys(self.prefs) if self.pref_keys is None else self.pref_keys
-        union = self.keys.select("key", F.col("row_id").alias("id"), F.lit(KIND_TOWN).alias("kind"))
-        union = union.unionByName(self.city_keys.select("key", F.col("lg_code").alias("id"), F.lit(KIND_CITY).alias("kind")))
-        self.all_keys = union.unionByName(self.pref_keys.select("key", F.col("lg_code").alias("id"), F.lit(KIND_PREF).alias("kind")))
-        if self.lengths is None:
-            self.lengths = key_lengths(self.all_keys)
-        self.all_keys = bounded(self.all_keys)
+
+    @cached_property
+    def city_keys(self) -> DataFrame:
+        return city_keys(self.cities)
+
+    @cached_property
+    def pref_keys(self) -> DataFrame:
+        return pref_keys(self.prefs)
+
+    @cached_property
+    def names(self) -> Lookup:
+        """Heads, cities and prefectures by name (key, id, kind): a few for each municipality."""
+        one = lambda df, key, ident, kind: df.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.lit(kind).alias("kind"))
+        union = one(self.heads, "head", "place", KIND_HEAD).unionByName(one(self.city_keys, "key", "lg_code", KIND_CITY))
+        return lookup(union.unionByName(one(self.pref_keys, "key", "lg_code", KIND_PREF)))
+
+    @cached_property
+    def tails(self) -> Lookup:
+        return lookup(self.keys, "tail")
+
+    @property
+    def full_keys(self) -> DataFrame:
+        """(key, row_id), put together again."""
+        return joined_keys(self.heads, self.keys)
 
     @classmethod
-    def of_towns(cls, towns: DataFrame, cities: DataFrame, prefs: DataFrame, numbers: DataFrame, norm=normalize) -> Index:
+    def of_towns(cls, towns: DataFrame, cities: DataFrame, prefs: DataFrame, numbers: DataFrame) -> Index:
         """An index over towns that still have all name columns."""
-        return cls(towns, town_keys(towns, norm=norm), cities, prefs, numbers, city_keys(cities, norm), pref_keys(prefs, norm))
+        return cls(towns, *split_keys(towns), cities, prefs, numbers)

@@ -1,54 +1,65 @@
 """Prefix joins as hash joins.
 
-``text starts with key`` planned directly is a nested loop over all pairs. Every prefix of
-a text (of the lengths that keys have) is made a row instead and joined by equality.
+``text starts with key`` planned directly is a nested loop over all pairs. The prefixes of a
+text (of the lengths that keys have) are made rows instead and joined by equality.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.config import BROADCAST_ROWS
+from tokoro.config import BROADCAST_BYTES
+
+#: What a row of a broadcast table takes beside its texts.
+ROW_BYTES = 64
+
 
+@dataclass(frozen=True)
+class Lookup:
+    """A table of keys with its keys' lengths; ``table`` bears a broadcast hint if small."""
 
-def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    table: DataFrame
+    shortest: int
+    longest: int
 
 
-def key_lengths(keys: DataFrame) -> tuple[int, int]:
-    """Shortest and longest key: two numbers."""
-    low, high = keys.agg(F.min(F.length("key")), F.max(F.length("key"))).first()
-    return low or 1, high or 0
+def lookup(table: DataFrame, key: str = "key", most_bytes: int = BROADCAST_BYTES) -> Lookup:
+    n, size, low, high = table.agg(F.count("*"), F.sum(F.octet_length(key)), F.min(F.length(key)), F.max(F.length(key))).first()
+    small = n * ROW_BYTES + (size or 0) <= most_bytes
+    return Lookup(F.broadcast(table) if small else table, low or 0, high or 0)
 
 
-def prefix_rows(texts: DataFrame, lengths: tuple[int, int], qid: str = "qid", text: str = "norm") -> DataFrame:
-    """(qid, n, key, splits): the prefixes of each text; ``splits``: the cut falls between
-    two digits, so that a key ending there would split a number."""
-    low, high = max(1, lengths[0]), lengths[1]
-    longest = F.least(F.length(text), F.lit(high))
-    cut = texts.where(F.length(text) >= low).select(qid, F.col(text).alias("_text"), F.explode(F.when(longest >= low, F.sequence(F.lit(low), longest))).alias("n"))
-    key = F.substring("_text", F.lit(1), F.col("n"))
-    splits = F.substring("_text", F.col("n"), F.lit(1)).rlike(r"\d") & F.substring("_text", F.col("n") + 1, F.lit(1)).rlike(r"\d")
-    return cut.select(qid, "n", key.alias("key"), splits.alias("splits"))
+def digits_meet(text: str, n: str):
+    """Whether the cut after n characters falls between two digits."""
+    return F.substring(text, F.col(n), F.lit(1)).rlike(r"[0-9]") & F.substring(text, F.col(n) + 1, F.lit(1)).rlike(r"[0-9]")
 
 
-def prefix_join(texts: DataFrame, keys: DataFrame, lengths: tuple[int, int] | None = None, qid: str = "qid", text: str = "norm") -> DataFrame:
-    """(qid, n, splits, key, ...): all rows of ``keys`` whose key a text begins with."""
-    return prefix_rows(texts, lengths or key_lengths(keys), qid, text).join(keys, "key")
+def prefix_join(texts: DataFrame, keys: Lookup, qid: str = "qid", text: str = "norm") -> DataFrame:
+    """(qid, text, n, splits, key, ...): all rows of ``keys`` whose key a text begins with;
+    ``splits``: a number would be split there."""
+    longest = F.least(F.length(text), F.lit(keys.longest))
+    lengths = F.when(longest >= keys.shortest, F.sequence(F.lit(keys.shortest), longest))
+    cut = texts.select(qid, text, F.explode(lengths).alias("n")).withColumn("key", F.substring(text, F.lit(1), F.col("n")))
+    return cut.join(keys.table, "key").withColumn("splits", digits_meet(text, "n"))
 
 
-def longest_prefix(texts: DataFrame, keys: DataFrame, value: str, lengths: tuple[int, int] | None = None) -> DataFrame:
+def longest_prefix(texts: DataFrame, keys: DataFrame, value: str) -> DataFrame:
     """(qid, n, value): the longest key that each text begins with, ties to the smaller
     value (an int)."""
     packed = F.max(F.shiftleft(F.col("n").cast("long"), 32) + (F.lit((1 << 31) - 1) - F.col(value)))
-    best = prefix_join(texts, keys, lengths).groupBy("qid").agg(packed.alias("_best"))
+    best = prefix_join(texts, lookup(keys)).groupBy("qid").agg(packed.alias("_best"))
     return best.select("qid", F.shiftright("_best", 32).cast("int").alias("n"), (F.lit((1 << 31) - 1) - F.col("_best").bitwiseAND((1 << 31) - 1)).cast("int").alias(value))
 
 
 def extension_join(stems: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``stems`` (with a column stem) with the keys that begin with the stem: each
-    key's prefixes are rows, joined by equality."""
-    cut = keys.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))).alias("_len"))
-    return cut.withColumn("stem", F.substring("key", F.lit(1), F.col("_len"))).drop("_len").join(stems.where("stem <> ''"), "stem")
+    key's prefixes of the lengths that stems have are rows, joined by equality."""
+    own = stems.where("stem <> ''")
+    lengths = sorted(r[0] for r in own.select(F.length("stem")).distinct().collect())  # at most as many as the longest text has characters
+    if not lengths:
+        lengths = [1]
+    cut = keys.select("*", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("key"))).alias("_len"))
+    return cut.withColumn("stem", F.substring("key", F.lit(1), F.col("_len"))).drop("_len").join(own, "stem")

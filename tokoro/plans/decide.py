@@ -8,12 +8,14 @@ on the side would count retried tasks twice.
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokoro.config import Config
@@ -98,7 +100,7 @@ def pack(tokens: Sequence[int], owners: Sequence, budget: int, most_owners: int,
     return out
 
 
-ANSWER = "qid long, part int, option int, probability double, confidence double, contains double, answered boolean, failure string, requests int, input_tokens int, output_tokens int"
+ANSWER = "qid long, part int, option int, probability double, confidence double, contains double, answered boolean, failure string, requests int, input_tokens int, output_tokens int, millis double"
 
 
 def ask(questions: DataFrame, model: DecisionModel, cfg: Config, text: str, refers_to: tuple = (), narrow: bool = False) -> DataFrame:
@@ -115,16 +117,17 @@ def ask(questions: DataFrame, model: DecisionModel, cfg: Config, text: str, refe
                 groups = [list(range(a, min(a + cfg.batch_size, len(rows)))) for a in range(0, len(rows), cfg.batch_size)]
             out = []
             for group in groups:
-                own = [rows[i] for i in group]
+                own, began = [rows[i] for i in group], time.perf_counter()
                 try:
                     asked = [Question(dict(r["subject"]), text, list(r["options"]), str(r["qid"]), refers_to) for r in own]
                     decisions, usage = model.choose(asked)
                     failure = ""
                 except Exception as error:  # noqa: BLE001  whatever a model raises, the batch goes on
                     decisions, usage, failure = (), Usage(), f"{type(error).__name__}: {error}"
+                took = 1000 * (time.perf_counter() - began)
                 for k, r in enumerate(own):
                     d = decisions[k] if k < len(decisions) else Decision(None)
-                    cost = (usage.requests, usage.input_tokens, usage.output_tokens) if k == 0 else (0, 0, 0)
+                    cost = (usage.requests, usage.input_tokens, usage.output_tokens, took) if k == 0 else (0, 0, 0, None)
                     out.append((r["qid"], r["part"], -1 if d.index is None else d.index, d.probability, d.confidence, d.contains_answer, bool(decisions), failure, *cost))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
@@ -132,6 +135,21 @@ def ask(questions: DataFrame, model: DecisionModel, cfg: Config, text: str, refe
     return stored(dealt.mapInPandas(run, ANSWER))
 
 
+def latencies(*answers: DataFrame) -> DataFrame:
+    """(requests, p50, p90, worst) in milliseconds of the requests behind some answers."""
+    from tokoro.plans.evaluate import quantiles_by_rank
+
+    took = functools.reduce(DataFrame.unionByName, [a.where("millis is not null").select("millis") for a in answers]).withColumn("_all", F.lit(1))
+    counts = took.groupBy("_all").agg(F.count("*").alias("requests"), F.max("millis").alias("worst"))
+    return counts.join(quantiles_by_rank(took, "_all", "millis", {"p50": 0.5, "p90": 0.9}), "_all").select("requests", "p50", "p90", "worst")
+
+
+def merged(*outcomes: tuple[DataFrame, dict]) -> tuple[DataFrame, dict]:
+    """Results and counters of several batches as those of one."""
+    rows = functools.reduce(DataFrame.unionByName, [r for r, _ in outcomes])
+    return rows, {k: sum(u.get(k, 0) for _, u in outcomes) for k in dict.fromkeys(k for _, u in outcomes for k in u)}
+
+
 def usage_of(*answers: DataFrame) -> dict[str, int]:
     total = {"requests": 0, "input_tokens": 0, "output_tokens": 0}
     for a in answers:
@@ -158,16 +176,14 @@ def narrowed(wide: DataFrame, towns: DataFrame, texts: DataFrame, index: Index,
     answers = ask(asked, model, cfg, AREA_QUESTION, narrow=True)
     kept = answers.where("option >= 0").select("qid", (F.col("part") * cfg.max_candidates + F.col("option")).alias("option"))
     areas = kept.join(groups.select("qid", "option", "area"), ["qid", "option"])
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("option", "rank"))
     left = all_rows.join(areas, ["qid", "area"]).select("qid", "row_id", rank.alias("rank")).where(F.col("rank") <= cfg.max_candidates)
     return left, answers
 
 
-def geocode_with_model(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel, norm) -> tuple[DataFrame, dict]:
+def geocode_with_model(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel) -> tuple[DataFrame, dict]:
     """Results and usage."""
-    state = stored(states(queries, index, norm))
+    state = stored(states(queries, index))
     texts = state.select("qid", "query", "norm")
     sure = F.lit(False) if cfg.always_ask else unambiguous()
     fwd = forward_candidates(state.where(F.col("had_hit") & ~sure), index, cfg.max_candidates).select("qid", "rank", "row_id", "n", F.lit("forward").alias("step"))
@@ -231,5 +247,5 @@ def geocode_with_model(queries: DataFrame, index: Index, cfg: Config, model: Dec
         s = s.withColumn(f"b_{name}", F.when(asked_number, F.col(f"m_{name}")).otherwise(F.col(f"b_{name}")))
     failed = F.coalesce(F.col("m_failure") != "", F.lit(False)) & F.col("note_code").isNull()
     s = s.withColumn("note_args", F.when(failed, F.array("m_failure")).otherwise(F.col("note_args"))).withColumn("note_code", F.when(failed, F.lit("MODEL_FAILED")).otherwise(F.col("note_code")))
-    counts = usage_of(narrow_answers, answers, number_answers) | {"town_fast_path": s.where("d_fast").count(), "number_fast_path": s.where("b_fast").count()}
+    counts = usage_of(narrow_answers, answers, number_answers) | {"narrow_requests": usage_of(narrow_answers)["requests"], "town_fast_path": s.where("d_fast").count(), "number_fast_path": s.where("b_fast").count()}
     return assemble(s, index, cfg), counts

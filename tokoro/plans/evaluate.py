@@ -72,8 +72,13 @@ def accuracy(results: DataFrame, labels: DataFrame, column: str, label: str) ->
 
 def recall_and_precision(candidates: DataFrame, results: DataFrame, gold: DataFrame) -> DataFrame:
     """By perturbation: whether the right town is among the candidates (the index's part)
-    and whether it was chosen (the model's). gold: qid, condition, row_id."""
+    and whether it was chosen (the model's). gold: qid, condition, row_id, and the town's
+    lg_code and machiaza_id as results show them."""
     found = candidates.select("qid", "row_id").distinct().withColumn("_found", F.lit(1))
-    own = gold.join(found, ["qid", "row_id"], "left").join(results.select("qid", F.col("town_row").alias("_chosen")), "qid", "left")
-    right = (F.col("_chosen") == F.col("row_id")).cast("int")
-    return own.groupBy("condition").agg(F.count("*").alias("n"), F.avg(F.coalesce("_found", F.lit(0))).alias("recall"), F.avg(F.coalesce(right, F.lit(0))).alias("chosen"))
+    shown = results.select("qid", F.col("lg_code").alias("_lg"), F.col("machiaza_id").alias("_id"), F.col("resolved").alias("_resolved"))
+    own = gold.join(found, ["qid", "row_id"], "left").join(shown, "qid", "left")
+    right = F.coalesce((F.col("_id") != "") & (F.col("_id") == F.col("machiaza_id")) & (F.col("_lg") == F.col("lg_code")), F.lit(False))
+    share = lambda c: F.avg(c.cast("int"))
+    return own.groupBy("condition").agg(
+        F.count("*").alias("n"), share(F.coalesce("_found", F.lit(0))).alias("recall"), share(right).alias("correct"), share(F.coalesce("_resolved", F.lit(False))).alias("resolved")
+    )

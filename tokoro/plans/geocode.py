@@ -8,12 +8,12 @@ written once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokoro.config import Config
 from tokoro.functions.numbers import tail as tail_of
-from tokoro.functions.text import normalize
+from tokoro.functions.text import normalized
 from tokoro.operators.assemble import assemble, eligible
 from tokoro.operators.banchi import chosen_groups, with_entries
 from tokoro.operators.candidates import boundary, city_wide, extensions, forward, unambiguous
@@ -24,13 +24,9 @@ from tokoro.storage import stored
 TOWN_COLUMNS = ["row_id", "lg_code", "machiaza_id", "pref", "county", "city", "ward", "oaza_cho", "chome", "koaza", "rsdt_addr_flg", "lat", "lon", "source", "alt_machiaza"]
 
 
-def _nulls(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
-def states(queries: DataFrame, index: Index, norm=normalize) -> DataFrame:
+def states(queries: DataFrame, index: Index) -> DataFrame:
     """Queries (qid, query) with their normalised text, forward state and boundary."""
-    texts = queries.select("qid", "query", F.coalesce(norm(F.col("query")), F.lit("")).alias("norm"))
+    texts = normalized(queries.select("qid", "query"), "query", "norm").withColumn("norm", F.coalesce("norm", F.lit("")))
     return forward(texts, index).withColumn("ends_at", boundary())
 
 
@@ -86,9 +82,9 @@ def with_numbers(state: DataFrame, index: Index, cfg: Config) -> DataFrame:
     )
 
 
-def resolved_states(queries: DataFrame, index: Index, cfg: Config, norm=normalize) -> DataFrame:
+def resolved_states(queries: DataFrame, index: Index, cfg: Config) -> DataFrame:
     """States up to the number decision, without a model."""
-    state = stored(states(queries, index, norm))
+    state = stored(states(queries, index))
     state = with_codes(state.join(leftover_heads(state, index, cfg), "qid", "left"))
     sure = unambiguous() & F.lit(not cfg.always_ask)
     row = F.when(F.col("had_hit"), F.col("first_row")).otherwise(F.col("h_row"))
@@ -101,13 +97,12 @@ def resolved_states(queries: DataFrame, index: Index, cfg: Config, norm=normaliz
     return with_numbers(state, index, cfg)
 
 
-def geocode(queries: DataFrame, index: Index, cfg: Config | None = None, model=None, norm=normalize) -> DataFrame:
+def geocode(queries: DataFrame, index: Index, cfg: Config | None = None, model=None) -> DataFrame:
     """One result row for each query (qid, query). ``model``: see ``plans.decide``; None
-    takes what is certain and reports why the rest isn't. ``norm``: normalisation; the
-    cheaper ``normalize_stable`` may stand in for texts that NFKC leaves alone."""
+    takes what is certain and reports why the rest isn't."""
     cfg = cfg or Config()
     if model is not None:
         from tokoro.plans.decide import geocode_with_model
 
-        return geocode_with_model(queries, index, cfg, model, norm)[0]
-    return assemble(resolved_states(queries, index, cfg, norm), index, cfg)
+        return geocode_with_model(queries, index, cfg, model)[0]
+    return assemble(resolved_states(queries, index, cfg), index, cfg)

@@ -13,7 +13,7 @@ from tokoro.config import Config
 from tokoro.functions import geo, names, numbers, text
 from tokoro.operators import aliases, banchi, candidates, fold
 from tokoro.operators.assemble import assemble
-from tokoro.operators.prefix_join import extension_join, longest_prefix, prefix_join
+from tokoro.operators.prefix_join import extension_join, longest_prefix
 from tokoro.plans import synthetic
 from tokoro.plans.geocode import geocode, resolved_states, states
 from tokoro.plans.synthetic import WITH
@@ -279,7 +279,7 @@ SELECT CAST(row_id AS INT) AS row_id, 'registry' AS source, coalesce(t.lat, (SEL
 UNION ALL SELECT CAST((SELECT count(*) FROM town0) + row_number() OVER (ORDER BY ord) - 1 AS INT), 'supplement', lat FROM fresh""")
 def bd6_supplement(spark, sf_dir):
     extra = spark.sql(EXTRA, g_town=_g(spark, sf_dir)["g_town"])
-    towns, _, _ = fold.build_towns(_raw(spark, sf_dir), extra)
+    towns, *_ = fold.build_towns(_raw(spark, sf_dir), extra)
     return towns.select("row_id", "source", "lat")
 
 
@@ -288,13 +288,13 @@ def bd6_supplement(spark, sf_dir):
 
 def _texts(spark, sf_dir):
     g = _g(spark, sf_dir)
-    return g, synthetic.index(g), g["g_query"].select("qid", text.normalize(F.col("query")).alias("norm"))
+    return g, synthetic.index(spark, sf_dir), text.normalized(g["g_query"], "query", "norm").select("qid", "norm")
 
 
 @query(f"{WITH}, {_KEYS}, {_NORM} SELECT qid, row_id, CAST(length(key) AS INT) AS n FROM norm JOIN town_key ON starts_with(norm, key)")
 def jn1_prefix_join(spark, sf_dir):
     _, index, q = _texts(spark, sf_dir)
-    return prefix_join(q, index.keys).select("qid", "row_id", "n")
+    return candidates.town_hits(q, index).select("qid", "row_id", "n").distinct()
 
 
 @query(f"{BASE} SELECT qid, CAST(n AS INT) AS n, lg_code FROM city_hit WHERE r = 1")
@@ -313,7 +313,7 @@ def jn3_pref_prefix(spark, sf_dir):
 def jn4_extension_join(spark, sf_dir):
     _, index, _ = _texts(spark, sf_dir)
     stems = index.city_keys.select("lg_code", F.col("key").alias("stem"))
-    return extension_join(stems, index.keys).groupBy("lg_code", "stem").agg(F.count("*").alias("keys"), F.countDistinct("row_id").alias("towns"))
+    return extension_join(stems, index.full_keys).groupBy("lg_code", "stem").agg(F.count("*").alias("keys"), F.countDistinct("row_id").alias("towns"))
 
 
 #: Position rows by flag: some towns have one for their own flag, some only for the other.
@@ -336,7 +336,7 @@ def jn9_position_fallback(spark, sf_dir):
 
 def _state(spark, sf_dir):
     g = _g(spark, sf_dir)
-    index = synthetic.index(g)
+    index = synthetic.index(spark, sf_dir)
     return index, stored(states(g["g_query"], index))
 
 
@@ -395,7 +395,7 @@ def cg8_group_display(spark, sf_dir):
 
 def _tails(spark, sf_dir):
     g = _g(spark, sf_dir)
-    index = synthetic.index(g)
+    index = synthetic.index(spark, sf_dir)
     q = g["g_query"].select("qid", F.regexp_extract("query", r"(\d+(?:(?:-|番地|番|号)*\d+)*)\D*$", 1).alias("t"), (F.col("qid") % index.towns.count()).cast("int").alias("row_id"))
     q = q.select("qid", "row_id", numbers.tail_parts(F.col("t"))[0].alias("numbers")).where(F.size("numbers") > 0)
     return banchi.with_entries(q.join(index.towns, "row_id"), index.numbers)
@@ -476,7 +476,7 @@ result AS (SELECT qid, query, CASE WHEN adopted AND kind = 2 AND len(z) < 2 THEN
 @query(f"{_GEO} SELECT qid, query, granularity, address, coalesce(resolved, FALSE) AS resolved, prc_id, lat, CAST(confidence AS DOUBLE) AS confidence, note_code FROM result")
 def geocode_nomodel(spark, sf_dir):
     g = _g(spark, sf_dir)
-    return geocode(g["g_query"], synthetic.index(g)).select("qid", "query", "granularity", "address", "resolved", "prc_id", "lat", "confidence", "note_code")
+    return geocode(g["g_query"], synthetic.index(spark, sf_dir)).select("qid", "query", "granularity", "address", "resolved", "prc_id", "lat", "confidence", "note_code")
 
 
 @query(f"{_GEO} SELECT granularity, count(*) AS queries, count(*) FILTER (WHERE resolved) AS resolved FROM result GROUP BY 1")
@@ -484,7 +484,7 @@ def ag4_granularity_hist(spark, sf_dir):
     from tokoro.plans.evaluate import granularity_histogram
 
     g = _g(spark, sf_dir)
-    return granularity_histogram(geocode(g["g_query"], synthetic.index(g)))
+    return granularity_histogram(geocode(g["g_query"], synthetic.index(spark, sf_dir)))
 
 
 @query(f"{_GEO} SELECT note_code, count(*) AS queries FROM result WHERE note_code <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
@@ -492,7 +492,7 @@ def ag8_stop_reasons(spark, sf_dir):
     from tokoro.plans.evaluate import stop_reasons
 
     g = _g(spark, sf_dir)
-    return stop_reasons(geocode(g["g_query"], synthetic.index(g))).select("note_code", "queries")
+    return stop_reasons(geocode(g["g_query"], synthetic.index(spark, sf_dir))).select("note_code", "queries")
 
 
 @query(f"""{_GEO} SELECT threshold, count(*) AS queries, count(*) FILTER (WHERE row_id IS NOT NULL AND sure) AS towns FROM coarse, (SELECT CAST(unnest([0.0, 0.3, 0.7, 0.95]) AS DOUBLE) AS threshold) GROUP BY 1""")
@@ -500,7 +500,7 @@ def as_gate_sweep(spark, sf_dir):
     from tokoro.plans.evaluate import threshold_sweep
 
     g = _g(spark, sf_dir)
-    index = synthetic.index(g)
+    index = synthetic.index(spark, sf_dir)
     return threshold_sweep(resolved_states(g["g_query"], index, Config()), Config(), (0.0, 0.3, 0.7, 0.95))
 
 
@@ -514,7 +514,7 @@ def ag7_distance_quantiles(spark, sf_dir):
     n = g["g_town"].count()
     gold = g["g_query"].select("qid", (F.col("qid") * 7 % n).cast("int").alias("row_id")).join(g["g_town"].select("row_id", F.col("lat").alias("g_lat")), "row_id").where("g_lat is not null")
     zero = F.lit(0.0)
-    found = geocode(g["g_query"], synthetic.index(g)).where("lat is not null").join(gold, "qid")
+    found = geocode(g["g_query"], synthetic.index(spark, sf_dir)).where("lat is not null").join(gold, "qid")
     return distance_report(found.select(F.round(geo.haversine_m(F.col("lat"), zero, F.col("g_lat"), zero), 3).alias("m")), "m", 1000)
 
 

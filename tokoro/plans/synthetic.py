@@ -9,7 +9,9 @@ towns of one name lie in several cities, and some twice in one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tokoro.operators.aliases import split_keys
 from tokoro.operators.index import Index
 from tokoro.storage import stored
 
@@ -84,12 +86,20 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def index(g: dict[str, DataFrame]) -> Index:
-    from pyspark.sql import functions as F
+_BUILT: dict[tuple, Index] = {}
 
-    towns = stored(g["g_town"]).withColumn("alt_machiaza", F.when(F.col("row_id") % 9 == 0, F.array(F.col("machiaza_id") + 25)))
-    made = Index.of_towns(towns, g["g_city"].drop("nation"), g["g_pref"], g["g_number"])
-    return Index(towns, stored(made.keys), made.cities, made.prefs, made.numbers, made.city_keys, made.pref_keys, made.lengths)
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over the gazetteer of a folder. It is built and written once in a session,
+    as a user's is, and every query reads it."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _BUILT:
+        g = tables(spark, sf_dir)
+        towns = stored(g["g_town"])
+        heads, keys = split_keys(towns)
+        towns = towns.withColumn("alt_machiaza", F.when(F.col("row_id") % 9 == 0, F.array(F.col("machiaza_id") + 25)))
+        _BUILT[known] = Index(towns, stored(heads), stored(keys), stored(g["g_city"].drop("nation")), stored(g["g_pref"]), stored(g["g_number"]))
+    return _BUILT[known]
 
 
 #: The same tables for DuckDB, as common table expressions.

@@ -16,7 +16,8 @@ TOWN_TABLE = (
     "row_id int, lg_code int, machiaza_id int, pref string, county string, city string, ward string, oaza_cho string, "
     "chome string, koaza string, rsdt_addr_flg int, lat double, lon double, source string, alt_machiaza array<int>"
 )
-KEY_TABLE = "key string, row_id int"
+HEAD_TABLE = "head string, place int"
+KEY_TABLE = "place int, tail string, row_id int"
 NUMBER_TABLE = "lg_code int, machiaza_id int, kind int, num1 int, num2 int, num3 int, lat double, lon double"
 LEDGER = "url string, kind string, last_modified string, rows bigint, ingested_at string"
 META = "key string, value string"

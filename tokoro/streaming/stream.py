@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tokoro.config import Config
 from tokoro.operators.index import Index
@@ -16,7 +15,6 @@ def geocode_stream(queries: DataFrame, index: Index, path: str, checkpoint: str,
     run again replaces itself. The started query."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        out = geocode(rows, index, cfg, model).withColumn("batch", F.lit(number))
-        out.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        geocode(rows, index, cfg, model).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
