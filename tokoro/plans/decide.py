@@ -183,6 +183,12 @@ def narrowed(wide: DataFrame, towns: DataFrame, texts: DataFrame, index: Index,
 
 def geocode_with_model(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel) -> tuple[DataFrame, dict]:
     """Results and usage."""
+    s, counts = decided_states(queries, index, cfg, model)
+    return assemble(s, index, cfg), counts
+
+
+def decided_states(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel) -> tuple[DataFrame, dict]:
+    """States with the town's (d_) and the number's (b_) decision, and usage."""
     state = stored(states(queries, index))
     texts = state.select("qid", "query", "norm")
     sure = F.lit(False) if cfg.always_ask else unambiguous()
@@ -248,4 +254,4 @@ def geocode_with_model(queries: DataFrame, index: Index, cfg: Config, model: Dec
     failed = F.coalesce(F.col("m_failure") != "", F.lit(False)) & F.col("note_code").isNull()
     s = s.withColumn("note_args", F.when(failed, F.array("m_failure")).otherwise(F.col("note_args"))).withColumn("note_code", F.when(failed, F.lit("MODEL_FAILED")).otherwise(F.col("note_code")))
     counts = usage_of(narrow_answers, answers, number_answers) | {"narrow_requests": usage_of(narrow_answers)["requests"], "town_fast_path": s.where("d_fast").count(), "number_fast_path": s.where("b_fast").count()}
-    return assemble(s, index, cfg), counts
+    return s, counts

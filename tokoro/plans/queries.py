@@ -15,7 +15,7 @@ from tokoro.operators import aliases, banchi, candidates, fold
 from tokoro.operators.assemble import assemble
 from tokoro.operators.prefix_join import extension_join, longest_prefix
 from tokoro.plans import synthetic
-from tokoro.plans.geocode import geocode, resolved_states, states
+from tokoro.plans.geocode import geocode, states
 from tokoro.plans.synthetic import WITH
 from tokoro.storage import stored
 
@@ -439,27 +439,28 @@ def nb5_exact(spark, sf_dir):
 
 # ---- end to end
 
+_AFTER = "丁目|番地|番|号室|号|地割|の|ノ"
 _GEO = f"""{BASE}, {_WIDE},
 head AS (SELECT qid, row_id, n FROM ext_best WHERE rank = 1 UNION ALL SELECT qid, CASE WHEN cnt <= 254 THEN wide_first END, n FROM wide_state),
 pick0 AS (SELECT e.*, CASE WHEN had_hit THEN first_row ELSE h.row_id END AS town_row, CASE WHEN had_hit THEN e.n ELSE h.n END AS town_n, coalesce(had_hit AND first_row = last_row, FALSE) AS sure, h.qid IS NOT NULL AS stepped
   FROM ended e LEFT JOIN head h ON h.qid = e.qid),
-towned AS (SELECT p.*, t.row_id, t.lg_code AS t_lg, t.machiaza_id, t.pref AS t_pref, t.county AS t_county, t.city AS t_city, t.ward AS t_ward, oaza_cho || chome || koaza AS t_name, rsdt_addr_flg, t.lat AS t_lat, t.source,
+towned AS (SELECT p.*, t.row_id, t.lg_code AS t_lg, t.machiaza_id, t.pref AS t_pref, t.county AS t_county, t.city AS t_city, t.ward AS t_ward, oaza_cho || chome || koaza AS t_name, rsdt_addr_flg, t.lat AS t_lat, t.lon AS t_lon, t.source,
   substring(norm, town_n + 1) AS raw FROM pick0 p LEFT JOIN g_town t ON t.row_id = p.town_row),
 tailed AS (SELECT *, CASE WHEN row_id IS NOT NULL THEN regexp_replace(raw, '^{_SEP}+', '') END AS body FROM towned),
 numbered AS (SELECT *, list_transform(list_slice(regexp_extract_all(regexp_extract(body, '{_RUN}', 1), '\\d+'), 1, 3), lambda x: CAST(x AS INT)) AS nums, regexp_extract(body, '^(\\D*)\\d', 1) AS skipped FROM tailed),
 look AS (SELECT qid, nums, t_lg, unnest(CASE WHEN row_id % 9 = 0 THEN [machiaza_id, machiaza_id + 25] ELSE [machiaza_id] END) AS mid, unnest(CASE WHEN row_id % 9 = 0 THEN [0, 1] ELSE [0] END) AS id_pos,
   CASE WHEN rsdt_addr_flg = 1 THEN [2, 1, 3] ELSE [3] END AS kinds FROM numbered WHERE sure AND len(nums) > 0 AND source = 'registry'),
-entry AS (SELECT qid, nums, id_pos, list_position(kinds, n.kind) - 1 AS kind_pos, n.kind, num1, num2, num3, lat, CASE WHEN num3 <> 0 THEN [num1, num2, num3] WHEN num2 <> 0 THEN [num1, num2] ELSE [num1] END AS shown
+entry AS (SELECT qid, nums, id_pos, list_position(kinds, n.kind) - 1 AS kind_pos, n.kind, num1, num2, num3, lat, lon, CASE WHEN num3 <> 0 THEN [num1, num2, num3] WHEN num2 <> 0 THEN [num1, num2] ELSE [num1] END AS shown
   FROM look JOIN g_number n ON n.lg_code = t_lg AND n.machiaza_id = mid AND num1 = nums[1] AND list_contains(kinds, n.kind)),
 fit AS (SELECT *, shown = nums AS exact, len(nums) < len(shown) AND shown[1:len(nums)] = nums AS parent FROM entry),
 grp AS (SELECT qid, id_pos, kind_pos, kind, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE parent) AS n_parents,
-  min_by({{'a': num1, 'b': num2, 'c': num3, 'lat': lat, 's': len(shown)}}, num1 * 1000000 + num2 * 1000 + num3) FILTER (WHERE exact) AS ex,
-  min_by({{'a': num1, 'b': num2, 'c': num3, 'lat': lat, 's': len(shown)}}, num1 * 1000000 + num2 * 1000 + num3) FILTER (WHERE parent) AS pa FROM fit GROUP BY 1, 2, 3, 4),
+  min_by({{'a': num1, 'b': num2, 'c': num3, 'lat': lat, 'lon': lon, 's': len(shown)}}, num1 * 1000000 + num2 * 1000 + num3) FILTER (WHERE exact) AS ex,
+  min_by({{'a': num1, 'b': num2, 'c': num3, 'lat': lat, 'lon': lon, 's': len(shown)}}, num1 * 1000000 + num2 * 1000 + num3) FILTER (WHERE parent) AS pa FROM fit GROUP BY 1, 2, 3, 4),
 pickd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n_exact > 0 THEN 0 ELSE 1 END, id_pos, kind_pos) AS r FROM grp) WHERE r = 1),
 decided AS (SELECT m.*, kind, n_parents, coalesce(n_exact = 0 AND skipped = '' AND n_parents > 0, FALSE) AS parent, CASE WHEN n_exact = 0 AND skipped = '' AND n_parents > 0 THEN pa WHEN n_exact = 1 THEN ex END AS e FROM numbered m LEFT JOIN pickd p ON p.qid = m.qid),
 shown AS (SELECT *, e IS NOT NULL AS adopted, CASE WHEN parent THEN nums WHEN e.c <> 0 THEN [e.a, e.b, e.c] WHEN e.b <> 0 THEN [e.a, e.b] ELSE [e.a] END AS z FROM decided),
-coarse AS (SELECT s.*, c.lg_code AS y_lg, c.pref AS y_pref, c.county AS y_county, c.city AS y_city, c.ward AS y_ward, c.lat AS y_lat,
-  p.lg_code AS p_lg, p.pref AS p_pref, p.lat AS p_lat FROM shown s
+coarse AS (SELECT s.*, c.lg_code AS y_lg, c.pref AS y_pref, c.county AS y_county, c.city AS y_city, c.ward AS y_ward, c.lat AS y_lat, c.lon AS y_lon,
+  p.lg_code AS p_lg, p.pref AS p_pref, p.lat AS p_lat, p.lon AS p_lon FROM shown s
   LEFT JOIN g_city c ON c.lg_code = CASE WHEN row_id IS NOT NULL THEN t_lg WHEN ends_at IS DISTINCT FROM 1 THEN city_lg END
   LEFT JOIN g_pref p ON p.lg_code = CASE WHEN ends_at = 1 OR (NOT had_hit AND NOT stepped AND city_lg IS NULL) THEN pref_lg END),
 result AS (SELECT qid, query, CASE WHEN adopted AND kind = 2 AND len(z) < 2 THEN 'block' WHEN adopted THEN ['block', 'rsdt', 'parcel'][kind] WHEN sure THEN 'machiaza' WHEN row_id IS NOT NULL OR y_lg IS NOT NULL THEN 'city' WHEN p_lg IS NOT NULL THEN 'pref' ELSE 'unknown' END AS granularity,
@@ -467,16 +468,34 @@ result AS (SELECT qid, query, CASE WHEN adopted AND kind = 2 AND len(z) < 2 THEN
   || CASE WHEN NOT adopted THEN '' WHEN kind = 1 OR (kind = 2 AND len(z) < 2) THEN z[1] || '番' WHEN kind = 2 THEN z[1] || '番' || z[2] || '号' || CASE WHEN len(z) > 2 AND z[3] <> 0 THEN 'の' || z[3] ELSE '' END ELSE array_to_string(z, '-') || '番地' END AS address,
   sure OR (row_id IS NULL AND ((ends_at = 2 AND y_lg IS NOT NULL) OR (ends_at = 1 AND p_lg IS NOT NULL))) AS resolved,
   CASE WHEN adopted AND NOT parent AND kind = 3 THEN printf('%05d%05d%05d', e.a, e.b, e.c) ELSE '' END AS prc_id,
+  CASE WHEN adopted AND NOT parent AND kind <> 3 THEN printf('%03d', e.a) ELSE '' END AS blk_id, CASE WHEN adopted AND NOT parent AND kind = 2 THEN printf('%03d', e.b) ELSE '' END AS rsdt_id,
+  CASE WHEN adopted AND NOT parent AND kind = 2 AND e.c <> 0 THEN printf('%03d', e.c) ELSE '' END AS rsdt2_id,
+  CASE WHEN row_id IS NOT NULL THEN t_pref WHEN y_lg IS NOT NULL THEN y_pref WHEN p_lg IS NOT NULL THEN p_pref ELSE '' END AS pref,
+  CASE WHEN row_id IS NOT NULL THEN t_county || t_city || t_ward WHEN y_lg IS NOT NULL THEN y_county || y_city || y_ward ELSE '' END AS place,
+  CASE WHEN sure THEN t_name ELSE '' END AS machiaza, CASE WHEN sure AND source = 'registry' THEN printf('%07d', machiaza_id) ELSE '' END AS machiaza_id,
+  CASE WHEN row_id IS NOT NULL THEN printf('%06d', t_lg) WHEN y_lg IS NOT NULL THEN printf('%06d', y_lg) WHEN p_lg IS NOT NULL THEN printf('%06d', p_lg) ELSE '' END AS lg_code,
+  CASE WHEN adopted AND len(regexp_extract_all(raw, '\\d+')) < e.s THEN '' WHEN adopted THEN regexp_replace(regexp_replace(CASE e.s
+    WHEN 1 THEN regexp_replace(raw, '^(?:\\D*\\d+){{1}}(?:{_AFTER})?', '') WHEN 2 THEN regexp_replace(raw, '^(?:\\D*\\d+){{2}}(?:{_AFTER})?', '')
+    ELSE regexp_replace(raw, '^(?:\\D*\\d+){{3}}(?:{_AFTER})?', '') END, '^[\\-ー−–—―‐ 　,、]+', ''), '[\\-ー−–—―‐ 　,、]+$', '') WHEN sure THEN raw ELSE '' END AS remainder,
   CASE WHEN adopted AND e.lat IS NOT NULL THEN e.lat WHEN sure THEN coalesce(t_lat, y_lat) WHEN row_id IS NOT NULL OR y_lg IS NOT NULL THEN y_lat WHEN p_lg IS NOT NULL THEN p_lat END AS lat,
+  CASE WHEN adopted AND e.lat IS NOT NULL THEN e.lon WHEN sure THEN coalesce(t_lon, y_lon) WHEN row_id IS NOT NULL OR y_lg IS NOT NULL THEN y_lon WHEN p_lg IS NOT NULL THEN p_lon END AS lon,
+  CASE WHEN adopted AND e.lat IS NOT NULL THEN CASE WHEN kind = 2 AND len(z) < 2 THEN 'block' ELSE ['block', 'rsdt', 'parcel'][kind] END WHEN sure AND t_lat IS NOT NULL THEN 'machiaza'
+    WHEN (row_id IS NOT NULL OR y_lg IS NOT NULL) AND y_lat IS NOT NULL THEN 'city' WHEN row_id IS NULL AND y_lg IS NULL AND p_lat IS NOT NULL THEN 'pref' ELSE 'unknown' END AS point_granularity,
   CASE WHEN sure OR (row_id IS NULL AND ((ends_at = 2 AND y_lg IS NOT NULL) OR (ends_at = 1 AND p_lg IS NOT NULL))) THEN 1.0 ELSE 0.0 END AS confidence,
   CASE WHEN row_id IS NOT NULL AND NOT sure THEN 'MODEL_NOT_CONFIGURED' WHEN adopted AND parent THEN 'BRANCH_UNKNOWN' WHEN row_id IS NOT NULL THEN '' WHEN y_lg IS NOT NULL THEN CASE WHEN ends_at = 2 THEN '' ELSE 'UNDETERMINED' END
     WHEN p_lg IS NOT NULL THEN CASE WHEN ends_at = 1 THEN '' ELSE 'UNDETERMINED' END ELSE 'NO_CANDIDATE' END AS note_code FROM coarse)"""
 
 
-@query(f"{_GEO} SELECT qid, query, granularity, address, coalesce(resolved, FALSE) AS resolved, prc_id, lat, CAST(confidence AS DOUBLE) AS confidence, note_code FROM result")
+_SHOWN_RESULT = "qid, query, granularity, address, resolved, pref, place, machiaza, remainder, lg_code, machiaza_id, blk_id, rsdt_id, rsdt2_id, prc_id, lat, lon, point_granularity, confidence, note_code"
+
+
+def shown_result(results: DataFrame) -> DataFrame:
+    return results.withColumn("place", names.display("county", "city", "ward")).select(*_SHOWN_RESULT.split(", "))
+
+
+@query(f"{_GEO} SELECT {_SHOWN_RESULT.replace('resolved', 'coalesce(resolved, FALSE) AS resolved').replace('confidence', 'CAST(confidence AS DOUBLE) AS confidence')} FROM result")
 def geocode_nomodel(spark, sf_dir):
-    g = _g(spark, sf_dir)
-    return geocode(g["g_query"], synthetic.index(spark, sf_dir)).select("qid", "query", "granularity", "address", "resolved", "prc_id", "lat", "confidence", "note_code")
+    return shown_result(geocode(_g(spark, sf_dir)["g_query"], synthetic.index(spark, sf_dir)))
 
 
 @query(f"{_GEO} SELECT granularity, count(*) AS queries, count(*) FILTER (WHERE resolved) AS resolved FROM result GROUP BY 1")
@@ -495,15 +514,6 @@ def ag8_stop_reasons(spark, sf_dir):
     return stop_reasons(geocode(g["g_query"], synthetic.index(spark, sf_dir))).select("note_code", "queries")
 
 
-@query(f"""{_GEO} SELECT threshold, count(*) AS queries, count(*) FILTER (WHERE row_id IS NOT NULL AND sure) AS towns FROM coarse, (SELECT CAST(unnest([0.0, 0.3, 0.7, 0.95]) AS DOUBLE) AS threshold) GROUP BY 1""")
-def as_gate_sweep(spark, sf_dir):
-    from tokoro.plans.evaluate import threshold_sweep
-
-    g = _g(spark, sf_dir)
-    index = synthetic.index(spark, sf_dir)
-    return threshold_sweep(resolved_states(g["g_query"], index, Config()), Config(), (0.0, 0.3, 0.7, 0.95))
-
-
 @query(f"""{_GEO}, gold AS (SELECT r.qid, r.lat, t.lat AS g_lat FROM result r JOIN g_town t ON t.row_id = (r.qid * 7) % (SELECT count(*) FROM g_town) WHERE r.lat IS NOT NULL AND t.lat IS NOT NULL),
 d AS (SELECT round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(g_lat - lat) / 2), 2))), 3) AS m FROM gold)
 SELECT count(*) AS n, list_sort(list(m))[1 + least(count(*) - 1, CAST(floor(count(*) * 0.5) AS BIGINT))] AS p50, list_sort(list(m))[1 + least(count(*) - 1, CAST(floor(count(*) * 0.9) AS BIGINT))] AS p90, count(*) FILTER (WHERE m > 1000) AS beyond FROM d""")
