@@ -2,51 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An Arrow batch holds at most this many rows and, where Spark offers the setting, bytes:
-#: a worker never has to hold thousands of very long texts at once.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+from tokoro.storage import scratch as shared_dir  # noqa: F401  the one scratch folder of the library
 
+#: Python operators work on slices of at most this many rows and, beyond a row, bytes of
+#: Spark's Arrow batches (which Spark itself bounds by rows and bytes).
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where the setting is absent, a temporary folder serves in local mode only; on a
-    cluster its absence is an error, as executors don't see each other's disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tokoro-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/tokoro/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, at: str) -> DataFrame:
+def written(df: DataFrame, at: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut."""
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that the Python operators are fed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut small, so that what a worker makes of one is bounded; the
+    session's own batch settings stay as they are."""
+    for batch in batches:
+        at, n = 0, rows
+        while at < batch.num_rows:
+            part = batch.slice(at, n)
+            if n > 1 and part.nbytes > SLICE_BYTES:
+                n = max(1, n // 2)
+                continue
+            yield part
+            at, n = at + part.num_rows, rows
 
 
-def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(make, schema)
+def map_arrow(df: DataFrame, make: Callable, schema, rows: int = SLICE_ROWS) -> DataFrame:
+    return df.mapInArrow(lambda batches: make(slices(batches, rows)), schema)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -59,22 +49,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class WorkerCache(dict):
-    """Values by key, made on demand, in two generations of at most ``limit`` entries.
+    """Values by key, made on demand, in two generations, each of at most ``limit`` entries
+    and ``limit_bytes`` bytes of keys and values.
 
     When the young generation is full it becomes the old one, so that memory is bounded
-    while keys in steady use stay.
+    while keys in steady use stay. A key of over ``LONG`` bytes or characters is never
+    kept: it is seldom met again, and texts without spaces are one such key each.
     """
 
-    def __init__(self, make: Callable, limit: int):
+    LONG = 1 << 10
+
+    def __init__(self, make: Callable, limit: int, limit_bytes: int = 48 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.limit_bytes = make, limit, limit_bytes
+        self.old, self.held = {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        size = (len(key) if isinstance(key, (bytes, str)) else 16) + (len(value) if isinstance(value, (bytes, str)) else 8)
+        if size > self.LONG:
+            return value
+        if len(self) >= self.limit or self.held > self.limit_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += size
         return value

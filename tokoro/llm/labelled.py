@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,12 @@ def usable(labels: DataFrame, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, label, fold) of at most ``most`` labelled training rows of each class.
+    """(doc_id, text, label, fold) of at most ``most`` labelled training ids of each class.
 
-    The rows with the smallest hash of their id are taken; a null id or label takes no
-    part, of repeated ids the larger label counts. The ids are few enough to broadcast by
-    that bound, so the texts aren't shuffled.
+    The ids with the smallest hash are taken; a null id or label takes no part, of repeated
+    ids the larger label counts. They are few enough to broadcast by that bound, so the
+    texts aren't shuffled. Rows of documents that share an id come as they are; use
+    ``one_text`` where each id may count once only.
     """
     by_hash = usable(labels, label).withColumn("at", F.xxhash64("doc_id"))
     one, zero = (by_hash.where(F.col("label") == k).orderBy("at", "doc_id").limit(most) for k in (1, 0))
@@ -30,14 +31,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "fold")
 
 
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row for each id of a sample, that of the smallest text."""
+    return rows.groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text"))
+
+
+def within_bytes(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """Of a sample with one row an id, the rows of each class by hash of the id while their
+    texts together have at most ``most_bytes`` bytes; whole texts or none. The sample's own
+    bound keeps a class's window small."""
+    upto = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+
+
 def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:
-    """Rows labelled 0 and 1 that may be learnt from."""
-    found = labels.where(~held_out()).groupBy(F.col(label).cast("int").alias("label")).count().where("label in (0, 1)").collect()
-    n = {r["label"]: r["count"] for r in found}
+    """Ids of label 0 and 1 that may be learnt from."""
+    n = {r["label"]: r["count"] for r in usable(labels, label).groupBy("label").count().collect()}  # two rows
     return n.get(0, 0), n.get(1, 0)
 
 
 def class_weights(labels: DataFrame, label: str, most: int) -> tuple[float, float]:
     """How many usable ids of label 0 and 1 stand behind each one that ``sample`` takes."""
-    n = {r["label"]: r["count"] for r in usable(labels, label).groupBy("label").count().collect()}
-    return max(1.0, n.get(0, 0) / most), max(1.0, n.get(1, 0) / most)
+    zero, one = class_counts(labels, label)
+    return max(1.0, zero / most), max(1.0, one / most)
