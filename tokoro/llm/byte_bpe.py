@@ -9,8 +9,10 @@ tried, and when none is left the search steps back. Places already known to be d
 are never entered again, so the work is linear in the length; compatibility of a pair is
 memoised.
 
-Defined results: null text is empty (0 tokens; hashes of the empty string); repeated rows
-give a row each; an empty table no rows; other columns are ignored.
+Defined results: null text is empty (0 tokens; hashes of the empty string); a very long
+text, or one without any space, is encoded whole; what the pattern doesn't match gets no
+tokens; repeated rows give a row each, equal texts equal values; an empty table no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ class BacktrackBPE(ByteLevelCutter):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
 
-        super().__init__()
-        self.split = regex.compile(pattern).findall
+        super().__init__(pattern)
+        compiled = regex.compile(pattern)
+        self.split = (lambda text: [m[0] for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
         self.rank = {t.decode("latin-1"): r for t, r in ranks.items()}
         self.text = {r: t for t, r in self.rank.items()}
         self.bytes_of = {r: t for t, r in ranks.items()}

@@ -16,6 +16,8 @@ from tokoro.llm.common import WorkerCache
 CHUNKS, PRETOKENS = 150_000, 150_000
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
+#: Marks that are a pre-token by themselves behind a word.
+MARKS = b".,;:!?"
 #: White space beyond ASCII (in UTF-8; the third also begins other punctuation).
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe2\x80", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 SPACE_AFTER_SPACE = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
@@ -56,6 +58,7 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.largest = max(self.library.get_vocab(with_added_tokens=True).values())
         self.letters = byte_letters()
         self.pretokens = WorkerCache(self._pretoken, PRETOKENS)
         self.chunks = WorkerCache(self._chunk, CHUNKS)
@@ -66,6 +69,11 @@ class WordBPE:
         return pack_ids([t.id for t in self.library.model.tokenize(word)])
 
     def _chunk(self, chunk: bytes) -> bytes:
+        # Most chunks seen for the first time are ASCII words, with or without a mark behind.
+        if chunk.isalpha():
+            return self.pretokens[chunk.lower().decode()]
+        if chunk[:-1].isalpha() and chunk[-1] in MARKS:
+            return self.pretokens[chunk[:-1].lower().decode()] + self.pretokens[chr(chunk[-1])]
         word = chunk.decode()
         if not self.PLAIN.fullmatch(word) or "<|" in word:
             return pack_ids(self.library.encode(word, add_special_tokens=False).ids)
@@ -76,15 +84,22 @@ class WordBPE:
 
 
 class ByteLevelCutter:
-    """Whole texts to ids for the byte-level pattern: cut at single spaces where that is
-    safe, each piece through a cache; ``whole`` and ``piece`` are the encoder's own."""
+    """Whole texts to ids for a byte-level pattern. For the pattern that ``PARTS`` restates
+    for plain texts (``KNOWN``), texts are cut at single spaces where that is safe, each
+    piece through a cache; with any other pattern every text goes through ``whole``.
+    ``whole`` and ``pretoken`` are the encoder's own."""
 
     PLAIN = re.compile(rf"[\t-\r -~{LATIN}]*")
     PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 
-    def __init__(self):
+    #: The pattern of byte-level vocabularies (a fixed value).
+    KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, pattern: str):
+        self.cuts = pattern == self.KNOWN
         self.pretokens = WorkerCache(self.pretoken, PRETOKENS)
-        self.chunks = WorkerCache(self._chunk, CHUNKS)
+        self.first = WorkerCache(self._chunk, CHUNKS // 8)
+        self.chunks = WorkerCache(lambda piece: self._chunk(b" " + piece), CHUNKS)  # by what follows a space
 
     def pretoken(self, word: str) -> bytes:
         raise NotImplementedError
@@ -93,17 +108,22 @@ class ByteLevelCutter:
         raise NotImplementedError
 
     def _chunk(self, chunk: bytes) -> bytes:
+        word = chunk[1:] if chunk[:1] == b" " else chunk
+        if word.isalpha():
+            return self.pretokens[chunk.decode()]
+        if word[:-1].isalpha() and word[-1] in MARKS:
+            return self.pretokens[chunk[:-1].decode()] + self.pretokens[chr(chunk[-1])]
         text = chunk.decode()
         if not self.PLAIN.fullmatch(text) or "<|" in text:
             return self.whole(text)
         return b"".join(map(self.pretokens.__getitem__, self.PARTS.findall(text)))
 
     def ids(self, text: bytes) -> bytes:
-        pieces = cut_at_spaces(text)
+        pieces = cut_at_spaces(text) if self.cuts else None
         if pieces is None:
             return self.whole(text.decode())
-        first = self.chunks[pieces[0]] if pieces[0] else b""
-        return first + b"".join(map(self.chunks.__getitem__, [b" " + p for p in pieces[1:]]))
+        first = self.first[pieces[0]] if pieces[0] else b""
+        return first + b"".join(map(self.chunks.__getitem__, pieces[1:]))
 
 
 class ByteBPE(ByteLevelCutter):
@@ -113,11 +133,11 @@ class ByteBPE(ByteLevelCutter):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        super().__init__()
+        self.letters = dict(enumerate(byte_letters()))
+        super().__init__(self.KNOWN)
 
     def pretoken(self, word: str) -> bytes:
-        mapped = "".join(map(self.letters.__getitem__, word.encode()))
+        mapped = word.encode().decode("latin-1").translate(self.letters)
         return pack_ids([t.id for t in self.library.model.tokenize(mapped)])
 
     def whole(self, text: str) -> bytes:

@@ -9,8 +9,10 @@ compact array of keys, offsets and lengths (at most ``table_size`` entries and
 table is encoded by the library and kept in the worker's bounded cache. The table decides
 only how fast a length is found, never what it is.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); rows with equal ids or
-texts each give a row; an empty table gives no rows; other columns are ignored.
+Defined results: null text counts as empty (0 bytes, 0 tokens); a very long text is counted
+whole; a pre-token of over ``LONG`` bytes is neither counted as frequent nor cached, so a
+text without white space fills no memory but its own; rows with equal ids or texts each give
+a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,7 +69,8 @@ def frequent_pretokens(docs: DataFrame, size: int = TABLE_SIZE, most_bytes: int
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(text.split())
+                words = text.split()
+                counts.update(words if len(text) <= WorkerCache.LONG else [w for w in words if len(w) <= WorkerCache.LONG])
                 if len(counts) > COUNTER_LIMIT:
                     counts = _thin(counts, COUNTER_LIMIT // 2)
         yield pa.RecordBatch.from_pydict({"sketch": pa.array([_pack(counts, size, most_bytes)], pa.binary())})
