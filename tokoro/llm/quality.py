@@ -15,8 +15,11 @@ the label table at any size of it;
 scores cover every document. Labels never enter a score, nor do ids, languages or sources.
 
 Defined results: null text counts as empty and gets the score of its statistics (all
-zero); repeated rows are scored each; an empty table gives no rows; with no usable label
-every score is 0.5; with one class only, that class's label. Other columns are ignored.
+zero); a very long text is measured whole, in one pass over its bytes; equal texts have
+equal scores, and a score of just the threshold is predicted 1; repeated rows are scored
+each, but an id counts once in training, with its smallest statistics and largest label; an
+empty table gives no rows; with no usable label every score is 0.5; with one class only,
+that class's label. Other columns are ignored (``keep`` returns them).
 """
 
 from __future__ import annotations
@@ -27,12 +30,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import id_and_text, map_arrow, small_batches
+from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
 from tokoro.llm.labelled import class_weights, held_out, sample
 
 FEATURES, RIDGE, MOST, SEED = 256, 1.0, 10_000, 7
@@ -123,47 +125,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     def measure(batches):
         for batch in batches:
             rows = [statistics(t).tolist() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], ["stats", "label", "fold"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], ["stats", "doc_id", "label", "fold"])
 
     rng = np.random.default_rng(SEED)
     w = rng.normal(size=(N_STATS, FEATURES)) / math.sqrt(N_STATS)
     b = rng.uniform(0, 2 * math.pi, FEATURES)
-    rows = map_arrow(sample(docs, labels, label, most).select("text", "label", "fold"), measure, "stats array<double>, label int, fold int")
-    rows = rows.coalesce(8).persist()  # at most 2 * most rows of N_STATS numbers
-    try:
-        found = rows.select(F.posexplode("stats"), "label").groupBy("pos", "label").agg(F.avg("col").alias("m"), F.var_pop("col").alias("v"), F.count("*").alias("n")).collect()
-        if not found:
-            return Model(np.zeros(N_STATS), np.ones(N_STATS), w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
-        size, center, spread = np.zeros(2), np.zeros((2, N_STATS)), np.zeros((2, N_STATS))
-        for r in found:
-            k = r["label"]
-            size[k], center[k, r["pos"]], spread[k, r["pos"]] = r["n"], r["m"], r["v"]
-        weight = np.array(class_weights(labels, label, most))
-        weight *= size.sum() / (size * weight).sum()  # 1 on average: the ridge is set against the rows there are
-        share = (size * weight / size.sum())[:, None]
-        mean = (share * center).sum(axis=0)
-        scale = np.sqrt((share * (spread + (center - mean) ** 2)).sum(axis=0))
-        scale[scale <= 1e-9] = 1.0
-        if not size.all():
-            return Model(mean, scale, w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, float(size[1] > 0)))
-
-        def sums(batches):
-            gram = np.zeros((2, FEATURES + 1, FEATURES + 2))
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.array(batch.column(0).to_pylist())
-                    z = features((x - mean) / scale, w, b)
-                    y = batch.column(1).to_numpy()
-                    fold = batch.column(2).to_numpy()
-                    for k in (0, 1):
-                        gram[k] += (z * weight[y][:, None])[fold == k].T @ np.column_stack([z, y])[fold == k]
-            yield pa.RecordBatch.from_pydict({"gram": pa.array([gram.tobytes()], pa.binary())})
-
-        parts = rows.mapInArrow(sums, "gram binary").collect()  # 8 matrices of a fixed size
-        gram = sum(np.frombuffer(bytes(r[0])).reshape(2, FEATURES + 1, FEATURES + 2) for r in parts)
-        known = rows.collect()
-    finally:
-        rows.unpersist()
+    rows = map_arrow(sample(docs, labels, label, most).select("text", "doc_id", "label", "fold"), measure, "stats array<double>, doc_id long, label int, fold int")
+    # At most 2 * most ids; of rows that share one, those of the smallest statistics.
+    rows = rows.groupBy("doc_id", "label", "fold").agg(F.min("stats").alias("stats")).select("stats", "label", "fold")
+    rows = written(rows, shared_dir(docs.sparkSession))
+    found = rows.select(F.posexplode("stats"), "label").groupBy("pos", "label").agg(F.avg("col").alias("m"), F.var_pop("col").alias("v"), F.count("*").alias("n")).collect()
+    if not found:
+        return Model(np.zeros(N_STATS), np.ones(N_STATS), w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
+    size, center, spread = np.zeros(2), np.zeros((2, N_STATS)), np.zeros((2, N_STATS))
+    for r in found:
+        k = r["label"]
+        size[k], center[k, r["pos"]], spread[k, r["pos"]] = r["n"], r["m"], r["v"]
+    weight = np.array(class_weights(labels, label, most))
+    weight *= size.sum() / (size * weight).sum()  # 1 on average: the ridge is set against the rows there are
+    share = (size * weight / size.sum())[:, None]
+    mean = (share * center).sum(axis=0)
+    scale = np.sqrt((share * (spread + (center - mean) ** 2)).sum(axis=0))
+    scale[scale <= 1e-9] = 1.0
+    if not size.all():
+        return Model(mean, scale, w, b, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, float(size[1] > 0)))
+
+    def sums(batches):
+        gram = np.zeros((2, FEATURES + 1, FEATURES + 2))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).to_pylist())
+                z = features((x - mean) / scale, w, b)
+                y = batch.column(1).to_numpy()
+                fold = batch.column(2).to_numpy()
+                for k in (0, 1):
+                    gram[k] += (z * weight[y][:, None])[fold == k].T @ np.column_stack([z, y])[fold == k]
+        yield pa.RecordBatch.from_pydict({"gram": pa.array([gram.tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(sums, "gram binary").collect()  # a matrix of a fixed size for each of the few partitions of so small a table
+    gram = sum(np.frombuffer(bytes(r[0])).reshape(2, FEATURES + 1, FEATURES + 2) for r in parts)
+    known = rows.collect()
     eye = RIDGE * np.eye(FEATURES + 1)
     eye[-1, -1] = 1e-6
     solve = lambda g: np.linalg.solve(g[:, :-1] + eye, g[:, -1])
@@ -175,16 +176,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return Model(mean, scale, w, b, weights, knots, np.clip(values, 0, 1))
 
 
-def scorer(model: Model):
-    """A column function text -> score that keeps a table's other columns in place."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics((t or "").encode()) for t in texts]).reshape(-1, N_STATS)))
-
-    return score
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = fit(docs, labels, "quality", most)
@@ -201,6 +192,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST, thresh
 def keep(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least the threshold, with all their columns."""
     model = fit(docs, labels, "quality", most)
-    small_batches(docs.sparkSession)
-    text: Column = F.coalesce(docs["text"], F.lit(""))
-    return docs.where(scorer(model)(text) >= threshold)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            stats = [statistics(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(model.score(np.array(stats).reshape(-1, N_STATS)) >= threshold))
+
+    return map_arrow(docs, run, docs.schema)
