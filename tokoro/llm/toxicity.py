@@ -10,14 +10,16 @@ read and each passage of up to ``STRIDE`` words lies whole in a window. Both dir
 attention pools its states, and the document's logit is that of its worst window, mapped
 to a probability by logistic calibration with the classes weighted as they occur.
 
-Training uses at most ``most`` labelled rows of each class (the smallest hashes of id), on
-the driver; scoring reads every window of every document. Labels, ids, languages and
-sources never enter a score.
+Training uses at most ``most`` labelled ids of each class (the smallest hashes of id), as
+many of them as have ``MOST_BYTES`` bytes of text together, on the driver; scoring reads
+every window of every document. Labels, ids, languages and sources never enter a score.
 
 Defined results: null text counts as empty, one empty window, whose score is the
-network's answer to no input; repeated rows are scored each; an empty table gives no rows;
-with no usable label every score is 0, with one class only, that class's label. Other
-columns are ignored.
+network's answer to no input; a very long text is read to its end, a batch of windows at a
+time; equal texts have equal scores, and a score of just the threshold is predicted 1;
+repeated rows are scored each, but an id counts once in training, with its smallest text
+and largest label; an empty table gives no rows; with no usable label every score is 0,
+with one class only, that class's label. Other columns are ignored (``keep`` returns them).
 """
 
 from __future__ import annotations
@@ -27,13 +29,12 @@ import uuid
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import WorkerCache, id_and_text, map_arrow, small_batches
-from tokoro.llm.labelled import class_counts, held_out, sample
+from tokoro.llm.common import WorkerCache, id_and_text, map_arrow
+from tokoro.llm.labelled import class_counts, held_out, one_text, sample, within_bytes
 
 WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1500
 #: Characters at a word's ends that aren't part of it.
@@ -42,7 +43,7 @@ EPOCHS, STEPS, RATE, BATCH, SEED = 12, 240, 0.02, 256, 11
 #: Length of character n-grams, and of beginnings (with the mark).
 GRAM, BEGINNINGS = 4, (5, 6, 7)
 WORD_ROWS, GRAM_ROWS = 3, 6  # documents that a word or n-gram must be in to get an embedding
-VOCABULARY = 20_000
+MOST_BYTES = 8 << 20  # of training texts of each class
 
 
 def clean(word: str) -> str:
@@ -74,7 +75,7 @@ class Inputs:
         self.words, self.word_odds = table(counts, 2)
         self.grams, self.gram_odds = table(gram_counts, GRAM_ROWS)
         embedded = sum(sum(c) >= WORD_ROWS for c in counts.values())
-        self.n_words, self.n_grams = min(VOCABULARY, embedded), min(VOCABULARY, len(self.grams))
+        self.n_words, self.n_grams = embedded, len(self.grams)
 
     def parts(self, words: list[str], views: np.ndarray):
         """For each word its embedding's row and four odds; the n-grams' embedding rows of
@@ -281,7 +282,9 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
     if len(labels) < 2:
         return Model(None, None, (1, 0), float(labels.pop()) if labels else 0.0)
     rng = np.random.default_rng(SEED)
-    docs = [([clean(w) for w in t.split()], y) for t, y in rows]
+    once: dict[str, str] = {}  # equal words are one object
+    docs = [([once.setdefault(w, w) for w in map(clean, t.split())], y) for t, y in rows]
+    del once
     docs.append(([], 0))  # no words: no sign of toxicity
     counts: dict[str, tuple[int, int]] = {}
     gram_counts: dict[str, tuple[int, int]] = {}
@@ -399,8 +402,9 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST) -> Model:
-    """Train on at most ``most`` rows of each class, gathered on the driver by that bound."""
-    rows = sample(docs, labels, label, most).select("doc_id", "text", "label").collect()
+    """Train on at most ``most`` ids and ``MOST_BYTES`` bytes of texts of each class,
+    gathered on the driver by that bound."""
+    rows = within_bytes(one_text(sample(docs, labels, label, most)), MOST_BYTES).select("doc_id", "text", "label").collect()
     ordered = sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
     return train([(t, y) for _, t, y in ordered], class_counts(labels, label))
 
@@ -435,9 +439,12 @@ def keep(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float
     model = fit(docs, labels, "toxic", most)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), model.name
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(worker_scorer(name, shared).scores([t or "" for t in texts]))
+    at = docs.columns.index("text")
 
-    small_batches(docs.sparkSession)
-    return docs.where(score(F.coalesce(docs["text"], F.lit(""))) < threshold)
+    def run(batches):
+        scorer = worker_scorer(name, shared)
+        for batch in batches:
+            scores = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return map_arrow(docs, run, docs.schema)
