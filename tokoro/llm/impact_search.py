@@ -14,18 +14,23 @@ block is left only when this proves that all but a few candidates can't be membe
 that may be (ties included) are scored exactly. If the proof doesn't come, all segments
 are read.
 
-Queries are taken from a written table in chunks of at most ``CHUNK``, each broadcast by
-that bound and run over the whole index; a task keeps k rows a query of the chunk.
-
-Defined results: vectors that are null, hold a null or non-finite component or have no
-vec_id take no part; vectors of another length than the query's aren't candidates for
-it; rows that share the query's vec_id are its own; equal scores go to the smaller vec_id;
-of repeated rows each is a candidate (and, with a query's id, one query); fewer than k
-candidates give fewer rows; an empty table gives none.
+The index is written dealt to as many files as tasks will read it. Queries are packed into
+rows of binary columns and taken in chunks of at most ``CHUNK_BYTES``, each broadcast by
+that bound and run over the index where it lies (nothing of it is shuffled); a task keeps k
+rows a query of the chunk.
+
+Defined results: vectors that are null or empty, hold a null or non-finite component or
+have no vec_id take no part; vectors of another length than the query's aren't candidates
+for it; rows that share the query's vec_id are its own; equal scores go to the smaller
+vec_id; of repeated rows each is a candidate, and where several rows have a query's id the
+smallest vector (component by component) is the query; fewer than k candidates give fewer
+rows; an empty table gives none. Integers and scores beyond 64 bits are the nearest that
+64 bits hold. Very long vectors make smaller blocks.
 """
 
 from __future__ import annotations
 
+import operator
 from collections import defaultdict
 
 import numpy as np
@@ -33,21 +38,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import shared_dir, small_batches, written
+from tokoro.llm.common import map_arrow, shared_dir, written
 
-K, BLOCK, LEVELS, CHUNK = 10, 4096, 128, 4096
+K, BLOCK, LEVELS = 10, 4096, 128
+#: A block's components take at most so many bytes, as do the queries of a chunk.
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 16 << 20
 #: After each round, lists have been read down to this share of the largest impact.
 ROUNDS = (0.7, 0.52, 0.4, 0.3, 0.2, -1.0)
 INDEX = "size int, n int, ids binary, components binary, postings binary, levels binary"
+QUERY = "size int, n int, ids binary, components binary"
 HIT = "query_id long, vec_id long, score long"
+HITS = "query_id long, rank int, vec_id long, score long"
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id and floor(scale * component) of the vectors that take part."""
-    usable = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    usable = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     return vectors.where(usable).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("v"))
 
 
+def products(query: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of a query with columns; in Python's integers where 64 bits
+    might not do."""
+    if len(query) * np.abs(query.astype("f8")).max(initial=0) * np.abs(x.astype("f8")).max(initial=0) < 2.0**62:
+        return query @ x
+    q = query.tolist()
+    return np.array([min(HIGH, max(LOW, sum(map(operator.mul, q, column)))) for column in x.T.tolist()], "i8")
+
+
 class Block:
     """Posting lists of n candidates: ``postings[d]`` are their numbers by ascending value
     of dimension d, ``levels[d]`` the segments they lie in."""
@@ -55,7 +74,7 @@ class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray, postings=None, levels=None):
         self.ids, self.x = ids, x  # x: dimensions x candidates
         self.low = x.min(axis=1).astype("f8")
-        self.width = np.maximum((x.max(axis=1) - self.low) / LEVELS, 1e-9)
+        self.width = np.maximum((x.max(axis=1).astype("f8") - self.low) / LEVELS, 1e-9)
         if postings is None:
             postings = np.argsort(x, axis=1, kind="stable").astype("u2")
             values = np.take_along_axis(x, postings.astype("i8"), axis=1)
@@ -84,7 +103,7 @@ class Block:
         alive = ~own
         for share in ROUNDS:
             bar = share * top
-            goal = np.full(d, LEVELS) if share < 0 else np.clip(np.ceil((impact - bar) / np.maximum(unit, 1e-300)), 0, LEVELS).astype("i8")
+            goal = np.full(d, LEVELS) if share < 0 else np.clip(np.ceil(np.divide(impact - bar, unit, out=np.zeros(d), where=unit > 0)), 0, LEVELS).astype("i8")
             goal = np.maximum(np.where(weight > 0, goal, 0), done)
             which, scale, lev = [], [], []
             for j in np.flatnonzero(goal > done):
@@ -111,78 +130,92 @@ class Block:
             if int(alive.sum()) <= few:
                 break
         maybe = np.flatnonzero(alive)
-        return maybe, query @ self.x[:, maybe], read
+        return maybe, products(query, self.x[:, maybe]), read
 
 
-def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row a block: ids, components and posting lists."""
+def _packed(vectors: DataFrame, make, schema: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Vectors of equal length, up to so many rows and bytes of components together, each
+    group made a row of (size, n, ids, components, ...) by ``make``."""
 
     def row(size: int, held: list) -> pa.RecordBatch:
         ids = np.array([i for i, _ in held], "i8")
-        b = Block(ids, np.ascontiguousarray(np.array([v for _, v in held], "i8").reshape(len(held), size).T))
-        values = [size, len(ids), ids.tobytes(), b.x.tobytes(), b.postings.tobytes(), b.levels.tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, [pa.int32(), pa.int32(), *[pa.binary()] * 4], strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+        values = [size, len(ids), *make(ids, np.array([v for _, v in held], "i8").reshape(len(held), size))]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * (len(values) - 2)]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     def run(batches):
         held = defaultdict(list)
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if v:
-                    held[len(v)].append((i, v))
-                    if len(held[len(v)]) == block:
-                        yield row(len(v), held.pop(len(v)))
+                own = held[len(v)]
+                own.append((i, v))
+                if len(own) >= min(most_rows, max(1, most_bytes // (8 * len(v)))):
+                    yield row(len(v), held.pop(len(v)))
         for size, own in held.items():
             yield row(size, own)
 
-    small_batches(vectors.sparkSession)
-    return vectors.select("vec_id", "v").mapInArrow(run, INDEX)
+    return map_arrow(vectors.select("vec_id", "v"), run, schema)
+
+
+def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row a block: ids, components and posting lists."""
+
+    def make(ids: np.ndarray, v: np.ndarray) -> list[bytes]:
+        b = Block(ids, np.ascontiguousarray(v.T))
+        return [ids.tobytes(), b.x.tobytes(), b.postings.tobytes(), b.levels.tobytes()]
+
+    return _packed(vectors, make, INDEX, block, BLOCK_BYTES)
 
 
-def search_chunk(index: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """The k best of each query over the blocks of each task."""
-    shared = index.sparkSession.sparkContext.broadcast([(i, np.array(v, "i8")) for i, v in queries])
+def search_chunk(index: DataFrame, queries: list[tuple[int, bytes, bytes]], k: int) -> DataFrame:
+    """The k best of each query (size, ids, components) over the blocks of each task."""
+    shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
+        asked = [(int(i), v) for size, ids, x in shared.value for i, v in zip(np.frombuffer(ids, "i8"), np.frombuffer(x, "i8").reshape(-1, size), strict=True)]
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 d, n = r["size"], r["n"]
                 read = lambda name, kind, r=r, d=d, n=n: np.frombuffer(r[name], kind).reshape(d, n)
                 block = Block(np.frombuffer(r["ids"], "i8"), read("components", "i8"), read("postings", "u2"), read("levels", "u1"))
-                for number, (query_id, v) in enumerate(shared.value):
+                for number, (query_id, v) in enumerate(asked):
                     if len(v) != d:
                         continue
                     ids, scores = best.get(number, (np.zeros(0, "i8"), np.zeros(0, "i8")))
                     reach = float(scores[-1]) if len(scores) == k else -np.inf
                     maybe, found = block.members(v, query_id, k, reach)[:2]
                     ids, scores = np.concatenate([ids, block.ids[maybe]]), np.concatenate([scores, found])
-                    order = np.lexsort((ids, -scores))[:k]
+                    order = np.lexsort((ids, ~scores))[:k]  # ~: descending, without overflow
                     best[number] = ids[order], scores[order]
         for number, (ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shared.value[number][0])), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked[number][0])), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, HIT)
+    return map_arrow(index, run, HIT)
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = K, chunk: int = CHUNK, block: int = BLOCK, scale: int = 1024, at: str | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = K, chunk_bytes: int = CHUNK_BYTES, block: int = BLOCK, scale: int = 1024, at: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, score; ``is_query``: SQL condition on vec_id."""
     spark = vectors.sparkSession
     at = at or shared_dir(spark)
     numbers = quantised(vectors, scale)
-    index = written(build_index(numbers, block), f"{at}/index")
-    dealt = index.repartition(max(1, min(index.count(), 4 * spark.sparkContext.defaultParallelism)))
-    queries = written(numbers.where(is_query).dropDuplicates(["vec_id"]), f"{at}/queries")
+    files = max(vectors.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
+    index = written(build_index(numbers, block).repartition(files), f"{at}/index")
+    asked = numbers.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = written(_packed(asked, lambda ids, v: [ids.tobytes(), v.tobytes()], QUERY, block, min(chunk_bytes, 1 << 20)), f"{at}/queries")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def flush(held: list) -> None:
-        hits = search_chunk(dealt, held, k).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        hits = search_chunk(index, held, k).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
         hits.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(f"{at}/hits")
 
-    held: list = []
-    for r in queries.toLocalIterator():  # one partition at a time; never more than a chunk is kept
-        held.append((r["vec_id"], r["v"]))
-        if len(held) == chunk:
+    held, size = [], 0
+    for r in queries.toLocalIterator():  # a partition at a time; never more than a chunk is kept
+        own = (r["size"], bytes(r["ids"]), bytes(r["components"]))
+        if held and size + len(own[2]) > chunk_bytes:
             flush(held)
-            held = []
+            held, size = [], 0
+        held.append(own)
+        size += len(own[2])
     flush(held)
-    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(f"{at}/hits")
+    return spark.read.schema(HITS).parquet(f"{at}/hits")
