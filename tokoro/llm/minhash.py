@@ -1,44 +1,53 @@
 """Near-duplicate groups by b-bit MinHash, each link confirmed on the full shingle sets.
 
 1. One scan makes each document's set of 5-word shingles (64-bit hashes), the set's own
-   hash, and ``BANDS`` x ``ROWS`` minima, hashed band by band. Documents of equal sets form
-   a class, and only a class's smallest doc_id goes on.
+   hash, and bands of ``ROWS`` minima, hashed band by band. Documents of equal sets form a
+   class, and only a class's smallest doc_id goes on.
 2. Classes that share a band with another are members; a second scan gives each its sorted
    set and a b-bit signature: the low ``BITS`` bits of ``LANES`` minima, packed as bit
    planes. The share of equal lanes, less what chance makes equal, estimates similarity.
 3. Each member is compared with the smallest of each of its bands (one pair a member and
    band), and confirmed links are contracted to components.
-4. In a band whose members are still in several components, every pair across components
-   is estimated, and those estimated within ``MARGIN`` of the threshold are confirmed. Large
-   bands are cut into blocks and every pair of blocks is a group of its own, so that no task
-   needs a whole band. Pairs inside a component can't change the result and are skipped.
-
-A pair at the threshold shares no band once in a million pairs (1 - (1 - .85^5)^25), and the
-margin is over five standard deviations of the estimate. Components come from alternating star
-contraction over written tables; no links or components reach the driver.
+4. In a band whose members are still in several components, those outside its largest
+   component are estimated against all members of other components, and pairs estimated
+   within ``MARGIN`` of the threshold are confirmed. So a large group with few stragglers
+   costs its size times the stragglers'. Either side is cut into blocks, and every pair of
+   blocks is a group of its own, so that no task needs a whole band. Pairs inside a
+   component can't change the result and are skipped.
+
+A pair is confirmed where it is dealt to: its first member's set goes once to each part of
+the pairs, the second members' sets stream past it, in parts of bounded size, so that a
+member of a million pairs is neither repeated a million times nor met in one task.
+
+There are as many bands as leave a pair at the threshold without a shared one once in a
+million pairs (24 for 0.85, 35 for 0.8), and the margin is over five standard deviations of
+the estimate. Components come from alternating star contraction over written tables; no
+links or components reach the driver.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer
-than five words make one shingle, the whole sequence; rows that share a doc_id are one
-document; a row without doc_id links with nothing and is kept; an empty table gives no
-rows; other columns are ignored (``keep`` returns them).
+than five words make one shingle, the whole sequence; a very long text has all its
+shingles; rows that share a doc_id are one document; a row without doc_id links with
+nothing and is kept; an empty table gives no rows; other columns are ignored (``keep``
+returns them).
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
 
-WORDS, BANDS, ROWS, LANES, BITS, SEED = 5, 25, 5, 2048, 4, 20240229
-PER_CENT, MARGIN, BLOCK = 85, 0.045, 2048
+WORDS, ROWS, LANES, BITS, SEED = 5, 5, 2048, 4, 20240229
+PER_CENT, MARGIN, BLOCK, MISSED = 85, 0.045, 512, 1e-6
 #: Bits of the map of member ids that the second scan is given (16 MB), and the members up
 #: to which it is used; beyond them texts are joined with ids instead.
 MAP_BITS, MAP_MEMBERS = 1 << 27, 1 << 24
@@ -86,9 +95,14 @@ def minima(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    rows = minima(hashes, BANDS * ROWS, SEED).reshape(BANDS, ROWS).astype("u8")
-    key = np.arange(1, BANDS + 1, dtype="u8")
+def bands_for(per_cent: int) -> int:
+    """Bands at which a pair at the threshold shares none in ``MISSED`` of all cases."""
+    return 1 if per_cent >= 100 else math.ceil(math.log(MISSED) / math.log1p(-((per_cent / 100) ** ROWS)))
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    rows = minima(hashes, bands * ROWS, SEED).reshape(bands, ROWS).astype("u8")
+    key = np.arange(1, bands + 1, dtype="u8")
     for j in range(ROWS):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
     return key.view("i8")
@@ -124,16 +138,16 @@ def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * shared >= per_cent * (len(a) + len(b) - shared)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            n, digest, bands = [], [], []
+            n, digest, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 own = shingles(text)
                 n.append(len(own))
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()))
-                bands.append(band_keys(own) if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+                keys.append(band_keys(own, bands) if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
     return map_arrow(id_and_text(docs), run, SET)
 
@@ -193,25 +207,39 @@ def _worker_map(name: str, shared) -> np.ndarray:
     return _MAPS[name]
 
 
+PAIRS = "a long, b long, part long"
+GROUPED = "a, part, b, n, sig, shingles"
+
+
 def confirmed(pairs: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b, part) whose full sets reach the threshold, as (a, b). ``part`` says
+    where a pair is checked: each (a, part) has pairs of a bounded number."""
 
     def run(batches):
+        own = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, sa, sb, xa, xb = batch.columns
+            a, part, b = (batch.column(i) for i in range(3))
             keep = []
             for i in range(batch.num_rows):
-                near = estimate(planes([sa[i].as_py()])[0], planes([sb[i].as_py()]))[0] >= per_cent / 100 - MARGIN
-                keep.append(bool(near) and linked(np.frombuffer(xa[i].as_py(), "u8"), np.frombuffer(xb[i].as_py(), "u8"), per_cent))
-            kept = pa.array(keep)
+                at = a[i].as_py(), part[i].as_py()
+                sig, found = batch.column(4)[i].as_py(), np.frombuffer(batch.column(5)[i].as_py(), "u8")
+                if not b[i].is_valid:  # the first row of its group: a's own set
+                    own = at, planes([sig]), found
+                    keep.append(False)
+                    continue
+                if own is None or own[0] != at:
+                    raise ValueError("a pair without its first member")
+                near = 100 * min(len(found), len(own[2])) >= per_cent * max(len(found), len(own[2])) and estimate(own[1][0], planes([sig]))[0] >= per_cent / 100 - MARGIN
+                keep.append(bool(near) and linked(own[2], found, per_cent))
+            kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
 
-    left = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("shingles").alias("xa"))
-    right = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("shingles").alias("xb"))
-    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {per_cent} * greatest(na, nb)")
-    return both.select("a", "b", "sa", "sb", "xa", "xb").mapInArrow(run, "a long, b long")
+    record = members.select("rep", "n", "sig", "shingles")
+    first = pairs.select("a", "part").distinct().join(record, F.col("a") == F.col("rep")).withColumn("b", F.lit(None).cast("long"))
+    second = pairs.join(record, F.col("b") == F.col("rep"))
+    names = GROUPED.split(", ")
+    both = first.select(*names).unionByName(second.select(*names))
+    return map_arrow(both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()), run, "a long, b long")
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:
@@ -252,44 +280,39 @@ def components(edges: DataFrame, at: str) -> DataFrame:
 def cross_pairs(rows: DataFrame, per_cent: int) -> DataFrame:
     """Pairs of different components within a group (key, i, j), estimated near enough.
 
-    rows: key, i, j, block, rep, comp, n, sig. Where i = j all pairs count, else those of
-    one member from either block.
+    rows: key, i, j, asks, rep, comp, n, sig. Members that ask (block i of those outside the
+    band's largest component) are compared with the others (block j of all members).
     """
 
-    def pairs(group: dict) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, n, block = (np.array(group[k]) for k in ("rep", "comp", "n", "block"))
+    def pairs(group: dict) -> tuple[np.ndarray, ...]:
+        rep, comp, n, asks = (np.array(group[k]) for k in ("rep", "comp", "n", "asks"))
         sig = planes(group["sig"])
-        first, second = [], []
-        apart = group["i"][0] != group["j"][0]
-        for x in range(len(rep)):
-            if apart and block[x] != group["i"][0]:
-                continue
-            other = np.flatnonzero((comp != comp[x]) & (100 * np.minimum(n, n[x]) >= per_cent * np.maximum(n, n[x])) & ((block != block[x]) if apart else (rep > rep[x])))
+        all_ = np.flatnonzero(~asks)
+        out = [np.zeros((3, 0), "i8")]
+        for x in np.flatnonzero(asks):
+            other = all_[(comp[all_] != comp[x]) & (100 * np.minimum(n[all_], n[x]) >= per_cent * np.maximum(n[all_], n[x]))]
             if len(other):
-                near = other[estimate(sig[x], sig[other]) >= per_cent / 100 - MARGIN]
-                first.append(np.full(len(near), rep[x]))
-                second.append(rep[near])
-        none = np.zeros(0, "i8")
-        return np.concatenate([none, *first]), np.concatenate([none, *second])
+                near = rep[other[estimate(sig[x], sig[other]) >= per_cent / 100 - MARGIN]]
+                # checked at the smaller id, in the part of the block that the other is in
+                part = np.where(near > rep[x], 2 * group["j"][0], 2 * group["i"][0] + 1)
+                out.append(np.stack([np.minimum(near, rep[x]), np.maximum(near, rep[x]), part]))
+        return np.concatenate(out, axis=1)
 
     def run(batches):
         held: dict[str, list] = {}
-        out: set[tuple[int, int]] = set()
+        out: list[np.ndarray] = []
 
         def flush():
-            a = np.array(sorted(out), "i8").reshape(-1, 2)
+            a, b, part = np.concatenate([np.zeros((3, 0), "i8"), *out], axis=1)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(part)], ["a", "b", "part"])
 
         def close():
-            if held and len(held["rep"]) > 1:
-                x, y = pairs(held)
-                out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            if held and any(held["asks"]):
+                out.append(pairs(held))
 
-        names = ["key", "i", "j", "block", "rep", "comp", "n", "sig"]
+        names = ["key", "i", "j", "asks", "rep", "comp", "n", "sig"]
         for batch in batches:
-            if not batch.num_rows:
-                continue
             columns = {k: batch.column(k) for k in names}
             ids = np.stack([columns[k].to_numpy() for k in ("key", "i", "j")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
@@ -301,19 +324,39 @@ def cross_pairs(rows: DataFrame, per_cent: int) -> DataFrame:
                 else:
                     close()
                     held = part
-            if len(out) > 50_000:
+            if sum(x.shape[1] for x in out) > 50_000:
                 yield flush()
         close()
         yield flush()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "block", "rep", "comp", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    found = map_arrow(dealt.select("key", "i", "j", "asks", "rep", "comp", "n", "sig"), run, PAIRS)
+    return found.groupBy("a", "b").agg(F.min("part").alias("part"))
+
+
+def blocks_of(size) -> Column:
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def open_rows(placed: DataFrame) -> DataFrame:
+    """placed: key, rep, size, comp. For each band that lies in several components, who is
+    to be compared with whom: (key, i, j, asks, rep, comp). A band's rows are dealt by key
+    and block, never by key alone."""
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    bands = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.first("size").alias("size"))
+    bands = bands.select("key", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.n")).alias("outside"), F.explode(F.sequence(F.lit(0), blocks_of(F.col("size")) - 1)).alias("j")).where("outside > 0")
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    own = placed.withColumn("j", block(blocks_of(F.col("size")))).join(bands, ["key", "j"])
+    every = own.withColumn("i", F.explode(F.sequence(F.lit(0), blocks_of(F.col("outside")) - 1))).withColumn("asks", F.lit(False))
+    asking = own.where("comp != major").withColumn("i", block(blocks_of(F.col("outside")))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks_of(F.col("size")) - 1))).withColumn("asks", F.lit(True))
+    names = ["key", "i", "j", "asks", "rep", "comp"]
+    return every.select(*names).unionByName(asking.select(*names))
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     at = at or shared_dir(docs.sparkSession)
-    sets = written(shingle_sets(docs), f"{at}/sets")
+    sets = written(shingle_sets(docs, bands_for(per_cent)), f"{at}/sets")
     usable = sets.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), f"{at}/classes")
     ids = classes.select(F.col("rep").alias("doc_id")).distinct()
@@ -322,17 +365,13 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None =
     buckets = written(bands.join(shared, "key"), f"{at}/buckets")  # key, rep, pivot, size
     members = written(member_sets(docs, written(buckets.select("rep").distinct(), f"{at}/reps")), f"{at}/members")
 
-    stars = buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(confirmed(stars, members, per_cent), f"{at}/stars")
+    part = F.pmod(F.xxhash64("rep"), blocks_of(F.col("size"))).cast("long")
+    stars = buckets.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.min(part).alias("part"))
+    first = written(confirmed(written(stars, f"{at}/star-pairs"), members, per_cent), f"{at}/stars")
     comps = written(components(first, f"{at}/cc1"), f"{at}/comps")
 
-    placed = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(open_keys, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
-    rows = rows.join(members.select("rep", "n", "sig"), "rep")
+    placed = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+    rows = open_rows(written(placed, f"{at}/placed")).join(members.select("rep", "n", "sig"), "rep")
     more = confirmed(written(cross_pairs(rows, per_cent), f"{at}/pairs"), members, per_cent)
 
     of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
