@@ -33,13 +33,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tokoro.llm.common import id_and_text, map_arrow
+from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
 
 UNIT, OFFSET, RESTART = 192, 4, 8
-#: Texts are coded together up to so many bytes.
-GROUP = 1 << 20
+#: Texts are coded, and files decoded, together up to so many bytes.
+GROUP, DECODED = 1 << 20, 2 << 20
+#: Rows that a worker looks at to form such groups.
+ROWS = 4096
 #: (components, first and last coefficient, bits known before, bits left out)
 SCRIPT = (
     ((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 2), ((2,), 1, 63, 0, 1), ((1,), 1, 63, 0, 1), ((0,), 6, 63, 0, 2),
@@ -189,13 +192,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             eob, eob_size = codes(TABLES[_table_of(scan) + 1][2])[0]
             width = last - first + 1
             if known:
-                # End of band at once, then one correction bit for each coefficient.
+                # End of band at once, then one correction bit for each coefficient, 16 together.
                 bits = (own >> left) & 1
-                value, size = np.zeros((len(rows), 1 + width), "i8"), np.ones((len(rows), 1 + width), "i8")
-                value[:, 0], size[:, 0] = eob, eob_size
-                value[:, 1:] = bits
                 halves = [(a, min(a + 16, width)) for a in range(0, width, 16)]
-                joined = [(own_bits << np.arange(b - a)[::-1]).sum(axis=1) for a, b in halves if (own_bits := bits[:, a:b]) is not None]
+                joined = [(bits[:, a:b] << np.arange(b - a)[::-1]).sum(axis=1) for a, b in halves]
                 value = np.stack([np.full(len(rows), eob), *joined], axis=1)
                 size = np.stack([np.full(len(rows), eob_size), *(np.where(filled, b - a, 0) for a, b in halves)], axis=1)
                 value[~filled, 1:] = 0
@@ -680,11 +680,11 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]} rgb {'/'.join(map(str, means))} crc {zlib.crc32(np.ascontiguousarray(rgb)):08x}"
 
 
-def _groups(texts: list[bytes]):
-    """Consecutive texts of up to GROUP bytes in all."""
+def _groups(texts: list[bytes], most: int = GROUP):
+    """Consecutive texts of up to so many bytes in all."""
     held, size = [], 0
     for t in texts:
-        if held and size + len(t) > GROUP:
+        if held and size + len(t) > most:
             yield held
             held, size = [], 0
         held.append(t)
@@ -694,46 +694,63 @@ def _groups(texts: list[bytes]):
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id and the text as a progressive JPEG file."""
+    """doc_id, bytes of the text, and the text as a progressive JPEG file."""
 
     def run(batches):
         for batch in batches:
-            files = [x for g in _groups(batch.column(1).cast(pa.binary()).to_pylist()) for x in encode(list(map(payload_of, g)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "media"])
+            texts = batch.column(1).cast(pa.binary())
+            files = [x for g in _groups(texts.to_pylist()) for x in encode(list(map(payload_of, g)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return map_arrow(id_and_text(docs), run, "doc_id long, media binary")
+    return map_arrow(id_and_text(docs), run, "doc_id long, n_bytes long, media binary", ROWS)
+
+
+def _decoded(batches):
+    """(row, payload, tensor) of the stored files, some rows together."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        files = iter(rows)
+        for g in _groups([r["media"] for r in rows], DECODED):
+            yield [(next(files), *found) for found in decode(g)]
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
+
+
+TENSOR = "doc_id long, height int, width int, rgb binary"
 
 
 def rgb_tensors(media: DataFrame) -> DataFrame:
     """doc_id, height, width and the RGB tensor (row-major bytes) of (doc_id, media)."""
 
     def run(batches):
-        for batch in batches:
-            ids = iter(batch.column(0).to_pylist())
-            for g in _groups(batch.column(1).to_pylist()):
-                found = [rgb for _, rgb in decode(g, False)]
-                columns = [[next(ids) for _ in g], [x.shape[0] for x in found], [x.shape[1] for x in found], [x.tobytes() for x in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "height", "width", "rgb"])
+        for group in _decoded(batches):
+            yield _table([(r["doc_id"], rgb.shape[0], rgb.shape[1], rgb.tobytes()) for r, _, rgb in group], TENSOR)
 
-    return map_arrow(media.select("doc_id", "media"), run, "doc_id long, height int, width int, rgb binary")
+    return map_arrow(media.select("doc_id", "media"), run, TENSOR, ROWS)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Each text stored as a file, the file read back, and digests of what was read."""
+def media_digests(docs: DataFrame, at: str | None = None) -> DataFrame:
+    """Each text stored as a file in a table in the shared folder, that table read back, and
+    of what was read: digests, the feature, and the RGB tensor itself (height, width, rgb),
+    which is stored where the result is written."""
+    media = written(store_media(docs), at or shared_dir(docs.sparkSession), "zstd")
 
     def run(batches):
-        kinds = {"long": pa.int64(), "string": pa.string()}
-        names = [x.split() for x in DIGEST.split(", ")]
-        for batch in batches:
-            ids = iter(batch.column(0).to_pylist())
-            for group in _groups(batch.column(1).cast(pa.binary()).to_pylist()):
-                files = encode(list(map(payload_of, group)))
-                rows = []
-                for text, data, (payload, rgb) in zip(group, files, decode(files), strict=True):
-                    rows.append((next(ids), len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(rgb)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
-
-    return map_arrow(id_and_text(docs), run, DIGEST)
+        for group in _decoded(batches):
+            rows = []
+            for r, payload, rgb in group:
+                file = r["media"]
+                rows.append((
+                    r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(),
+                    feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes(),
+                ))
+            yield _table(rows, DIGEST)
+
+    return map_arrow(media, run, DIGEST, ROWS)
