@@ -21,8 +21,9 @@ Placing. Each task numbers its pieces of a length; offsets over (length, task) c
 that a gapless rank with no window over a whole length (a third of all pieces may share
 one), and the rank alone decides sequence and offset.
 
-Defined results: null text is empty (its piece is the end id alone); repeated rows are
-packed each; an empty table gives no rows; other columns are ignored. doc_ids may repeat:
+Defined results: null text is empty (its piece is the end id alone); a very long text gives
+as many pieces as it needs; pieces of equal length are told apart by their rank alone;
+repeated rows are packed each; an empty table gives no rows; other columns are ignored. doc_ids may repeat:
 pieces are then told apart by nothing but their place.
 """
 
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
 from tokoro.llm.subwords import byte_bpe
 
-CAPACITY, NODES, STEPS = 2048, 4000, 1024
+CAPACITY, NODES, STEPS, ALIVE = 2048, 4000, 1024, 16
+#: Rows of piece offsets up to which they are broadcast (24 bytes each).
+OFFSETS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -206,10 +209,31 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
             if not left[s]:
                 sizes.pop(bisect.bisect_left(sizes, s))
 
-    stack = [options(())] if sizes else []
+    def after(level: Iterator, last: Kind) -> Iterator[Kind | None]:
+        """What follows a choice. Choices come by waste, so if the last one isn't among
+        them any more (less may be wasted now), nothing that follows is."""
+        reached = passed = False
+        for choice in level:
+            if choice is None or passed:
+                yield choice
+            elif choice[1] == last[1]:
+                reached = True
+                if choice[0] < last[0]:
+                    passed = True
+                    yield choice
+            elif reached:
+                passed = True
+                yield choice
+
+    # Each level of the search: its options and the last choice. Options hold sets of sums;
+    # those of levels far above the deepest are dropped and made again if it comes to that.
+    stack: list[list] = [[options(()), None]] if sizes else []
     diving = True
     while stack and fewest > least and seen < nodes:
-        choice = next(stack[-1], ())
+        level = stack[-1]
+        if level[0] is None:
+            level[0] = after(options(chosen[-1][1] if chosen else ()), level[1])
+        choice = next(level[0], ())
         if choice == ():
             diving = False
             stack.pop()
@@ -217,12 +241,17 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
                 put(*chosen.pop(), -1)
             continue
         seen += not diving or choice is None  # the first dive is free
-        if choice is None or choice[0] * (capacity - sum(s * c for s, c in choice[1])) > slack():
+        if choice is None:
+            continue
+        level[1] = choice
+        if choice[0] * (capacity - sum(s * c for s, c in choice[1])) > slack():
             continue
         put(*choice, 1)
         chosen.append(choice)
         if sizes:
-            stack.append(options(choice[1]))
+            stack.append([options(choice[1]), None])
+            if len(stack) > ALIVE:
+                stack[-ALIVE - 1][0] = None
             continue
         diving = False
         if used < fewest:
@@ -271,17 +300,18 @@ def _batch(rows, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, nodes: int = NODES) -> DataFrame:
-    """Place written pieces. Each sequence is filled from offset 0 without gaps."""
+def pack_pieces(pieces: DataFrame, capacity: int, at: str, nodes: int = NODES) -> DataFrame:
+    """Place written pieces; ``at``: a new folder for their offsets. Each sequence is filled from offset 0 without gaps."""
     spark = pieces.sparkSession
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    offsets = written(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), at)
+    counts = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    offsets = F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets
     full = counts.pop(capacity, 0)
     where = places([(full, ((capacity, 1),)), *complete(counts, capacity, nodes)] if full else complete(counts, capacity, nodes))
     shared = spark.sparkContext.broadcast(where)  # a few rows for each of at most capacity lengths
-    ranked = pieces.join(offsets, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(offsets.drop("n"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches):
         table = shared.value
@@ -298,5 +328,6 @@ def pack_pieces(pieces: DataFrame, capacity: int, nodes: int = NODES) -> DataFra
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = written(token_pieces(docs, tokenizer, end_id, capacity), shared_dir(docs.sparkSession))
-    return pack_pieces(pieces, capacity, nodes)
+    at = shared_dir(docs.sparkSession)
+    pieces = written(token_pieces(docs, tokenizer, end_id, capacity), f"{at}/pieces")
+    return pack_pieces(pieces, capacity, f"{at}/offsets", nodes)
