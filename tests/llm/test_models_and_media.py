@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from conftest import EDGE, prose
 
-from tokoro.llm import packing, progressive_jpeg as pj, quality, toxicity
+from tokoro.llm import labelled as labelled_, progressive_jpeg as pj, quality, toxicity
+from tokoro.llm.common import shared_dir
 
 
 def held(i):
@@ -131,17 +132,47 @@ def test_scores_do_not_depend_on_the_bound(spark, make):
     assert np.mean([whole[i]["predicted"] == cut[i]["predicted"] for i, _ in rows]) > 0.97
 
 
-def test_media_digests(make):
-    rows = pj.media_digests(make(EDGE)).collect()
+def test_media_digests(spark, make):
+    at = shared_dir(spark)
+    rows = pj.media_digests(make(EDGE), at).collect()
     want = Counter()
     for i, t in EDGE:
         p = pj.payload_of((t or "").encode())
-        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
-    assert Counter(tuple(r)[:5] for r in rows) == want
-    assert len({tuple(r)[1:] for r in rows if r["doc_id"] in (4, 5)}) == 1
+        (file,) = pj.encode([p])  # alone, not with others
+        ((_, rgb),) = pj.decode([file])
+        tall, wide = rgb.shape[:2]
+        flat = rgb.reshape(-1, 3)
+        means = "/".join(str(1000 * sum(map(int, flat[:, c])) // (tall * wide)) for c in range(3))
+        shown = f"{tall}x{wide} rgb {means} crc {zlib.crc32(rgb.tobytes()):08x}"
+        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(file), hashlib.sha256(file).hexdigest(), shown, tall, wide, rgb.tobytes()] += 1
+    assert Counter((*tuple(r)[:10], bytes(r["rgb"])) for r in rows) == want
+    assert len({tuple(r)[1:8] for r in rows if r["doc_id"] in (4, 5)}) == 1
+    stored = {(r["doc_id"], hashlib.sha256(bytes(r["media"])).hexdigest()) for r in spark.read.parquet(at).collect()}
+    assert stored == {(r["doc_id"], r["media_sha256"]) for r in rows}  # what was read is what lies there
     assert pj.media_digests(make([])).count() == 0
 
 
+def test_an_independent_decoder_reads_the_files(spark):
+    """The JVM's own JPEG reader, against our luma: its inverse transform rounds in other
+    places, and it smooths chroma, so only luma is compared, within a step."""
+    jvm = spark._jvm
+    payload = pj.payload_of(prose(4, 90).encode())
+    (file,) = pj.encode([payload])
+    f = pj.parse(file)
+    blocks = pj.coefficients([f])
+    natural = np.empty_like(blocks)
+    natural[:, pj.ZIGZAG] = blocks
+    across, down, base = f.planes[0]
+    luma = pj.pixels(natural)[base : base + across * down].reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(bytearray(file))))
+    raster = reader.readRaster(0, None)
+    assert (raster.getHeight(), raster.getWidth()) == (f.height, f.width)
+    r = random.Random(1)
+    for y, x in [(r.randrange(f.height), r.randrange(f.width)) for _ in range(400)]:
+        assert abs(raster.getSample(x, y, 0) - int(luma[y, x])) <= 1
+
+
 def test_media_round_trip_of_any_bytes():
     r = random.Random(1)
     payloads = [bytes(r.randbytes(192 * (1 + i % 9))) for i in range(30)] + [bytes(192), bytes([255]) * 384]
@@ -240,17 +271,136 @@ def test_pixels_match_the_transform():
     assert np.abs(pj.pixels(block).astype(float) - want).max() <= 1
 
 
-def test_pipeline_stages(spark, labelled):
-    from tokoro.llm import minhash
-
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def plain_logit(model, net, words):
+    """Window by window, word by word, unit by unit."""
+    p, h = {k: v.astype("f4").astype("f8") for k, v in net.p.items()}, toxicity.HIDDEN
+    known = model.inputs
+
+    def inputs(word):
+        row = known.words.get(word, 0)
+        own = [g for g in (known.grams.get(x, 0) for x in toxicity.grams(word)) if g] or [0]
+        odds = [known.gram_odds[0, g] for g in own]
+        mean = sum(p["gram"][g if g <= known.n_grams else 0] for g in own) / len(own)
+        return np.concatenate([[known.word_odds[0, row], max(odds), min(odds), sum(odds) / len(odds)], p["word"][row if row <= known.n_words else 0], mean])
+
+    best = -math.inf
+    for at in range(0, max(1, len(words)), 1):
+        window = words[at : at + toxicity.WINDOW]
+        if at and at not in toxicity.windows(len(words)):
+            continue
+        x, states = [inputs(w) for w in window], np.zeros((len(window), 2 * h))
+        for k, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                a, b = x[t] @ p["in"][k] + p["bias"][k, 0], state @ p["u"][k]
+                new = np.zeros(h)
+                for i in range(h):
+                    z, r = sigmoid(a[i] + b[i]), sigmoid(a[h + i] + b[h + i])
+                    new[i] = state[i] + z * (math.tanh(a[2 * h + i] + r * b[2 * h + i]) - state[i])
+                state = new
+                states[t, k * h : (k + 1) * h] = state
+        pooled = np.zeros(2 * h)
+        if len(window):
+            weight = np.exp(states @ p["attend"])
+            pooled = (weight / weight.sum()) @ states
+        best = max(best, float(pooled @ p["out"] + p["out_bias"][0]))
+    return best
+
+
+def toxic_rows(n=240):
+    r, rows = random.Random(15), []
+    for i in range(n):
+        words = prose(i, r.randint(5, 80)).split()
+        if i % 3 == 0:
+            for _ in range(3):
+                words[r.randrange(len(words))] = r.choice(["vilewort", "grubface", "snarlgut"]) + r.choice(["", "s", "er"])
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    return rows
+
+
+def test_scores_are_those_of_a_plain_network(monkeypatch):
+    nets, make_net = [], toxicity.Network
+    monkeypatch.setattr(toxicity, "Network", lambda *a: nets.append(make_net(*a)) or nets[-1])
+    model = toxicity.train(toxic_rows(), (160, 80))
+    scorer, (a, b) = toxicity.Scorer(model), model.scale
+    texts = [t for t, _ in toxic_rows(30)] + ["", prose(3, 200), "vilewort", "unseen wordless things"]
+    for text, score in zip(texts, scorer.scores(texts), strict=True):
+        words = [toxicity.clean(w) for w in text.split()]
+        assert math.isclose(score, sigmoid(a * plain_logit(model, nets[0], words) + b), abs_tol=2e-4)
+
+
+def test_the_network_learns_without_log_odds(monkeypatch):
+    """With the log odds at zero, embeddings and recurrence alone tell held-out rows apart."""
+    own = toxicity.Inputs.parts
+
+    def parts(self, words, views):
+        word, odds, *rest = own(self, words, views)
+        return word, np.zeros_like(odds), *rest
+
+    monkeypatch.setattr(toxicity.Inputs, "parts", parts)
+    rows = toxic_rows(420)
+    model = toxicity.train(rows[:300], (200, 100))
+    got = toxicity.Scorer(model).scores([t for t, _ in rows[300:]])
+    assert np.mean([(s >= 0.5) == y for s, (_, y) in zip(got, rows[300:], strict=True)]) > 0.85
+
+
+def plain_statistics(text):
+    words, lines, n = text.split(), text.split(b"\n"), len(text)
+    counts, m = Counter(words), max(1, len(text.split()))
+    share = [c / n for c in Counter(text).values()]
+    common = sorted(counts.values(), reverse=True)
+    shares = [sum(text.count(bytes([c])) for c in group) / n for group in quality.GROUPS] + [sum(c >= 128 for c in text) / n]
+    return shares + [
+        -sum(s * math.log(s) for s in share), math.log(1 + m), n / m, len(counts) / m, len(counts) / m**0.5, (common[0] if common else 0) / m, sum(common[:3]) / m,
+        len(set(lines)) / len(lines), len(lines) / m, len(zlib.compress(text, 1)) / n, sum(len(w) for w in counts) / max(1, len(counts)),
+    ]
+
+
+def test_quality_is_ridge_on_a_gaussian_kernel_with_isotonic_means(spark, labelled):
+    """The whole fit told plainly: all rows at once, least squares, min-max isotonic means."""
     docs, labels = labelled
-    good = quality.keep(docs, labels)
-    clean = toxicity.keep(good, labels)
-    once = minhash.keep(clean)
-    assert good.columns == clean.columns == once.columns == docs.columns
-    kept = {r["doc_id"] for r in once.collect()}
-    assert kept and not [i for i in kept if i and i >= 1000 and i % 4 == 0]
-    import public_tokenizers as P
-
-    packed = packing.pack_documents(once, P.path("byte_bpe_50k.json"))
-    assert {r["doc_id"] for r in packed.collect()} == kept
+    fold_of = {r["doc_id"]: r["fold"] for r in docs.selectExpr("doc_id", "cast(pmod(xxhash64(doc_id), 2) as int) fold").collect()}
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    known = sorted((i, q) for i, q in {(r["doc_id"], r["quality"]) for r in labels.collect()} if i in text and i is not None and q is not None and not held(i))
+    x = np.array([plain_statistics(text[i]) for i, _ in known])
+    y, fold = np.array([q for _, q in known], "f8"), np.array([fold_of[i] for i, _ in known])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale <= 1e-9] = 1
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(size=(x.shape[1], quality.FEATURES)) / math.sqrt(x.shape[1])
+    b = rng.uniform(0, 2 * math.pi, quality.FEATURES)
+    lift = lambda s: np.c_[math.sqrt(2 / quality.FEATURES) * np.cos(np.clip((s - mean) / scale, -6, 6) @ w + b), np.ones(len(s))]
+    root = np.diag([math.sqrt(quality.RIDGE)] * quality.FEATURES + [1e-3])
+    solve = lambda own: np.linalg.lstsq(np.r_[lift(x[own]), root], np.r_[y[own], np.zeros(len(root))], rcond=None)[0]
+    raw = np.where(fold == 0, lift(x) @ solve(fold == 1), lift(x) @ solve(fold == 0))
+    weights, order = solve(fold >= 0), np.argsort(raw, kind="stable")
+    raw, y = raw[order], y[order]
+    best = [max(min(y[a : b + 1].mean() for b in range(k, len(y))) for a in range(k + 1)) for k in range(len(y))]
+    knots: dict = {}
+    for r, v in zip(raw, best, strict=True):  # a block's middle
+        knots.setdefault(round(v, 12), []).append(r)
+    middles = [((own[0] + own[-1]) / 2, v) for v, own in knots.items()]
+    plain = {i: float(np.interp(lift(np.array([plain_statistics(t) if t else [0.0] * x.shape[1]])) @ weights, *zip(*middles, strict=True))[0]) for i, t in text.items()}
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    assert max(abs(got[i] - plain[i]) for i in text) < 1e-4
+    # and the random features approximate the kernel that they stand for
+    s = (x[:40] - mean) / scale
+    s = np.clip(s, -6, 6)
+    wide = rng.normal(size=(s.shape[1], 20_000)) / math.sqrt(s.shape[1])
+    z = np.cos(s @ wide + rng.uniform(0, 2 * math.pi, 20_000)) * math.sqrt(2 / 20_000)
+    kernel = np.exp(-((s[:, None] - s[None]) ** 2).sum(axis=2) / (2 * s.shape[1]))
+    assert np.abs(z @ z.T - kernel).max() < 0.05
+
+
+def test_training_rows_are_bounded_by_ids_and_bytes(spark, make):
+    docs = make([(1, "a" * 50)] * 200 + [(i, "b" * 40) for i in range(2, 60)])
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 60)] * 2, "doc_id long, toxic int")
+    rows = labelled_.one_text(labelled_.sample(docs, labels, "toxic", 20))
+    assert rows.count() == 20 == rows.select("doc_id").distinct().count()
+    assert labelled_.within_bytes(rows, 400).count() in (9, 10)  # 40 or 50 bytes each
+    n = sum(not held(i) for i in range(1, 60))
+    assert labelled_.class_counts(labels, "toxic") == (0, n)

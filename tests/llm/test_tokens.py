@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -13,7 +14,7 @@ from conftest import EDGE
 from tokenizers import Tokenizer
 
 from tokoro.llm import binary_records, byte_bpe, packing, token_counts
-from tokoro.llm.common import shared_dir
+from tokoro.llm.common import WorkerCache, shared_dir
 
 WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 crc = lambda ids: zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
@@ -49,6 +50,9 @@ def test_offset_index_and_damage(spark, make, word, tmp_path):
     row = manifest[0]
     doc, ids = binary_records.read_one(at, row["path"], row["records"] - 1)
     assert ids.tolist() == [*word.encode(f"text {doc}", add_special_tokens=False).ids, 2]
+    assert {(r["doc_id"], tuple(r["ids"])) for r in binary_records.read_shuffled(spark.createDataFrame(manifest), at, 7).collect()} == {(i, (*word.encode(f"text {i}", add_special_tokens=False).ids, 2)) for i in range(9)}
+    one, two = ([r["doc_id"] for r in binary_records.read_shuffled(spark.createDataFrame(manifest), at, k).collect()] for k in (1, 2))
+    assert sorted(one) == sorted(two) == list(range(9)) and one != two
     data = bytearray(open(row["path"], "rb").read())
     data[15] ^= 1
     import io
@@ -57,6 +61,38 @@ def test_offset_index_and_damage(spark, make, word, tmp_path):
         list(binary_records.unframe(io.BytesIO(bytes(data))))
 
 
+def test_wide_ids_and_a_hot_id(spark, make):
+    at, rows = shared_dir(spark), [(7, f"text {i}") for i in range(40)]
+    manifest = binary_records.write_records(make(rows), WORD, 70_000, at)
+    assert binary_records.parse(binary_records.payload(1, np.array([70_000], "<u4"), 4))[1].tolist() == [70_000]
+    got = binary_records.read_records(manifest, at)
+    assert got.rdd.getNumPartitions() == manifest.count() > 1  # files are read by many tasks
+    read = [binary_records.read_one(at, r["path"], 0)[1].tolist() for r in manifest.collect()]
+    assert all(ids[-1] == 70_000 for ids in read) and got.count() == 40
+    with pytest.raises(ValueError):
+        binary_records.id_width(-1)
+
+
+def test_other_patterns():
+    """Any pattern, groups and unmatched text included, as the library takes it."""
+    ranks, r = byte_bpe.load_ranks(RANKS), random.Random(2)
+    for pattern in (r"\w+|\W", r"(\p{L}+|\p{N})|\s", "[^a]+"):
+        lib, own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), byte_bpe.BacktrackBPE(ranks, pattern)
+        for _ in range(200):
+            t = " ".join(r.choice(["the", "Anna's", "12,5", "naïve", "don't", "", "x_y"]) for _ in range(9))
+            assert own.ids(t.encode()) == struct.pack(f"<{len(x := lib.encode_ordinary(t))}I", *x)
+
+
+def test_caches_are_bounded_by_bytes():
+    made = []
+    cache = WorkerCache(lambda k: made.append(k) or k, 1000, 2000)
+    for i in range(500):
+        assert cache[b"k%03d" % i * 50] == b"k%03d" % i * 50
+    assert cache.held <= 2400 and sum(map(len, cache.old)) <= 2400
+    long = b"x" * 5000
+    assert cache[long] == long and long not in cache
+
+
 def test_byte_bpe(spark, make):
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
     want = []
@@ -147,6 +183,19 @@ def test_bin_completion_of_many_pieces():
     assert worse > 3
 
 
+def test_dropped_levels_are_taken_up_again(monkeypatch):
+    """The search is the same whether it keeps all its levels or makes them anew."""
+    r = random.Random(21)
+    for case in range(30):
+        counts = Counter(r.randint(5, 60) for _ in range(r.randint(6, 30)))
+        counts = {s: c * r.randint(1, 4) for s, c in counts.items()}
+        plans = []
+        for alive in (1000, 1):
+            monkeypatch.setattr(packing, "ALIVE", alive)
+            plans.append(packing.complete(counts, 100, 300))
+        assert plans[0] == plans[1]
+
+
 def test_fillings_are_all_undominated_ones():
     """Against every multiset of pieces, dominance by its definition for one exchange."""
     from itertools import product
