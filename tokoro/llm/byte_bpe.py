@@ -18,7 +18,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tokoro.llm.common import WorkerCache, id_and_text, map_arrow
+from tokoro.llm.common import WorkerCache, held_alone, id_and_text, map_arrow
 from tokoro.llm.subwords import ByteLevelCutter, pack_ids
 
 PAIRS = 300_000
@@ -161,9 +160,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> BacktrackBPE:
-    return BacktrackBPE(load_ranks(path), pattern)
+    return held_alone(("coder", path, pattern), lambda: BacktrackBPE(load_ranks(path), pattern))
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -48,6 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict = {}
+
+
+def held_alone(name, make: Callable):
+    """A worker's large state by name: a model, a coder, a table. A worker holds one at a
+    time, so that what a stage of a pipeline leaves behind goes when the next one begins."""
+    if _HELD.get("name") != name:
+        _HELD.clear()
+        _HELD["value"] = make()
+        _HELD["name"] = name
+    return _HELD["value"]
+
+
 class WorkerCache(dict):
     """Values by key, made on demand, in two generations, each of at most ``limit`` entries
     and ``limit_bytes`` bytes of keys and values.

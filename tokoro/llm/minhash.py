@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
+from tokoro.llm.common import held_alone, id_and_text, map_arrow, shared_dir, written
 
 WORDS, ROWS, LANES, BITS, SEED = 5, 5, 2048, 4, 20240229
 PER_CENT, MARGIN, BLOCK, MISSED = 85, 0.045, 512, 1e-6
@@ -196,15 +196,9 @@ def member_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return map_arrow(hashed, lambda batches: run(chosen(batches)), MEMBER)
 
 
-_MAPS: dict[str, np.ndarray] = {}
-
-
 def _worker_map(name: str, shared) -> np.ndarray:
     """The worker's copy of a broadcast bit map."""
-    if name not in _MAPS:
-        _MAPS.clear()
-        _MAPS[name] = np.frombuffer(zlib.decompress(shared.value), "i8")
-    return _MAPS[name]
+    return held_alone(name, lambda: np.frombuffer(zlib.decompress(shared.value), "i8"))
 
 
 PAIRS = "a long, b long, part long"

@@ -11,7 +11,7 @@ import functools
 import re
 import struct
 
-from tokoro.llm.common import WorkerCache
+from tokoro.llm.common import WorkerCache, held_alone
 
 CHUNKS, PRETOKENS = 150_000, 150_000
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -149,6 +149,5 @@ def word_bpe(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-@functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return held_alone(("byte_bpe", path), lambda: ByteBPE(path))

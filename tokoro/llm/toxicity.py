@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import WorkerCache, id_and_text, map_arrow
+from tokoro.llm.common import WorkerCache, held_alone, id_and_text, map_arrow
 from tokoro.llm.labelled import class_counts, held_out, one_text, sample, within_bytes
 
 WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1500
@@ -409,15 +409,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     return train([(t, y) for _, t, y in ordered], class_counts(labels, label))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def worker_scorer(name: str, model) -> Scorer:
     """The worker's scorer of a broadcast model."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(model.value)
-    return _SCORERS[name]
+    return held_alone(name, lambda: Scorer(model.value))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
