@@ -274,3 +274,18 @@ def test_recall_and_precision(spark):
     assert tuple(recall_and_precision(candidates, results, gold).first()) == ("typo", 2, 0.5, 0.5, 1.0)
     labels = spark.createDataFrame([(1, "0000005"), (2, "x")], "qid long, label string")
     assert tuple(accuracy(results, labels, "machiaza_id", "label").first()) == (2, 0.5)
+
+
+def test_scratch_folders_can_be_cleared(spark, tmp_path):
+    from tokoro import storage
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert storage.stored(spark.range(3)).count() == 3
+        own = tmp_path / "tokoro" / spark.sparkContext.applicationId
+        assert len(list(own.iterdir())) == 1
+        storage.clear(spark)
+        assert not own.exists()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)

@@ -20,7 +20,22 @@ def scratch(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="tokoro-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/tokoro/{uuid.uuid4().hex}"
+    return f"{_own(spark, base)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession, base: str) -> str:
+    """The folder of all that this application writes."""
+    return f"{base.rstrip('/')}/tokoro/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Results that weren't stored
+    elsewhere read from there, so this is for the end of a job; until then nothing is
+    deleted. What an ended application left lies under its id."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark, base))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
