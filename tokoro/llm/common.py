@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokoro.storage import scratch as shared_dir  # noqa: F401  the one scratch folder of the library
@@ -48,6 +48,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key is hot from this share of a table's rows on; there are at most so many hot keys,
+#: and a task is dealt less than this share of one key.
+HOT_KEYS = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``left`` left-joined with ``right``, one row a key, whatever share of ``left`` a key has.
+
+    ``size`` (a column of ``right``, dropped) counts the key's rows in ``left``, which has
+    ``total``. Rows of hot keys meet a broadcast of at most ``HOT_KEYS`` rows of ``right``,
+    rows without a key meet nothing, and only the rest is dealt out by key. Both tables are
+    read more than once, so they should be written ones.
+    """
+    least = max(1, -(-total // HOT_KEYS))
+    right = right.where(F.col(key).isNotNull())
+    hot = right.where(F.col(size) >= least).drop(size).withColumn("_hot", F.lit(True))
+    cold = right.where(F.col(size) < least).drop(size)
+    met = left.join(F.broadcast(hot), key, "left")
+    done = met.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    rest = met.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(left.columns)
+    return done.unionByName(rest.join(cold, key, "left"))
+
+
+def ranked(rows: DataFrame, order: list, at: str) -> DataFrame:
+    """Rows with their gapless position (from 0) in an order, by range partitions and the
+    place inside them; what comes before a partition is joined to it by its number."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumn("_place", F.monotonically_increasing_id()), at)
+    dealt = dealt.withColumn("_part", F.shiftright("_place", 33))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("_part", before.alias("_base"))
+    place = F.col("_base") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return dealt.join(F.broadcast(bases), "_part").withColumn("position", place).drop("_part", "_place", "_base")
+
+
 _HELD: dict = {}
 
 

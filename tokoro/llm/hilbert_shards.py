@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import shared_dir, written
+from tokoro.llm.common import ranked, shared_dir, written
 
 SHARDS, BITS, DIMS = 40, 5, 3
 #: Lengths at which a cell of that dimension begins: the least n with log2(n) * 1.5 >= k.
@@ -112,27 +112,10 @@ def metadata(docs: DataFrame, at: str, keep: list[Column] = ()) -> DataFrame:
 KEPT = "__row"
 
 
-def ranked(rows: DataFrame, order: list[str], at: str) -> tuple[DataFrame, int]:
-    """Rows with their gapless position in an order, and their number."""
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    place = F.monotonically_increasing_id()
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = written(dealt.withColumn("place", place), at)
-    part = F.shiftright("place", 33).cast("int")
-    sizes = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one number a partition
-    bases, total = [], 0
-    for k in range(max(sizes, default=0) + 1):
-        bases.append(total)
-        total += sizes.get(k, 0)
-    base = F.element_at(F.array(*map(F.lit, bases)).cast("array<bigint>"), part + 1)
-    return dealt.withColumn("position", base + F.col("place").bitwiseAND((1 << 33) - 1)).drop("place"), total
-
-
 def placed(meta: DataFrame, shards: int, at: str) -> DataFrame:
     """Rows with shard and slot: runs of the order along the curve."""
-    rows, total = ranked(meta, ["curve", "text_crc32", "doc_id"], at)
-    n = max(1, total)
+    rows = ranked(meta, ["curve", "text_crc32", "doc_id"], at)
+    n = max(1, rows.count())
     shard = F.floor(F.col("position") * shards / F.lit(n)).cast("int") if n * shards >= 1 << 52 else F.expr(f"cast(position * {shards} div {n} as int)")
     first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
     return rows.withColumn("shard", shard).withColumn("slot", F.col("position") - first)

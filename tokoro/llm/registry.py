@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokoro.llm import binary_records, byte_bpe, hilbert_shards, impact_search, minhash, packing, progressive_jpeg, quality, token_counts, toxicity
+from tokoro.llm import binary_records, byte_bpe, filter_audit, hilbert_shards, html_text, impact_search, importance, minhash, packing, progressive_jpeg, quality, token_counts, toxicity
 from tokoro.llm.common import table
 
 
@@ -51,8 +51,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_impact_search, op2_binary_records, op3_token_counts, op4_hilbert_shards, op5_toxicity, op6_progressive_jpeg, op7_quality, op8_packing, op9_minhash, op10_byte_bpe)
+    operators = (
+        *(op1_impact_search, op2_binary_records, op3_token_counts, op4_hilbert_shards, op5_toxicity, op6_progressive_jpeg, op7_quality),
+        *(op8_packing, op9_minhash, op10_byte_bpe, op11_filter_audit, op12_importance, op13_html_text),
+    )
     return {f.__name__: f for f in operators}
 
 
@@ -130,5 +145,66 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id
 """
 
 
+#: Verdicts as the bits of a number, and sums over the numbers for every step of every order.
+OP11_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1), v AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM v GROUP BY 1, 2
+), i AS (SELECT unnest(range(5)) AS k), o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+  SELECT list_reduce(list_transform(ks, lambda k: 'ABCDE'[k + 1]), lambda x, y: x || y) AS filter_order, unnest(range(1, 6)) AS step, ks FROM o
+), t AS (
+  SELECT filter_order, step, 1 << ks[step] AS bit, CAST(coalesce(list_sum(list_transform(ks[:step - 1], lambda k: 1 << k)), 0) AS BIGINT) AS before FROM s
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM t, g GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: Features as strings; each distinct one's checksum byte by byte.
+OP12_SQL = """
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)
+), f AS (
+  SELECT doc_id, doc_id < 0 AS aim, array_to_string(w[i : i + k], ' ') AS f
+  FROM (SELECT *, unnest(range(1, len(w) - k + 1)) AS i FROM (SELECT *, unnest(range(3)) AS k FROM w))
+), c AS (SELECT doc_id, aim, f, count(*) AS n FROM f GROUP BY 1, 2, 3), b AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8))) % 10000 AS bucket FROM (SELECT DISTINCT f FROM c), crc_table
+), p AS (SELECT doc_id, aim, bucket, sum(n) AS n FROM c JOIN b USING (f) GROUP BY 1, 2, 3), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000)) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (NOT aim), 0) AS s, coalesce(sum(n) FILTER (aim), 0) AS t FROM p GROUP BY 1)
+), v AS (SELECT doc_id, sum(n * gain) AS weight, sum(n) AS n FROM p JOIN g USING (bucket) GROUP BY 1), h AS (
+  SELECT doc_id, len(w.w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    (CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u
+  FROM w LEFT JOIN v USING (doc_id) WHERE doc_id >= 0
+), s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM h), r AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= 20) AS of_all FROM s
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * of_all // 100 THEN place END AS rank FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_impact_search": OP1_SQL, "op4_hilbert_shards": OP4_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_impact_search": OP1_SQL, "op4_hilbert_shards": OP4_SQL, "op9_minhash": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_importance": OP12_SQL}
