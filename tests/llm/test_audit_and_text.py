@@ -237,9 +237,28 @@ def test_spread_join(spark):
     right = [(1, 10, "hot"), (4, 1, "cold"), (None, 1, "null"), (-5, 1, "alone")]
     rows = written(spark.createDataFrame(left, "k long, v long"), f"{at}/l")
     keys = written(spark.createDataFrame(right, "k long, n long, what string"), f"{at}/r")
-    got = spread_join(rows, keys, "k", "n", len(left))
+    keys = keys.withColumn("n", F.when(F.col("k") == 1, sum(k == 1 for k, _ in left)).otherwise(F.col("n")))
+    got = spread_join(rows, keys, "k", "n", len(left), "v")
     what = {1: "hot", 4: "cold"}
     assert Counter(map(tuple, got.select("k", "v", "what").collect())) == Counter((k, v, what.get(k)) for k, v in left)
+    met = spread_join(rows, keys, "k", "n", len(left), "v", "inner").repartition(1)
+    assert Counter(map(tuple, met.select("k", "v", "what").collect())) == Counter((k, v, what[k]) for k, v in left if k in what)
+
+
+def test_no_task_has_a_hot_keys_rows_alone(spark):
+    """A third of the rows share a key, a third have none: each of 16 partitions gets its share."""
+    at, n = shared_dir(spark), HOT_KEYS * 3
+    rows = written(spark.range(n).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), F.col("id").alias("v")), f"{at}/l")
+    keys = written(spark.createDataFrame([(1, n // 3, "hot")], "k long, n long, what string"), f"{at}/r")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("16", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = spread_join(rows, keys, "k", "n", n, "v").withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 16 and max(r["count"] for r in got) < 1.3 * n / 16
 
 
 def test_ranked(spark):

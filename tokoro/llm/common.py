@@ -48,27 +48,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A key is hot from this share of a table's rows on; there are at most so many hot keys,
-#: and a task is dealt less than this share of one key.
+#: A key is hot from this share of a table's rows on: there are at most so many hot keys,
+#: and a task is dealt about this share of one key.
 HOT_KEYS = 4096
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """``left`` left-joined with ``right``, one row a key, whatever share of ``left`` a key has.
+def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, total: int, by: str, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, whatever share of ``left`` a
+    key has.
 
     ``size`` (a column of ``right``, dropped) counts the key's rows in ``left``, which has
-    ``total``. Rows of hot keys meet a broadcast of at most ``HOT_KEYS`` rows of ``right``,
-    rows without a key meet nothing, and only the rest is dealt out by key. Both tables are
-    read more than once, so they should be written ones.
+    ``total``. Rows of a hot key are dealt to as many places as the key is times over the
+    share, by column ``by`` and partition, and the key's row of ``right`` goes to each; how
+    many, ``left`` knows from a broadcast of at most ``HOT_KEYS`` rows. Rows without a key
+    meet nothing and are dealt out as well.
     """
     least = max(1, -(-total // HOT_KEYS))
-    right = right.where(F.col(key).isNotNull())
-    hot = right.where(F.col(size) >= least).drop(size).withColumn("_hot", F.lit(True))
-    cold = right.where(F.col(size) < least).drop(size)
-    met = left.join(F.broadcast(hot), key, "left")
-    done = met.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
-    rest = met.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(left.columns)
-    return done.unionByName(rest.join(cold, key, "left"))
+    right = right.where(F.col(key).isNotNull()).withColumn("_places", F.greatest(F.lit(1), F.ceil(F.col(size) / least)).cast("int")).drop(size)
+    hot = right.where("_places > 1").select(key, "_places")
+    places = F.when(F.col(key).isNull(), HOT_KEYS).otherwise(F.coalesce("_places", F.lit(1)))
+    place = F.pmod(F.xxhash64(by) + F.spark_partition_id(), places).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_place", place).drop("_places")
+    every = right.withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("_places") - 1))).drop("_places")
+    return dealt.join(every, [key, "_place"], how).drop("_place")
 
 
 def ranked(rows: DataFrame, order: list, at: str) -> DataFrame:

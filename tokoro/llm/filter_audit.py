@@ -64,13 +64,13 @@ def judged(docs: DataFrame, labels: DataFrame, at: str) -> DataFrame:
 
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     texts = written(texts.where("first < last").drop("last"), f"{at}/repeated")
-    rows = spread_join(rows, texts, "digest", "n", total).withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    rows = spread_join(rows, texts, "digest", "n", total, "doc_id").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     rows = written(rows.drop("digest", "first"), f"{at}/repeats")
 
     said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     often = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") * HOT_KEYS >= total)  # at most HOT_KEYS ids
     said = written(said.join(F.broadcast(often), "doc_id", "left").fillna(0, ["n"]), f"{at}/labels")
-    rows = spread_join(rows, said, "doc_id", "n", total)
+    rows = spread_join(rows, said, "doc_id", "n", total, "part")
     return written(rows.select("part", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")), *"ABCDE"), f"{at}/judged")
 
 
