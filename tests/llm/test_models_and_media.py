@@ -404,3 +404,35 @@ def test_training_rows_are_bounded_by_ids_and_bytes(spark, make):
     assert labelled_.within_bytes(rows, 400).count() in (9, 10)  # 40 or 50 bytes each
     n = sum(not held(i) for i in range(1, 60))
     assert labelled_.class_counts(labels, "toxic") == (0, n)
+
+
+def test_a_long_text_takes_no_other_texts_place(spark):
+    """One text beyond the bound, first in the order of hashes or not, in either class."""
+    short = [(i, f"text {i} " * 5, i % 2, 0) for i in range(1, 41)]
+    for label in (0, 1):
+        for i in range(100, 110):
+            rows = spark.createDataFrame([*short, (i, "long " * 4000, label, 0)], "doc_id long, text string, label int, fold int")
+            got = labelled_.within_bytes(rows, 10_000).collect()
+            assert sorted((r["doc_id"], r["text"]) for r in got) == [(k, t) for k, t, *_ in short]
+    alone = spark.createDataFrame([*short[:20:2], (100, "ü" * 20_000, 0, 0), (101, "ü" * 20_001, 0, 0)], "doc_id long, text string, label int, fold int")
+    got = {r["doc_id"]: r["text"] for r in labelled_.within_bytes(alone, 10_000).collect()}
+    assert got == {k: t for k, t, *_ in short[:20:2]} | {100: "ü" * 2500}
+    # a text of a sixteenth or more of the bound, but within it, is taken after the others
+    mid = spark.createDataFrame([*short[:4], (100, "m" * 9000, 0, 0), (101, "m" * 1000, 0, 0)], "doc_id long, text string, label int, fold int")
+    assert 101 in {r["doc_id"] for r in labelled_.within_bytes(mid, 10_000).collect()}
+
+
+def test_toxicity_beside_a_labelled_text_of_nine_megabytes(spark):
+    r = random.Random(5)
+    words = [f"word{k}" for k in range(60)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(20)) + (" vile" if i % 2 else ""), i % 2) for i in range(1, 121)]
+    long = " ".join(words) * 26_000
+    assert len(long) > 9 << 20 > toxicity.MOST_BYTES
+    scores = []
+    for extra in ([], [(k, long, y) for k, y in ((1001, 0), (1002, 1))]):
+        docs = spark.createDataFrame([(i, t) for i, t, _ in rows + extra], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows + extra], "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels)
+        scores.append(np.array(toxicity.Scorer(model).scores([t for _, t, _ in rows])))
+    assert np.abs(scores[0] - scores[1]).max() < 0.02
+    assert scores[1][1::2].max() < 0.5 < scores[1][::2].min()

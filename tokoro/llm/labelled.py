@@ -37,11 +37,21 @@ def one_text(rows: DataFrame) -> DataFrame:
 
 
 def within_bytes(rows: DataFrame, most_bytes: int) -> DataFrame:
-    """Of a sample with one row an id, the rows of each class by hash of the id while their
-    texts together have at most ``most_bytes`` bytes; whole texts or none. The sample's own
-    bound keeps a class's window small."""
-    upto = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+    """Of a written sample with one row an id, the rows of each class by hash of the id while
+    their texts together have at most ``most_bytes`` bytes; whole texts or none.
+
+    Texts of over a sixteenth of the bound come last, by size, so that a long one is left out
+    alone and takes no other's place. If not even the first fits, it stands for its class
+    with as many of its characters as do. Places are found from sizes alone.
+    """
+    size = F.octet_length("text")
+    order = [F.when(size > most_bytes // 16, size).otherwise(0), F.xxhash64("doc_id"), F.col("doc_id")]
+    sizes = rows.select("doc_id", "label", size.alias("_size"), F.struct(*order).alias("_order"))
+    own = Window.partitionBy("label").orderBy("_order")
+    upto = F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = sizes.select("doc_id", "label", upto.alias("_upto"), F.row_number().over(own).alias("_nth")).where(f"_upto <= {most_bytes} or _nth = 1")
+    text = F.when(size > most_bytes, F.substring("text", 1, most_bytes // 4)).otherwise(F.col("text"))  # a character has 4 bytes at most
+    return rows.join(F.broadcast(picked.select("doc_id", "label")), ["doc_id", "label"]).withColumn("text", text)
 
 
 def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:

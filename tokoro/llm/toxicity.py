@@ -11,8 +11,9 @@ attention pools its states, and the document's logit is that of its worst window
 to a probability by logistic calibration with the classes weighted as they occur.
 
 Training uses at most ``most`` labelled ids of each class (the smallest hashes of id), as
-many of them as have ``MOST_BYTES`` bytes of text together, on the driver; scoring reads
-every window of every document. Labels, ids, languages and sources never enter a score.
+many of them as have ``MOST_BYTES`` bytes of text together (a text too long for that is
+left out alone, see ``labelled.within_bytes``), on the driver; scoring reads every window
+of every document. Labels, ids, languages and sources never enter a score.
 
 Defined results: null text counts as empty, one empty window, whose score is the
 network's answer to no input; a very long text is read to its end, a batch of windows at a
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import WorkerCache, held_alone, id_and_text, map_arrow
+from tokoro.llm.common import WorkerCache, held_alone, id_and_text, map_arrow, shared_dir, written
 from tokoro.llm.labelled import class_counts, held_out, one_text, sample, within_bytes
 
 WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1500
@@ -404,7 +405,8 @@ def train(rows: list[tuple[str, int]], classes: tuple[int, int]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST) -> Model:
     """Train on at most ``most`` ids and ``MOST_BYTES`` bytes of texts of each class,
     gathered on the driver by that bound."""
-    rows = within_bytes(one_text(sample(docs, labels, label, most)), MOST_BYTES).select("doc_id", "text", "label").collect()
+    sampled = written(one_text(sample(docs, labels, label, most)), f"{shared_dir(docs.sparkSession)}/sample")
+    rows = within_bytes(sampled, MOST_BYTES).select("doc_id", "text", "label").collect()
     ordered = sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
     return train([(t, y) for _, t, y in ordered], class_counts(labels, label))
 
