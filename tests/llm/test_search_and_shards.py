@@ -168,6 +168,26 @@ def test_near_duplicates_edges(spark, make):
     assert kept.columns == make([]).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_half_of_the_documents_are_empty_and_many_are_copies(spark, make):
+    """Null digests, a large class of copies and a large component keep their results."""
+    base = prose(1, 60)
+    rows = [(i, None if i % 2 else "") for i in range(300)] + [(1000 + i, base) for i in range(150)] + [(2000 + i, base + f" end{i}") for i in range(100)]
+    want = brute(rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(make(rows)).collect()} == want
+
+
+def test_documents_without_some_ids(spark, make, monkeypatch):
+    """Broadcast ids, a bit map of them, and a join give the same rows."""
+    rows = [(i % 90, f"t{i}") for i in range(200)] + [(None, "x"), (None, "x")]
+    docs, dropped = make(rows), spark.createDataFrame([(i,) for i in range(0, 90, 3)] + [(999,)], "doc_id long")
+    want = Counter((i, t) for i, t in rows if i is None or i % 3)
+    for sent, members in ((1 << 20, 1 << 24), (0, 1 << 24), (0, 0)):
+        monkeypatch.setattr(minhash, "SENT_IDS", sent)
+        monkeypatch.setattr(minhash, "MAP_MEMBERS", members)
+        got = minhash.without_ids(docs, dropped)
+        assert got.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 def test_bands_and_estimates_of_pairs_at_the_threshold():
     """Pairs at or just above the threshold share a band; estimates stay within the margin."""
     rng = np.random.default_rng(7)

@@ -15,7 +15,9 @@
    blocks is a group of its own, so that no task needs a whole band. Pairs inside a
    component can't change the result and are skipped.
 
-A pair is confirmed where it is dealt to: its first member's set goes once to each part of
+Large classes of copies, hot bands, hubs of stars and large components are keys of joins
+that deal such keys to many tasks (``common.spread_join``); documents without a set meet no
+class. A pair is confirmed where it is dealt to: its first member's set goes once to each part of
 the pairs, the second members' sets stream past it, in parts of bounded size, so that a
 member of a million pairs is neither repeated a million times nor met in one task.
 
@@ -39,18 +41,23 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import held_alone, id_and_text, map_arrow, shared_dir, written
+from tokoro.llm.common import held_alone, id_and_text, map_arrow, shared_dir, spread_join, written
 
 WORDS, ROWS, LANES, BITS, SEED = 5, 5, 2048, 4, 20240229
 PER_CENT, MARGIN, BLOCK, MISSED = 85, 0.045, 512, 1e-6
+#: Members of a band that are compared with its smallest in one place.
+STAR = 128
 #: Bits of the map of member ids that the second scan is given (16 MB), and the members up
 #: to which it is used; beyond them texts are joined with ids instead.
 MAP_BITS, MAP_MEMBERS = 1 << 27, 1 << 24
+#: Ids to drop up to which they are broadcast as they are (16 bytes each).
+SENT_IDS = 1 << 20
 SET = "doc_id long, n_shingles long, digest binary, bands array<long>"
 MEMBER = "rep long, n long, sig binary, shingles binary"
 
@@ -244,13 +251,13 @@ def components(edges: DataFrame, at: str) -> DataFrame:
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        """e: (a, b), a > b."""
+        """e: written, (a, b), a > b."""
         if large:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        tied = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a"))
+        tied = spread_join(both, least, "a", "n", e.count() * (1 + large), "b", "inner")
         moved = tied.where("b > a" if large else "b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
             moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
@@ -263,7 +270,7 @@ def components(edges: DataFrame, at: str) -> DataFrame:
     seen, k = mark(now), 0
     while seen[0]:
         k += 1
-        now = written(star(star(now, True), False), f"{at}-{k}")
+        now = written(star(written(star(now, True), f"{at}-{k}-large"), False), f"{at}-{k}")
         if (then := mark(now)) == seen:
             break
         seen = then
@@ -352,14 +359,15 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None =
     at = at or shared_dir(docs.sparkSession)
     sets = written(shingle_sets(docs, bands_for(per_cent)), f"{at}/sets")
     usable = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), f"{at}/classes")
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), f"{at}/classes")
     ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    bands = usable.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    bands = written(usable.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), f"{at}/bands")
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).where("pivot != last").drop("last")
-    buckets = written(bands.join(shared, "key"), f"{at}/buckets")  # key, rep, pivot, size
+    shared = written(shared.withColumn("n", F.col("size")), f"{at}/shared")
+    buckets = written(spread_join(bands, shared, "key", "n", bands.count(), "rep", "inner"), f"{at}/buckets")  # key, rep, pivot, size
     members = written(member_sets(docs, written(buckets.select("rep").distinct(), f"{at}/reps")), f"{at}/members")
 
-    part = F.pmod(F.xxhash64("rep"), blocks_of(F.col("size"))).cast("long")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / STAR))
     stars = buckets.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.min(part).alias("part"))
     first = written(confirmed(written(stars, f"{at}/star-pairs"), members, per_cent), f"{at}/stars")
     comps = written(components(first, f"{at}/cc1"), f"{at}/comps")
@@ -371,12 +379,15 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None =
     of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
     second = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
     final = components(second, f"{at}/cc2")
-    merged = comps.join(final.withColumnRenamed("comp", "top").withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
+    tops = written(final.withColumnRenamed("comp", "top").withColumnRenamed("node", "comp").join(sizes, "comp"), f"{at}/tops")
+    merged = spread_join(comps, tops, "comp", "n", comps.count(), "node").select("node", F.coalesce("top", "comp").alias("comp"))
     alone = final.join(comps.select("node"), "node", "left_anti")
     by_rep = merged.unionByName(alone).withColumnRenamed("node", "rep")
-    roots = written(classes.join(by_rep, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("root")), f"{at}/roots")
+    roots = written(classes.join(by_rep, "rep", "left").select("digest", "n", F.coalesce("comp", "rep").alias("root")), f"{at}/roots")
 
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(roots, "digest", "left")
+    own = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+    out = spread_join(own, roots, "digest", "n", sets.count(), "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -384,4 +395,26 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None =
 def keep(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
     dropped = near_duplicates(docs, per_cent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, written(dropped, f"{shared_dir(docs.sparkSession)}/dropped"))
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose id isn't in a written table of ids. Up to ``SENT_IDS`` ids are
+    broadcast; else a bit map of them is, and only the documents that it lets through meet
+    the ids; where the map would tell too little, all documents with an id do."""
+    if dropped.count() <= SENT_IDS:
+        return docs.join(F.broadcast(dropped), "doc_id", "left_anti").select(docs.columns)
+    known = id_map(dropped.withColumnRenamed("doc_id", "rep"))
+    if known is None:
+        left = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
+        return docs.where("doc_id is null").unionByName(left.select(docs.columns))
+    shared, name = docs.sparkSession.sparkContext.broadcast(zlib.compress(known.tobytes(), 1)), uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def let_through(at: pd.Series) -> pd.Series:
+        bits, at = _worker_map(name, shared), at.to_numpy()
+        return pd.Series((bits[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    through = docs["doc_id"].isNotNull() & let_through(F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
+    few = docs.where(through).join(dropped, "doc_id", "left_anti")
+    return docs.where(~through).unionByName(few.select(docs.columns))
