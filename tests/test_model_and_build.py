@@ -3,6 +3,7 @@
 import io
 import json
 import sys
+import time
 import urllib.error
 import zipfile
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokoro import cli
 from tokoro.config import Config
 from tokoro.plans.build import build
-from tokoro.plans.decide import Decision, Question, Usage, decode, encode, geocode_with_model, latencies, merged, pack
+from tokoro.plans.decide import Decision, Question, Usage, ask, decode, encode, geocode_with_model, latencies, merged, pack
 from tokoro.plans.evaluate import accuracy, recall_and_precision
 from tokoro.plans.geocode import geocode
 from tokoro.sources.catalog import FEED_URL, kinds_for_level, pair_files, parse_feed, select_files
@@ -69,8 +70,8 @@ def test_narrowing(spark):
 
 
 def test_packing_and_codec():
-    assert pack([10, 10, 10], [1, 1, 2], 820, 1) == [[0, 1], [2]]
-    assert pack([10, 10, 10], [1, 1, 1], 815, 1) == [[0], [1], [2]]
+    sizes = lambda owners, budget: [len(g) for g in pack(({"qid": q} for q in owners), lambda r: 10, budget, 1, 99)]
+    assert sizes([1, 1, 2], 820) == [2, 1] and sizes([1, 1, 1], 815) == [1, 1, 1]
     assert decode("1", {"1": 0.7, "none": 0.2}, 0.9, "none", 3) == Decision(1, 0.7, 0.9, 0.8)
     assert decode(None, {"none": 0.9}, 0.9, "none", 3).index is None and decode("x", {}, 0.1, "none", 3).index is None
     request = encode([Question({"a": "1"}, "?", ["x"], "1"), Question({"a": "1"}, "?", ["y"], "2")])
@@ -250,7 +251,7 @@ class Flaky:
 
 
 def test_a_failed_request_drops_its_own_chunk(spark):
-    cfg = Config(max_options=3, batch_size=8, narrow_max_machiaza=100)
+    cfg = Config(max_options=3, batch_size=8, narrow_max_machiaza=100, narrow_token_budget=1)
     rows, usage = geocode_with_model(world.queries(spark, ["架空県汐見市苦葉三丁目"]), world.index(spark), cfg, Flaky())
     row = rows.first()
     assert usage["narrow_requests"] == 1 and row["note_code"] != "NARROW_EMPTY" and row["machiaza"] not in ("", "若葉")
@@ -259,6 +260,38 @@ def test_a_failed_request_drops_its_own_chunk(spark):
     assert notes[0][0] == "machiaza" and notes[1][0] == "city"  # the second got no answer: no confidence
 
 
+class Counting:
+    """Says in each decision how many requests are under way in its worker."""
+
+    def __init__(self):
+        self.now = 0
+
+    def choose(self, questions):
+        self.now += 1
+        time.sleep(0.05)
+        seen, self.now = self.now, self.now - 1
+        return [Decision(0, seen, seen, 1.0) for _ in questions], Usage(1, 1, 1)
+
+
+@pytest.mark.parametrize("concurrency, tasks, most", [(6, 1, 6), (1, 4, 1), (5, 2, 3)])
+def test_requests_in_flight(spark, concurrency, tasks, most):
+    """As many as asked for, whatever the number of tasks; each query's answer is its own."""
+    asked = spark.range(60).select(F.col("id").alias("qid"), F.lit(0).alias("part"), F.create_map(F.lit("input"), F.lit("x")).alias("subject"), F.array(F.lit("a"), F.lit("b")).alias("options"))
+    answers = ask(asked, Counting(), Config(batch_size=2, concurrency=concurrency, request_tasks=tasks), "?")
+    rows = answers.collect()
+    assert sorted(r["qid"] for r in rows) == list(range(60)) and all(r["answered"] for r in rows)
+    assert max(r["probability"] for r in rows) == most
+    assert 30 <= sum(r["requests"] for r in rows) <= 30 + tasks
+
+
+def test_requests_are_packed_as_they_stream():
+    rows = [{"qid": q, "options": ["x"] * n} for q, n in ((1, 1), (1, 1), (1, 9), (2, 1), (3, 1), (3, 1))]
+    tokens = lambda r: 10 * len(r["options"])
+    sizes = lambda *a, **k: [len(g) for g in pack(iter(rows), tokens, *a, **k)]
+    assert sizes(1000, 1, 99, request=0) == [3, 1, 2] and sizes(30, 9, 99, request=0) == [2, 1, 3]
+    assert sizes(1, 9, 99) == [1] * 6 and sizes(1000, 9, 4) == [4, 2]
+
+
 def test_batches_are_merged(spark):
     outcomes = [geocode_with_model(world.queries(spark, [q]), world.index(spark), Config(), Fake()) for q in (SAME, TYPO)]
     rows, usage = merged(*outcomes)
@@ -279,8 +312,7 @@ def test_recall_and_precision(spark):
 def test_scratch_folders_can_be_cleared(spark, tmp_path):
     from tokoro import storage
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    spark.conf.set(storage.SETTING, f"file://{tmp_path}")
     try:
         assert storage.stored(spark.range(3)).count() == 3
         own = tmp_path / "tokoro" / spark.sparkContext.applicationId
@@ -288,4 +320,5 @@ def test_scratch_folders_can_be_cleared(spark, tmp_path):
         storage.clear(spark)
         assert not own.exists()
     finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+        spark.conf.unset(storage.SETTING)
+    assert str(tmp_path) not in storage.scratch(spark)

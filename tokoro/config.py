@@ -17,7 +17,8 @@ class Config:
     max_options: int = 255  # with the option "none of these"
     always_ask: bool = False
     batch_size: int = 64
-    concurrency: int = 4
+    concurrency: int = 4  # requests to the model under way at once, over the whole cluster
+    request_tasks: int = 8  # tasks that share them, each with a pool of threads
     narrow_by_oaza: bool = True
     narrow_max_machiaza: int = 20_000
     narrow_token_budget: int = 48_000
@@ -26,8 +27,8 @@ class Config:
     def __post_init__(self):
         if not 2 <= self.max_options <= 255:
             raise ValueError("max_options must lie between 2 and 255")
-        if self.batch_size < 1 or self.concurrency < 1:
-            raise ValueError("batch_size and concurrency must be at least 1")
+        if min(self.batch_size, self.concurrency, self.request_tasks) < 1:
+            raise ValueError("batch_size, concurrency and request_tasks must be at least 1")
 
     @property
     def max_candidates(self) -> int:

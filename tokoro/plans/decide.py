@@ -1,6 +1,9 @@
 """Geocoding with a decision model: batches of questions in, one decision each out.
 
-The model runs in the executors, a request at a time in each of ``concurrency`` tasks.
+The model runs in the executors. Questions are dealt by query to a few tasks; a task packs
+them into requests as they stream in and keeps a pool of threads busy with these, so that
+``concurrency`` requests are under way over all tasks, however many there are, and no more
+than twice a pool's requests are held. A request that fails takes its own questions alone.
 Every stage's answers are written before they are used, so that no later action asks (and
 pays) twice; tokens and requests are columns of those answers and are summed, as counters
 on the side would count retried tasks twice.
@@ -10,11 +13,14 @@ from __future__ import annotations
 
 import functools
 import time
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +65,8 @@ class Usage:
 
 
 class DecisionModel(Protocol):
-    """Answers all questions of a request, in order; may raise when unavailable."""
+    """Answers all questions of a request, in order; may raise when unavailable. Several
+    threads of a worker call the same object."""
 
     def choose(self, questions: Sequence[Question]) -> tuple[Sequence[Decision], Usage]: ...
 
@@ -86,52 +93,75 @@ def encode(questions: Sequence[Question], none_option: str = "none") -> dict:
     return {"subjects": [dict(s) for s in subjects], "questions": items}
 
 
-def pack(tokens: Sequence[int], owners: Sequence, budget: int, most_owners: int, request: int = 800) -> list[list[int]]:
-    """Consecutive chunks in requests within a token budget, of at most so many questions."""
-    out: list[list[int]] = []
-    used, held = 0, set()
-    for i, (n, owner) in enumerate(zip(tokens, owners, strict=True)):
-        if out and used + n <= budget and len(held | {owner}) <= most_owners:
-            out[-1].append(i)
-            used, held = used + n, held | {owner}
-        else:
-            out.append([i])
-            used, held = request + n, {owner}
-    return out
+def pack(rows: Iterator[dict], tokens: Callable[[dict], int], budget: int, most_owners: int, most: int, request: int = 800) -> Iterator[list[dict]]:
+    """Requests of consecutive questions: of at most ``most``, within a token budget (but
+    for one alone), of at most so many queries."""
+    group, used, held = [], 0, set()
+    for r in rows:
+        n = tokens(r)
+        if group and (used + n > budget or len(held | {r["qid"]}) > most_owners or len(group) >= most):
+            yield group
+            group, held = [], set()
+        used = used + n if group else request + n
+        group.append(r)
+        held.add(r["qid"])
+    if group:
+        yield group
+
+
+def area_tokens(r: dict) -> int:
+    return int(2.0 * sum(map(len, r["options"]))) + 6 * len(r["options"])
 
 
 ANSWER = "qid long, part int, option int, probability double, confidence double, contains double, answered boolean, failure string, requests int, input_tokens int, output_tokens int, millis double"
 
 
+def request(model: DecisionModel, rows: list[dict], text: str, refers_to: tuple) -> list[tuple]:
+    """The answers to one request's questions; whatever a model raises is their failure."""
+    began = time.perf_counter()
+    try:
+        asked = [Question(dict(r["subject"]), text, list(r["options"]), str(r["qid"]), refers_to) for r in rows]
+        decisions, usage = model.choose(asked)
+        failure = ""
+    except Exception as error:  # noqa: BLE001
+        decisions, usage, failure = (), Usage(), f"{type(error).__name__}: {error}"
+    took = 1000 * (time.perf_counter() - began)
+    out = []
+    for k, r in enumerate(rows):
+        d = decisions[k] if k < len(decisions) else Decision(None)
+        cost = (usage.requests, usage.input_tokens, usage.output_tokens, took) if k == 0 else (0, 0, 0, None)
+        out.append((r["qid"], r["part"], -1 if d.index is None else d.index, d.probability, d.confidence, d.contains_answer, bool(decisions), failure, *cost))
+    return out
+
+
+def in_flight(make: Callable, groups: Iterator, threads: int) -> Iterator:
+    """``make`` of each group, in order, at most ``threads`` at a time."""
+    with ThreadPoolExecutor(threads) as pool:
+        waiting: deque = deque()
+        for group in groups:
+            waiting.append(pool.submit(make, group))
+            if len(waiting) >= 2 * threads:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def ask(questions: DataFrame, model: DecisionModel, cfg: Config, text: str, refers_to: tuple = (), narrow: bool = False) -> DataFrame:
     """questions: qid, part, subject (map), options (array). Answers, written. A request
     that fails in any way answers none of its questions and says why."""
+    tasks = min(cfg.concurrency, cfg.request_tasks)
 
     def run(frames):
-        for frame in frames:
-            rows = frame.sort_values(["qid", "part"], kind="stable").to_dict("records")
-            if narrow:
-                tokens = [int(2.0 * sum(map(len, r["options"]))) + 6 * len(r["options"]) for r in rows]
-                groups = pack(tokens, [r["qid"] for r in rows], cfg.narrow_token_budget, cfg.narrow_inputs_per_request)
-            else:
-                groups = [list(range(a, min(a + cfg.batch_size, len(rows)))) for a in range(0, len(rows), cfg.batch_size)]
-            out = []
-            for group in groups:
-                own, began = [rows[i] for i in group], time.perf_counter()
-                try:
-                    asked = [Question(dict(r["subject"]), text, list(r["options"]), str(r["qid"]), refers_to) for r in own]
-                    decisions, usage = model.choose(asked)
-                    failure = ""
-                except Exception as error:  # noqa: BLE001  whatever a model raises, the batch goes on
-                    decisions, usage, failure = (), Usage(), f"{type(error).__name__}: {error}"
-                took = 1000 * (time.perf_counter() - began)
-                for k, r in enumerate(own):
-                    d = decisions[k] if k < len(decisions) else Decision(None)
-                    cost = (usage.requests, usage.input_tokens, usage.output_tokens, took) if k == 0 else (0, 0, 0, None)
-                    out.append((r["qid"], r["part"], -1 if d.index is None else d.index, d.probability, d.confidence, d.contains_answer, bool(decisions), failure, *cost))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
-
-    dealt = questions.select("qid", "part", "subject", "options").repartition(cfg.concurrency, "qid")
+        threads = cfg.concurrency // tasks + (TaskContext.get().partitionId() < cfg.concurrency % tasks)
+        rows = (r for frame in frames for r in frame.to_dict("records"))
+        if narrow:
+            groups = pack(rows, area_tokens, cfg.narrow_token_budget, cfg.narrow_inputs_per_request, 1 << 30)
+        else:
+            groups = pack(rows, lambda r: 0, 0, 1 << 30, cfg.batch_size, request=0)
+        for answers in in_flight(lambda own: request(model, own, text, refers_to), groups, threads):
+            yield pd.DataFrame(answers, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    dealt = questions.select("qid", "part", "subject", "options").repartition(tasks, "qid").sortWithinPartitions("qid", "part")
     return stored(dealt.mapInPandas(run, ANSWER))
 
 
@@ -150,12 +180,19 @@ def merged(*outcomes: tuple[DataFrame, dict]) -> tuple[DataFrame, dict]:
     return rows, {k: sum(u.get(k, 0) for _, u in outcomes) for k in dict.fromkeys(k for _, u in outcomes for k in u)}
 
 
-def usage_of(*answers: DataFrame) -> dict[str, int]:
-    total = {"requests": 0, "input_tokens": 0, "output_tokens": 0}
-    for a in answers:
-        row = a.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in total)).first()
-        total = {c: total[c] + row[c] for c in total}
-    return total
+COUNTERS = ("requests", "input_tokens", "output_tokens", "narrow_requests", "town_fast_path", "number_fast_path")
+
+
+def counters(state: DataFrame, narrow_answers: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Requests, tokens and what took no request, in one row and one job over written
+    answers and a written state."""
+    cost = ["requests", "input_tokens", "output_tokens"]
+    none = lambda *names: [F.lit(0).alias(c) for c in names]
+    rows = [a.select(*cost, *none("narrow_requests", "town_fast_path", "number_fast_path")) for a in answers]
+    rows.append(narrow_answers.select(*cost, F.col("requests").alias("narrow_requests"), *none("town_fast_path", "number_fast_path")))
+    fast = [F.coalesce(c, F.lit(False)).cast("int").alias(name) for c, name in (("d_fast", "town_fast_path"), ("b_fast", "number_fast_path"))]
+    rows.append(state.select(*none(*cost, "narrow_requests"), *fast))
+    return functools.reduce(DataFrame.unionByName, rows).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))
 
 
 def _options(groups: DataFrame, name: str, extra: list[str]) -> DataFrame:
@@ -184,11 +221,11 @@ def narrowed(wide: DataFrame, towns: DataFrame, texts: DataFrame, index: Index,
 def geocode_with_model(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel) -> tuple[DataFrame, dict]:
     """Results and usage."""
     s, counts = decided_states(queries, index, cfg, model)
-    return assemble(s, index, cfg), counts
+    return assemble(s, index, cfg), counts.first().asDict()
 
 
-def decided_states(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel) -> tuple[DataFrame, dict]:
-    """States with the town's (d_) and the number's (b_) decision, and usage."""
+def decided_states(queries: DataFrame, index: Index, cfg: Config, model: DecisionModel) -> tuple[DataFrame, DataFrame]:
+    """States with the town's (d_) and the number's (b_) decision, and usage in a row."""
     state = stored(states(queries, index))
     texts = state.select("qid", "query", "norm")
     sure = F.lit(False) if cfg.always_ask else unambiguous()
@@ -233,7 +270,7 @@ def decided_states(queries: DataFrame, index: Index, cfg: Config, model: Decisio
     s = s.withColumn("_note", note).withColumn("d_confidence", level("confidence")).withColumn("d_probability", level("probability")).withColumn("d_contains", level("contains")).withColumn("d_fast", F.col("fast"))
     s = s.withColumn("note_code", F.col("_note.c")).withColumn("note_args", F.col("_note.a"))
     s = s.drop("_note", "row_id", "n", "c_n", "same", "answered", "failure", "probability", "confidence", "contains", "fast", "narrowing")
-    s = stored(with_numbers(with_town(s, index), index, cfg))
+    s = numbered = stored(with_numbers(with_town(s, index), index, cfg))
 
     open_ = s.where("b_open")
     tails = open_.select("qid", F.col("t_lg_code").alias("lg_code"), F.col("t_machiaza_id").alias("machiaza_id"), F.col("t_alt_machiaza").alias("alt_machiaza"), F.col("t_rsdt_addr_flg").alias("rsdt_addr_flg"), "tail.numbers")
@@ -253,5 +290,4 @@ def decided_states(queries: DataFrame, index: Index, cfg: Config, model: Decisio
         s = s.withColumn(f"b_{name}", F.when(asked_number, F.col(f"m_{name}")).otherwise(F.col(f"b_{name}")))
     failed = F.coalesce(F.col("m_failure") != "", F.lit(False)) & F.col("note_code").isNull()
     s = s.withColumn("note_args", F.when(failed, F.array("m_failure")).otherwise(F.col("note_args"))).withColumn("note_code", F.when(failed, F.lit("MODEL_FAILED")).otherwise(F.col("note_code")))
-    counts = usage_of(narrow_answers, answers, number_answers) | {"narrow_requests": usage_of(narrow_answers)["requests"], "town_fast_path": s.where("d_fast").count(), "number_fast_path": s.where("b_fast").count()}
-    return s, counts
+    return s, counters(numbered, narrow_answers, answers, number_answers)

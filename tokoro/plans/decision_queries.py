@@ -7,13 +7,14 @@ it takes none, for some it fails.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from tokoro.config import Config
 from tokoro.operators.candidates import city_wide, extensions
 from tokoro.plans import synthetic
-from tokoro.plans.decide import Decision, Question, Usage, decided_states, geocode_with_model
+from tokoro.plans.decide import NUMBER_QUESTION, TOWN_QUESTION, Decision, Question, Usage, decided_states, geocode_with_model, narrowed
 from tokoro.plans.evaluate import threshold_sweep
 from tokoro.plans.geocode import leftover, states
 from tokoro.plans.queries import _GEO, _WIDE, BASE, _g, query
@@ -96,3 +97,105 @@ def dm6_narrowed(spark, sf_dir):
     own = state.join(wide.where("needs_narrowing").select("qid", F.lit(True).alias("narrowed")), "qid")
     area = F.concat("t_pref", "t_county", "t_city", "t_ward", "t_oaza_cho")
     return own.select("qid", "narrowed", F.format_string("%06d", "t_lg_code").alias("lg_code"), area.alias("area"))
+
+
+class Echo:
+    """Fails, saying what it was asked."""
+
+    def choose(self, questions: Sequence[Question]) -> tuple[list[Decision], Usage]:
+        q = questions[0]
+        raise LookupError("|".join([q.question, q.subject["input"], q.subject.get("normalized", ""), *q.refers_to, str(len(q.options)), q.options[0]]))
+
+
+_SHOWN = "pref || county || city || ward || oaza_cho || chome || koaza"
+
+
+@query(f"""{_MODEL}, options AS (SELECT o.qid, count(DISTINCT display) AS n FROM option_of o JOIN display USING (row_id) GROUP BY 1)
+SELECT qid, 'LookupError: {TOWN_QUESTION}|' || query || '|' || norm || '|' || o.n || '|' || display AS said FROM asked a JOIN options o USING (qid) JOIN display d ON d.row_id = first_option WHERE asks""")
+def dm2_questions(spark, sf_dir):
+    """What a question holds: the text as given and normalised, and the options, the most
+    likely town first, each display once."""
+    rows, _ = decided_states(_g(spark, sf_dir)["g_query"], synthetic.index(spark, sf_dir), ONE, Echo())
+    return rows.where(~F.col("d_fast") & (F.col("note_code") == "MODEL_FAILED")).select("qid", F.col("note_args")[0].alias("said"))
+
+
+class NumbersEcho(ByNumber):
+    """Steady about towns; of numbers it says what it was asked."""
+
+    def choose(self, questions: Sequence[Question]) -> tuple[list[Decision], Usage]:
+        q = questions[0]
+        if q.question != NUMBER_QUESTION:
+            return [Decision(0, 1.0, 1.0, 1.0)], Usage(1, 1, 1)
+        raise LookupError("|".join([*q.refers_to, q.subject["town"], q.subject["tail"], str(len(q.options)), q.options[0]]))
+
+
+_CERTAIN = _MODEL.replace(_FAILS, "qid IS NULL").replace(_NONE, "qid IS NULL").replace(_SURE, "1.0")
+
+
+@query(f"""{_CERTAIN}, options AS (SELECT qid, count(*) AS shown_n FROM (SELECT DISTINCT qid, num1, num2, num3 FROM fit JOIN pickd USING (qid, id_pos, kind_pos)) GROUP BY 1)
+SELECT qid, 'LookupError: town|' || t_pref || t_county || t_city || t_ward || t_name || '|' || raw || '|' || shown_n || '|'
+  || CASE first.s WHEN 1 THEN first.a || '' WHEN 2 THEN first.a || '-' || first.b ELSE first.a || '-' || first.b || '-' || first.c END AS said FROM opened JOIN options USING (qid) WHERE open""")
+def dm2_number_questions(spark, sf_dir):
+    """A number's question refers to the town that was decided, and shows the tail."""
+    rows, _ = decided_states(_g(spark, sf_dir)["g_query"], synthetic.index(spark, sf_dir), ONE, NumbersEcho(True))
+    return rows.where("m_failure <> ''").select("qid", F.col("m_failure").alias("said"))
+
+
+@query(f"""{_MODEL}, n AS (SELECT (SELECT count(*) FROM answered WHERE asks AND NOT failed) + (SELECT count(*) FROM opened WHERE open AND NOT {_FAILS}) AS requests)
+SELECT requests, 3 * requests AS input_tokens, requests AS output_tokens, CAST(0 AS BIGINT) AS narrow_requests,
+  (SELECT count(*) FROM answered WHERE certain) AS town_fast_path, (SELECT count(*) FROM opened WHERE fast_e IS NOT NULL) AS number_fast_path FROM n""")
+def dm9_usage(spark, sf_dir):
+    """Requests, tokens and what took none; failed requests are not paid for."""
+    return decided_states(_g(spark, sf_dir)["g_query"], synthetic.index(spark, sf_dir), ONE, ByNumber())[1]
+
+
+class SomeFail:
+    """Takes the first area, but fails for requests whose first area has an even length; of
+    a query that leaves 1 modulo 3 it fails for all."""
+
+    def choose(self, questions: Sequence[Question]) -> tuple[list[Decision], Usage]:
+        q = questions[0]
+        if int(q.label) % 3 == 1 or len(q.options[0]) % 2 == 0:
+            raise RuntimeError("no answer")
+        return [Decision(0, 0.9, 0.9, 1.0)], Usage(1, 1, 1)
+
+
+#: Areas of cities of more than 16 towns, in chunks of 16, and which survive SomeFail.
+_CHUNKS = f"""{BASE}, {_WIDE}, area AS (SELECT qid, pref || county || city || ward || oaza_cho AS area, min(row_id) AS first FROM wide JOIN wide_state USING (qid) JOIN g_town USING (row_id) WHERE cnt > 16 GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) - 1 AS option FROM area),
+chunk AS (SELECT qid, option // 16 AS part, min_by(area, option) AS area, min(option) AS option FROM placed GROUP BY 1, 2),
+said AS (SELECT *, qid % 3 = 1 OR length(area) % 2 = 0 AS failed FROM chunk),
+kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY option, row_id) AS rank FROM (SELECT s.qid, s.option, w.row_id FROM said s JOIN wide w ON w.qid = s.qid JOIN g_town g ON g.row_id = w.row_id AND g.pref || g.county || g.city || g.ward || g.oaza_cho = s.area WHERE NOT failed))"""
+_FEW = Config(max_options=17, concurrency=8, narrow_token_budget=1, machiaza_confidence=0.0, present_threshold=0.0)
+
+
+def _wide(spark, sf_dir):
+    index, queries = synthetic.index(spark, sf_dir), _g(spark, sf_dir)["g_query"]
+    state = stored(states(queries, index))
+    left = leftover(state)
+    wide, towns = city_wide(left.join(stored(extensions(left, index, 1)), "qid", "left_anti"), index, _FEW)
+    return narrowed(stored(wide.where("needs_narrowing")), stored(towns), state.select("qid", "query", "norm"), index, _FEW, SomeFail())
+
+
+@query(f"""{_CHUNKS} SELECT s.qid, count(*) AS requests, count(*) FILTER (WHERE failed) AS failed, (SELECT count(*) FROM kept k WHERE k.qid = s.qid AND rank <= 16) AS towns,
+  (SELECT min(row_id) FROM kept k WHERE k.qid = s.qid AND rank = 1) AS first_row FROM said s GROUP BY 1""")
+def dm4_failed_chunk(spark, sf_dir):
+    """A chunk a request: one that fails takes its own areas, the others' towns go on."""
+    towns, answers = _wide(spark, sf_dir)
+    left = towns.groupBy("qid").agg(F.count("*").alias("towns"), F.min(F.when(F.col("rank") == 1, F.col("row_id"))).alias("first_row"))
+    by = answers.groupBy("qid").agg(F.count("*").alias("requests"), F.count_if(F.col("failure") != "").alias("failed"))
+    return by.join(left, "qid", "left").select("qid", "requests", "failed", F.coalesce("towns", F.lit(0)).alias("towns"), "first_row")
+
+
+@query(f"""{_CHUNKS} SELECT qid, rank, row_id FROM kept WHERE rank <= 16""")
+def dm5_survivors(spark, sf_dir):
+    """The towns of all areas that were chosen, area by area."""
+    return _wide(spark, sf_dir)[0].select("qid", F.col("rank").cast("long").alias("rank"), "row_id")
+
+
+@query(f"""{_CHUNKS} SELECT s.qid, bool_and(failed) AS empty FROM said s GROUP BY 1""")
+def dm5_narrow_empty(spark, sf_dir):
+    """Queries none of whose areas were chosen are answered at city level, and say so."""
+    rows, _ = geocode_with_model(_g(spark, sf_dir)["g_query"], synthetic.index(spark, sf_dir), replace(_FEW, batch_size=1), SomeFail())
+    asked = _wide(spark, sf_dir)[1].select("qid").distinct()
+    return rows.join(asked, "qid").select("qid", (F.col("note_code") == "NARROW_EMPTY").alias("empty"))

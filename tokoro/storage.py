@@ -10,10 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where intermediate tables lie, if not in the session's checkpoint folder. Unlike that, it
+#: can be set in a running session.
+SETTING = "spark.tokoro.scratch"
+
+
+def base_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(SETTING, None) or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one in
-    local mode, and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder in the shared one; where none is set, a temporary one in local mode, and
+    an error on a cluster."""
+    base = base_folder(spark)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -32,7 +41,7 @@ def clear(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder. Results that weren't stored
     elsewhere read from there, so this is for the end of a job; until then nothing is
     deleted. What an ended application left lies under its id."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base_folder(spark)
     if base:
         path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark, base))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
