@@ -61,7 +61,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, total: i
     ``total``. Rows of a hot key are dealt to as many places as the key is times over the
     share, by column ``by`` and partition, and the key's row of ``right`` goes to each; how
     many, ``left`` knows from a broadcast of at most ``HOT_KEYS`` rows. Rows without a key
-    meet nothing and are dealt out as well.
+    meet nothing and are dealt out as well. ``right`` grows with the data and is never
+    broadcast, so that the plan is one at every size.
     """
     least = max(1, -(-total // HOT_KEYS))
     right = right.where(F.col(key).isNotNull()).withColumn("_places", F.greatest(F.lit(1), F.ceil(F.col(size) / least)).cast("int")).drop(size)
@@ -70,7 +71,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, total: i
     place = F.pmod(F.xxhash64(by) + F.spark_partition_id(), places).cast("int")
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("_place", place).drop("_places")
     every = right.withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("_places") - 1))).drop("_places")
-    return dealt.join(every, [key, "_place"], how).drop("_place")
+    return dealt.join(every.hint("shuffle_merge"), [key, "_place"], how).drop("_place")
 
 
 def ranked(rows: DataFrame, order: list, at: str) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from tokoro.llm.common import held_alone, id_and_text, map_arrow, shared_dir, spread_join, written
 
 WORDS, ROWS, LANES, BITS, SEED = 5, 5, 2048, 4, 20240229
-PER_CENT, MARGIN, BLOCK, MISSED = 85, 0.045, 512, 1e-6
+PER_CENT, MARGIN, BLOCK, MISSED = 85, 0.045, 256, 1e-6
 #: Members of a band that are compared with its smallest in one place.
 STAR = 128
 #: Bits of the map of member ids that the second scan is given (16 MB), and the members up
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT, at: str | None =
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), f"{at}/classes")
     ids = classes.select(F.col("rep").alias("doc_id")).distinct()
     bands = written(usable.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), f"{at}/bands")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).where("pivot != last").drop("last")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = written(shared.withColumn("n", F.col("size")), f"{at}/shared")
     buckets = written(spread_join(bands, shared, "key", "n", bands.count(), "rep", "inner"), f"{at}/buckets")  # key, rep, pivot, size
     members = written(member_sets(docs, written(buckets.select("rep").distinct(), f"{at}/reps")), f"{at}/members")
