@@ -68,7 +68,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, total: i
     right = right.where(F.col(key).isNotNull()).withColumn("_places", F.greatest(F.lit(1), F.ceil(F.col(size) / least)).cast("int")).drop(size)
     hot = right.where("_places > 1").select(key, "_places")
     places = F.when(F.col(key).isNull(), HOT_KEYS).otherwise(F.coalesce("_places", F.lit(1)))
-    place = F.pmod(F.xxhash64(by) + F.spark_partition_id(), places).cast("int")
+    place = F.pmod(F.xxhash64(by, F.spark_partition_id()), places).cast("int")
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("_place", place).drop("_places")
     every = right.withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("_places") - 1))).drop("_places")
     return dealt.join(every.hint("shuffle_merge"), [key, "_place"], how).drop("_place")
