@@ -46,7 +46,7 @@ def town_hits(queries: DataFrame, index: Index) -> DataFrame:
     lengths = F.when(most >= tails.shortest, F.sequence(F.lit(tails.shortest), most))
     cut = heads.select("qid", "norm", F.col("id").alias("place"), F.col("n").alias("_n"), F.explode(lengths).alias("_m"))
     cut = cut.withColumn("tail", F.substring("norm", F.col("_n") + 1, F.col("_m"))).withColumn("n", F.col("_n") + F.col("_m")).where("n > 0")
-    found = cut.join(tails.table, ["place", "tail"])
+    found = tails.possible(cut, ["place", "tail"]).join(tails.table, ["place", "tail"])
     return found.select("qid", "n", "row_id", digits_meet("norm", "n").alias("splits"))
 
 
@@ -101,7 +101,7 @@ def extensions(left: DataFrame, index: Index, cap: int) -> DataFrame:
     """(qid, rank, row_id, n): for texts that are the beginning of keys, those keys' towns,
     shortest key first; n: length of the stem. Each distinct stem is looked up once."""
     stems = stored(extension_stems(left))
-    hits = extension_join(stems.select("stem").distinct(), index.full_keys)
+    hits = extension_join(stems.select("stem").distinct(), index.sorted_keys)
     best = hits.groupBy("stem", "row_id").agg(F.min(F.struct(F.length("key").alias("len"), "key")).alias("k"))
     rank = F.row_number().over(Window.partitionBy("stem").orderBy("k", "row_id"))
     best = best.select("stem", "row_id", rank.alias("rank")).where(F.col("rank") <= cap)
@@ -114,7 +114,7 @@ def city_wide(left: DataFrame, index: Index, cfg: Config) -> tuple[DataFrame, Da
     (qid, key, n, count, needs_narrowing), n being where the towns' names may end, and the
     towns under each key (key, row_id, rank). Cities over the ceiling are left out."""
     named = left.where("city_n is not null").select("qid", F.substring("norm", F.lit(1), F.col("city_n")).alias("stem"), "norm", "city_n")
-    towns = extension_join(named.select("stem").distinct(), index.full_keys).select("stem", "row_id").distinct()
+    towns = extension_join(named.select("stem").distinct(), index.sorted_keys).select("stem", "row_id").distinct()
     counts = towns.groupBy("stem").agg(F.count("*").alias("count")).where(F.col("count") <= cfg.ceiling)
     rest = F.substring("norm", F.col("city_n") + 1, F.length("norm"))
     n = F.col("city_n") + F.length(F.regexp_extract(rest, r"^(\D*+)", 1))

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokoro.functions.text import match_key, without_prefix
+from tokoro.functions.text import by_stability, match_key, without_prefix
 from tokoro.operators.aliases import split_keys
 from tokoro.schema import REGISTRY, SUPPLEMENT
+from tokoro.storage import stored
 
 NAME_COLUMNS = ["pref", "county", "city", "ward", "oaza_cho", "chome", "chome_number", "koaza"]
 
@@ -91,10 +92,13 @@ def build_towns(rows: DataFrame, supplement: DataFrame | None = None) -> tuple[D
 
     text = lambda c: F.coalesce(c, F.lit(""))
     city = F.concat(*(text(c) for c in ("pref", "county", "city", "ward")))
-    places = towns.select("row_id", match_key(city, "oaza_cho", "chome", "koaza").alias("at")).groupBy("at").agg(F.min("row_id").alias("owner_row"))
-    cities = towns.select(match_key(city).alias("city_at"), F.struct("row_id", "lg_code", "pref", "county", "city", "ward").alias("c")).groupBy("city_at").agg(F.min("c").alias("c"))
-    extra = supplement.withColumn("city_at", match_key(F.concat(text("pref"), text("city"))))
-    extra = extra.withColumn("at", match_key(F.concat(text("pref"), text("city")), "town", F.lit(""), "koaza")).drop("pref", "city")
+    town = [F.col(c) for c in ("oaza_cho", "chome", "koaza")]
+    both = lambda own, *rest: lambda df, norm: df.withColumn("city_at", match_key(own, norm=norm)).withColumn("at", match_key(own, *rest, norm=norm))
+    keyed = stored(by_stability(towns.select("row_id", "lg_code", "pref", "county", "city", "ward", "oaza_cho", "chome", "koaza"), F.concat(city, *map(text, ("oaza_cho", "chome", "koaza"))), both(city, *town)))
+    places = keyed.groupBy("at").agg(F.min("row_id").alias("owner_row"))
+    cities = keyed.groupBy("city_at").agg(F.min(F.struct("row_id", "lg_code", "pref", "county", "city", "ward")).alias("c"))
+    given = F.concat(text("pref"), text("city"))
+    extra = by_stability(supplement, F.concat(given, text("town"), text("koaza")), both(given, F.col("town"), F.lit(""), F.col("koaza"))).drop("pref", "city")
     extra = extra.join(cities, "city_at").join(places, "at", "left").select(
         "ord", "at", "owner_row", "c.lg_code", "c.pref", "c.county", "c.city", "c.ward", F.col("town").alias("oaza_cho"), F.lit("").alias("chome"), F.lit("").alias("chome_number"), text("koaza").alias("koaza"), "lat", "lon"
     )

@@ -9,8 +9,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokoro.config import BROADCAST_BYTES
 from tokoro.operators.aliases import city_keys, joined_keys, pref_keys, split_keys
-from tokoro.operators.prefix_join import Lookup, lookup
+from tokoro.operators.prefix_join import Lookup, SortedKeys, lookup, sorted_keys
 
 KIND_PREF, KIND_CITY, KIND_TOWN, KIND_HEAD = 0, 1, 2, 3
 
@@ -23,6 +24,7 @@ class Index:
     cities: DataFrame
     prefs: DataFrame
     numbers: DataFrame
+    broadcast_bytes: int = BROADCAST_BYTES
 
     @cached_property
     def city_keys(self) -> DataFrame:
@@ -37,17 +39,22 @@ class Index:
         """Heads, cities and prefectures by name (key, id, kind): a few for each municipality."""
         one = lambda df, key, ident, kind: df.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.lit(kind).alias("kind"))
         union = one(self.heads, "head", "place", KIND_HEAD).unionByName(one(self.city_keys, "key", "lg_code", KIND_CITY))
-        return lookup(union.unionByName(one(self.pref_keys, "key", "lg_code", KIND_PREF)))
+        return lookup(union.unionByName(one(self.pref_keys, "key", "lg_code", KIND_PREF)), most_bytes=self.broadcast_bytes)
 
     @cached_property
     def tails(self) -> Lookup:
-        return lookup(self.keys, "tail")
+        return lookup(self.keys, "tail", self.broadcast_bytes, ["place", "tail"])
 
     @property
     def full_keys(self) -> DataFrame:
         """(key, row_id), put together again."""
         return joined_keys(self.heads, self.keys)
 
+    @cached_property
+    def sorted_keys(self) -> SortedKeys:
+        """The full keys in order, for what begins with a text; put together once."""
+        return sorted_keys(self.full_keys)
+
     @classmethod
     def of_towns(cls, towns: DataFrame, cities: DataFrame, prefs: DataFrame, numbers: DataFrame) -> Index:
         """An index over towns that still have all name columns."""

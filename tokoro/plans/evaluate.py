@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokoro.config import Config
+from tokoro.functions.geo import PERTURBATIONS, perturb
 from tokoro.operators.assemble import confident
+from tokoro.operators.candidates import forward_candidates
+from tokoro.operators.index import Index
+from tokoro.plans.geocode import geocode, states
+from tokoro.schema import REGISTRY
+from tokoro.storage import stored
 
 
 def granularity_histogram(results: DataFrame) -> DataFrame:
@@ -16,10 +22,12 @@ def granularity_histogram(results: DataFrame) -> DataFrame:
 
 
 def stop_reasons(results: DataFrame, top: int = 6, samples: int = 3) -> DataFrame:
-    """The most frequent reasons with a few of their queries."""
+    """The most frequent reasons with the first of their queries. Firsts are taken in 64
+    parts of each reason before they are gathered."""
     own = results.where("note_code <> ''")
     first = F.row_number().over(Window.partitionBy("note_code", F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid"))
-    picked = own.withColumn("_r", first).where(F.col("_r") <= samples).groupBy("note_code").agg(F.slice(F.array_sort(F.collect_list("query")), 1, samples).alias("samples"))
+    few = own.withColumn("_r", first).where(F.col("_r") <= samples).groupBy("note_code").agg(F.array_sort(F.collect_list(F.struct("qid", "query"))).alias("q"))
+    picked = few.select("note_code", F.transform(F.slice("q", 1, samples), lambda x: x["query"]).alias("samples"))
     return own.groupBy("note_code").agg(F.count("*").alias("queries")).join(picked, "note_code").orderBy(F.desc("queries"), "note_code").limit(top)
 
 
@@ -82,3 +90,24 @@ def recall_and_precision(candidates: DataFrame, results: DataFrame, gold: DataFr
     return own.groupBy("condition").agg(
         F.count("*").alias("n"), share(F.coalesce("_found", F.lit(0))).alias("recall"), share(right).alias("correct"), share(F.coalesce("_resolved", F.lit(False))).alias("resolved")
     )
+
+
+def perturbed(towns: DataFrame, kinds: Sequence[str], number: str) -> DataFrame:
+    """Every town's inputs: (qid, condition, query, row_id, lg_code, machiaza_id), a row for
+    each kind of perturbation that can be made. The ids are as results show them."""
+    parts = ["pref", "county", "city", "ward", "oaza_cho", "chome", "koaza"]
+    text = lambda *cs: F.concat(*(F.coalesce(F.col(c), F.lit("")) for c in cs))
+    start, end = F.length(text(*parts[:4])), F.length(text(*parts))
+    inputs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("condition"), perturb(F.concat(text(*parts), F.lit(number)), F.col("pref"), c, start, end, F.col("chome"), pick=F.col("row_id")).alias("query")) for k, c in enumerate(kinds)))
+    shown = F.when(F.col("source") == REGISTRY, F.format_string("%07d", "machiaza_id")).otherwise("")
+    rows = towns.select("row_id", F.format_string("%06d", "lg_code").alias("lg_code"), shown.alias("machiaza_id"), F.inline(inputs)).where("query is not null")
+    return rows.select((F.col("row_id").cast("long") * len(kinds) + F.col("k")).alias("qid"), "condition", "query", "row_id", "lg_code", "machiaza_id")
+
+
+def evaluate_perturbations(index: Index, cfg: Config, kinds: Sequence[str] = PERTURBATIONS, number: str = "1-2", model=None) -> DataFrame:
+    """Recall and precision by perturbation, from towns to figures in one plan: inputs are
+    made, geocoded once, and met with what they were made from by id."""
+    gold = stored(perturbed(index.towns, kinds, number))
+    state = stored(states(gold.select("qid", "query"), index))
+    found = forward_candidates(state.select("qid", "norm"), index, cfg.max_candidates)
+    return recall_and_precision(found, geocode(gold.select("qid", "query"), index, cfg, model), gold)

@@ -55,9 +55,12 @@ def with_codes(state: DataFrame) -> DataFrame:
 
 
 def with_town(state: DataFrame, index: Index) -> DataFrame:
-    """Adds the town's record (t_) for a town_row, and the tail after town_n characters."""
+    """Adds the town's record (t_) for a town_row, and the tail after town_n characters. Texts
+    without a town get a row number that no town has, each its own: where towns are too many
+    to broadcast, these texts are dealt out like the others."""
     towns = index.towns.select(*[F.col(c).alias(f"t_{c}") for c in TOWN_COLUMNS])
-    out = state.join(towns, F.col("town_row") == F.col("t_row_id"), "left")
+    none = -1 - F.pmod(F.xxhash64("qid"), F.lit(1 << 30)).cast("int")
+    out = state.join(towns, F.coalesce(F.col("town_row"), none) == F.col("t_row_id"), "left")
     rest = F.substring("norm", F.col("town_n") + 1, F.length("norm"))
     return out.withColumn("tail", F.when(F.col("t_row_id").isNotNull(), tail_of(rest)))
 

@@ -5,6 +5,7 @@ uses exploded prefixes and packed aggregates."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,7 +126,8 @@ def fn6_kanji_number(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN p_partkey % 1200 BETWEEN 1 AND 999 THEN CAST(p_partkey % 1200 AS VARCHAR) ELSE '' END || '番' AS folded FROM part")
 def fn8_fold_numbers(spark, sf_dir):
     kanji = names.kanji_number((F.col("p_partkey") % 1200).cast("int"))
-    return _read(spark, sf_dir, "part").select("p_partkey", text.fold_numbers(F.concat(kanji, F.lit("番"))).alias("folded"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.concat(kanji, F.lit("番")).alias("t"))
+    return text.by_stability(rows, F.col("t"), lambda df, norm: df.select("p_partkey", text.fold_numbers(F.col("t"), norm).alias("folded")))
 
 
 _FOLD = "translate({}, '一二三四五六七八九', '123456789')"
@@ -133,8 +135,8 @@ _FOLD = "translate({}, '一二三四五六七八九', '123456789')"
 
 @query(f"{WITH} SELECT row_id, pref || county || city || ward || regexp_replace(oaza_cho, '^(大字|字)', '') || {_FOLD.format('chome')} || regexp_replace(koaza, '^(大字|字)', '') AS key FROM g_town")
 def fn9_match_key(spark, sf_dir):
-    key = text.match_key(names.display("pref", "county", "city", "ward"), F.col("oaza_cho"), F.col("chome"), F.col("koaza"))
-    return _g(spark, sf_dir)["g_town"].select("row_id", key.alias("key"))
+    city, rest = names.display("pref", "county", "city", "ward"), [F.col(c) for c in ("oaza_cho", "chome", "koaza")]
+    return text.by_stability(_g(spark, sf_dir)["g_town"], F.concat(city, *rest), lambda df, norm: df.select("row_id", text.match_key(city, *rest, norm=norm).alias("key")))
 
 
 @query(f"{WITH} SELECT row_id, array_to_string({_CHOMES}, ',') AS variants FROM g_town")
@@ -297,6 +299,13 @@ def jn1_prefix_join(spark, sf_dir):
     return candidates.town_hits(q, index).select("qid", "row_id", "n").distinct()
 
 
+@query(f"{WITH}, {_KEYS}, {_NORM} SELECT qid, row_id, CAST(length(key) AS INT) AS n FROM norm JOIN town_key ON starts_with(norm, key)")
+def jn1_shuffled(spark, sf_dir):
+    """The same where no table of keys is small enough to broadcast."""
+    _, index, q = _texts(spark, sf_dir)
+    return candidates.town_hits(q, replace(index, broadcast_bytes=0)).select("qid", "row_id", "n").distinct()
+
+
 @query(f"{BASE} SELECT qid, CAST(n AS INT) AS n, lg_code FROM city_hit WHERE r = 1")
 def jn2_city_prefix(spark, sf_dir):
     _, index, q = _texts(spark, sf_dir)
@@ -313,7 +322,7 @@ def jn3_pref_prefix(spark, sf_dir):
 def jn4_extension_join(spark, sf_dir):
     _, index, _ = _texts(spark, sf_dir)
     stems = index.city_keys.select("lg_code", F.col("key").alias("stem"))
-    return extension_join(stems, index.full_keys).groupBy("lg_code", "stem").agg(F.count("*").alias("keys"), F.countDistinct("row_id").alias("towns"))
+    return extension_join(stems, index.sorted_keys).groupBy("lg_code", "stem").agg(F.count("*").alias("keys"), F.countDistinct("row_id").alias("towns"))
 
 
 #: Position rows by flag: some towns have one for their own flag, some only for the other.
@@ -506,12 +515,12 @@ def ag4_granularity_hist(spark, sf_dir):
     return granularity_histogram(geocode(g["g_query"], synthetic.index(spark, sf_dir)))
 
 
-@query(f"{_GEO} SELECT note_code, count(*) AS queries FROM result WHERE note_code <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
+@query(f"{_GEO} SELECT note_code, count(*) AS queries, array_to_string((list(query ORDER BY qid))[1:3], '|') AS samples FROM result WHERE note_code <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
 def ag8_stop_reasons(spark, sf_dir):
     from tokoro.plans.evaluate import stop_reasons
 
     g = _g(spark, sf_dir)
-    return stop_reasons(geocode(g["g_query"], synthetic.index(spark, sf_dir))).select("note_code", "queries")
+    return stop_reasons(geocode(g["g_query"], synthetic.index(spark, sf_dir))).select("note_code", "queries", F.array_join("samples", "|").alias("samples"))
 
 
 @query(f"""{_GEO}, gold AS (SELECT r.qid, r.lat, t.lat AS g_lat FROM result r JOIN g_town t ON t.row_id = (r.qid * 7) % (SELECT count(*) FROM g_town) WHERE r.lat IS NOT NULL AND t.lat IS NOT NULL),

@@ -32,7 +32,8 @@ FROM (SELECT p_partkey AS k, CAST(p_partkey * 37 % 10000 AS INT) AS n FROM {{par
 @query(f"SELECT k, CASE WHEN k % 2 = 0 THEN n % 10 ELSE n END || '番' AS folded FROM ({KANJI.format(part='part')})")
 def fn7_kanji_value(spark, sf_dir):
     """Adjacent digits overwrite each other; with units, a number is its value."""
-    return spark.sql(KANJI, part=_read(spark, sf_dir, "part")).select("k", text.fold_numbers(F.col("t")).alias("folded"))
+    rows = spark.sql(KANJI, part=_read(spark, sf_dir, "part"))
+    return text.by_stability(rows, F.col("t"), lambda df, norm: df.select("k", text.fold_numbers(F.col("t"), norm).alias("folded")))
 
 
 @query(f"""{WITH} SELECT n.machiaza_id, kind, num1, num2, num3, CASE WHEN n.lat IS NOT NULL THEN kind + 3 WHEN t.lat IS NOT NULL THEN 3 ELSE 0 END AS source FROM g_number n JOIN g_town t USING (machiaza_id)""")
@@ -49,8 +50,9 @@ _DIGITS = "translate({}, '一二三四五六七八九', '123456789')"
 @query(f"""{WITH} SELECT row_id, regexp_replace(oaza_cho || {_DIGITS.format('chome')} || koaza, '大字|字', '', 'g') AS comparable,
   regexp_replace(regexp_replace('大字' || {_DIGITS.format("chome || oaza_cho || 'ケヶガが' || koaza")}, '大字|字', '', 'g'), '[ヶガが]', 'ケ', 'g') AS compare_key FROM g_town""")
 def fn24_comparison_keys(spark, sf_dir):
-    t = _g(spark, sf_dir)["g_town"]
-    return t.select("row_id", text.comparable(F.concat("oaza_cho", "chome", "koaza")).alias("comparable"), text.compare_key(F.concat(F.lit("大字"), "chome", "oaza_cho", F.lit("ケヶガが"), "koaza")).alias("compare_key"))
+    one, two = F.concat("oaza_cho", "chome", "koaza"), F.concat(F.lit("大字"), "chome", "oaza_cho", F.lit("ケヶガが"), "koaza")
+    keys = lambda df, norm: df.select("row_id", text.comparable(one, norm).alias("comparable"), text.compare_key(two, norm).alias("compare_key"))
+    return text.by_stability(_g(spark, sf_dir)["g_town"], one, keys)
 
 
 _QUOTED = lambda t: t.replace("'", "''")

@@ -18,12 +18,20 @@ SCHEMAS = {
 }
 #: Files of a municipality's numbers: towns are dealt to so many, so that a large one is no single task.
 SPLITS = 8
+#: Row groups are small, so that a look-up of one town reads little of a large file.
+GROUP_BYTES = 1 << 20
+MANIFEST = "lg_code int, version string"
 
 
 class Store:
     """Tables under a folder. A table is replaced by writing it beside the old one and then
     renaming a small pointer file onto the old pointer: a lost job leaves the old table in
-    place, and readers of the old one can finish, as it goes with the next replacement."""
+    place, and readers of the old one can finish, as it goes with the next replacement.
+
+    Numbers are too many to be written anew whenever a municipality's change. Their pointer
+    names a manifest, a list of which version each municipality's folder is of; only the
+    municipalities that get rows have new folders, and all of them count from the moment
+    that the pointer names the next manifest."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,31 +45,19 @@ class Store:
     def _exists(self, path: str) -> bool:
         return self.fs.exists(self.hadoop.Path(path))
 
-    def current(self, table: str) -> str | None:
-        """The folder that holds a table now; None if it was never written."""
-        if table == "banchi":
-            return self.path(table) if self._exists(self.path(table)) else None
+    def _named(self, table: str) -> str | None:
+        """What the table's pointer names."""
         pointer = f"{self.path(table)}/current"
         if not self._exists(pointer):
             return None
         stream = self.fs.open(self.hadoop.Path(pointer))
         try:
-            return f"{self.path(table)}/{stream.readUTF()}"
+            return stream.readUTF()
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        """A table; empty if it was never written."""
-        at = self.current(table)
-        if at is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(at)
-
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Write beside, then switch. Rows may come from the table itself."""
-        names = [c.strip().split()[0] for c in SCHEMAS[table].split(", ")]
-        before, name = self.current(table), f"v-{uuid.uuid4().hex}"
-        rows.select(*names).write.parquet(f"{self.path(table)}/{name}")
+    def _switch(self, table: str, name: str) -> None:
+        """Let the pointer name something else, at once."""
         top, made = self.hadoop.Path(self.path(table)), f"{self.path(table)}/{name}.pointer"
         stream = self.fs.create(self.hadoop.Path(made), True)
         stream.writeUTF(name)
@@ -70,25 +66,69 @@ class Store:
         overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = self.hadoop.FileContext.getFileContext(top.toUri() if top.toUri().getScheme() else self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(self.hadoop.Path(made), self.hadoop.Path(f"{self.path(table)}/current"), overwrite)
-        kept = {name, (before or "").rpartition("/")[2]}
-        for found in self.fs.listStatus(top):
+
+    def _forget(self, table: str, kept: set[str]) -> None:
+        """Delete the versions of a table but those that it and its last readers use."""
+        for found in self.fs.listStatus(self.hadoop.Path(self.path(table))):
             old = found.getPath()
-            if old.getName().startswith("v-") and old.getName() not in kept:
+            if old.getName() not in kept and old.getName().startswith(("v-", "m-", "version=")):
                 self.fs.delete(old, True)
 
+    def current(self, table: str) -> str | None:
+        """The folder that holds a table now; None if it was never written."""
+        name = self._named(table)
+        return name if name is None else f"{self.path(table)}/{name}"
+
+    def versions(self, manifest: str | None) -> dict[int, str]:
+        """The version of each municipality's numbers: as many entries as municipalities."""
+        if manifest is None:
+            return {}
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path('banchi')}/{manifest}").collect()
+        return {r["lg_code"]: r["version"] for r in rows}
+
+    def read(self, table: str) -> DataFrame:
+        """A table; empty if it was never written."""
+        at = self.current(table)
+        if at is None:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        if table != "banchi":
+            return self.spark.read.schema(SCHEMAS[table]).parquet(at)
+        top = self.path(table)
+        folders = [f"{top}/version={v}/lg_code={code}" for code, v in sorted(self.versions(self._named(table)).items())]
+        names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+        return self.spark.read.schema(f"{SCHEMAS[table]}, version string").option("basePath", top).parquet(*folders).select(*names)
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """Write beside, then switch. Rows may come from the table itself."""
+        names = [c.strip().split()[0] for c in SCHEMAS[table].split(", ")]
+        before, name = self._named(table), f"v-{uuid.uuid4().hex}"
+        rows.select(*names).write.parquet(f"{self.path(table)}/{name}")
+        self._switch(table, name)
+        self._forget(table, {name, before or ""})
+
     def upsert(self, table: str, rows: DataFrame, key: list[str]) -> None:
         self.replace(table, self.read(table).join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows))
 
     def put_numbers(self, rows: DataFrame) -> None:
-        """The lists of the towns and kinds among the rows replace those held. Numbers lie in
-        one folder for each municipality, sorted so that row groups are pruned by town and
-        first number; only the municipalities that get rows are rewritten."""
-        new = stored(rows)
+        """The lists of the towns and kinds among the rows replace those held, all at once.
+        Numbers lie in one folder for each municipality and version, sorted so that row
+        groups are pruned by town and first number; only the municipalities that get rows are
+        written anew. Folders that neither this nor the last state uses are deleted."""
+        new, version, before = stored(rows), uuid.uuid4().hex, self._named("banchi")
+        codes = [r["lg_code"] for r in new.select("lg_code").distinct().collect()]  # municipalities
+        if not codes:
+            return
+        now = self.versions(before)
         held = self.read("banchi").join(new.select("lg_code").distinct(), "lg_code", "left_semi")
         rest = held.join(new.select("lg_code", "machiaza_id", "kind").distinct(), ["lg_code", "machiaza_id", "kind"], "left_anti")
-        both = stored(rest.unionByName(new.select(*rest.columns)))
+        both = rest.unionByName(new.select(*rest.columns))
         out = both.repartition("lg_code", F.pmod("machiaza_id", F.lit(SPLITS))).sortWithinPartitions("lg_code", "machiaza_id", "kind", "num1", "num2", "num3")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lg_code").parquet(self.path("banchi"))
+        out.write.partitionBy("lg_code").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.path('banchi')}/version={version}")
+        following = now | dict.fromkeys(codes, version)
+        name = f"m-{uuid.uuid4().hex}"
+        self.spark.createDataFrame(list(following.items()), MANIFEST).coalesce(1).write.parquet(f"{self.path('banchi')}/{name}")
+        self._switch("banchi", name)
+        self._forget("banchi", {name, before or "", *(f"version={v}" for v in (*now.values(), *following.values()))})
 
     def lookup(self, lg_code: int, machiaza_id: int, kind: int, num1: int | None = None) -> DataFrame:
         own = self.read("banchi").where((F.col("lg_code") == lg_code) & (F.col("machiaza_id") == machiaza_id) & (F.col("kind") == kind))

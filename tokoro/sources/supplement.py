@@ -15,7 +15,7 @@ HEADERS = {"都道府県名": "pref", "市区町村名": "city", "大字町丁
 def read_supplement(spark: SparkSession, path: str) -> DataFrame:
     """(ord, pref, city, town, koaza, lat, lon) in file order; rows without a town are
     dropped, coordinates that aren't numbers are null."""
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.csv(path, header=True, escape='"')  # quotes inside quotes are doubled
     text = lambda h: F.trim(F.coalesce(F.col(f"`{h}`"), F.lit("")))
     out = rows.select(F.monotonically_increasing_id().alias("ord"), *(text(h).alias(n) if n not in ("lat", "lon") else text(h).try_cast("double").alias(n) for h, n in HEADERS.items()))
     return out.where("town <> ''")
