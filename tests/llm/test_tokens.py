@@ -1,6 +1,7 @@
 """Operators 2, 3, 8 and 10 against the tokenizer libraries and brute force."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -183,6 +184,17 @@ def test_bin_completion_of_many_pieces():
     assert worse > 3
 
 
+def test_a_search_without_bound_ends_at_the_optimum():
+    """Where four nodes don't find the fewest, no bound on nodes does, and it is proven."""
+    r, better = random.Random(12), 0
+    for _ in range(60):
+        items = [r.randint(3, 14) for _ in range(9)]
+        best = sum(n for n, _ in packing.complete(Counter(items), 20, math.inf))
+        assert best == fewest(items, 20)
+        better += sum(n for n, _ in packing.best_fit(Counter(items), 20)) > best
+    assert better
+
+
 def test_dropped_levels_are_taken_up_again(monkeypatch):
     """The search is the same whether it keeps all its levels or makes them anew."""
     r = random.Random(21)

@@ -139,7 +139,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, at: str) -> Data
 
 def read_records(manifest: DataFrame, at: str) -> DataFrame:
     """Per record of the manifest's files: doc_id, the ids of all records before it, number
-    of ids and their checksum. Records are read where the offset index says."""
+    of ids and their checksum. A file is read from front to back, each record held against the
+    offset index's entry; ``read_shuffled`` and ``read_one`` go by the index alone."""
 
     def read(batches):
         store, _ = filesystem(at)

@@ -76,7 +76,8 @@ class BacktrackBPE(ByteLevelCutter):
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether merging leaves the border between the two tokens alone. The tokens are
         taken apart, the later merge first, and at each step the tokens that then touch
-        the border must not merge sooner than those merges took place."""
+        the border must not merge sooner than those merges took place. The test is that of the
+        ``bpe`` crate (github.com/github/rust-gems, MIT licence)."""
         left, right = pair
         until = 1 << 60
         while True:

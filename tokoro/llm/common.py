@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -95,12 +97,28 @@ def held_alone(name, make: Callable):
     """A worker's large state by name: a model, a coder, a table. A worker holds one at a
     time, so that what a stage of a pipeline leaves behind goes when the next one begins."""
     if _HELD.get("name") != name:
-        _HELD.clear()
+        let_go()
         _HELD["value"] = make()
         _HELD["name"] = name
     return _HELD["value"]
 
 
+def let_go() -> None:
+    """Drop what an earlier stage left in this worker, and return it to the system."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep what the largest batches took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a GNU function
+    if trim is not None:
+        trim(0)
+
+
 class WorkerCache(dict):
     """Values by key, made on demand, in two generations, each of at most ``limit`` entries
     and ``limit_bytes`` bytes of keys and values.

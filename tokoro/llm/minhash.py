@@ -41,13 +41,12 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import held_alone, id_and_text, map_arrow, shared_dir, spread_join, written
+from tokoro.llm.common import held_alone, id_and_text, let_go, map_arrow, shared_dir, spread_join, written
 
 WORDS, ROWS, LANES, BITS, SEED = 5, 5, 2048, 4, 20240229
 PER_CENT, MARGIN, BLOCK, MISSED = 85, 0.045, 256, 1e-6
@@ -147,6 +146,7 @@ def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
 
 def shingle_sets(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches):
+        let_go()
         for batch in batches:
             n, digest, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -410,10 +410,10 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         return docs.where("doc_id is null").unionByName(left.select(docs.columns))
     shared, name = docs.sparkSession.sparkContext.broadcast(zlib.compress(known.tobytes(), 1)), uuid.uuid4().hex
 
-    @F.pandas_udf("boolean")
-    def let_through(at: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def let_through(at: pa.Array) -> pa.Array:
         bits, at = _worker_map(name, shared), at.to_numpy()
-        return pd.Series((bits[at >> 6] >> (at & 63) & 1).astype(bool))
+        return pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool))
 
     through = docs["doc_id"].isNotNull() & let_through(F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
     few = docs.where(through).join(dropped, "doc_id", "left_anti")

@@ -15,7 +15,7 @@ Depth-first search over the choices stops a branch whose waste so far exceeds wh
 packing better than the incumbent may waste, and ends at the lower bound, when nothing is
 left to try (the incumbent is then proven to be best) or after ``nodes`` nodes beyond the
 first dive; then the incumbent is the result. ``STEPS`` lengths looked at within a filling
-count as a node.
+count as a node. ``nodes=math.inf`` searches without that end, until the packing is proven.
 
 Placing. Each task numbers its pieces of a length; offsets over (length, task) counts make
 that a gapless rank with no window over a whole length (a third of all pieces may share

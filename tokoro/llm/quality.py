@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import id_and_text, map_arrow, shared_dir, written
+from tokoro.llm.common import id_and_text, let_go, map_arrow, shared_dir, written
 from tokoro.llm.labelled import class_weights, held_out, sample
 
 FEATURES, RIDGE, MOST, SEED = 256, 1.0, 10_000, 7
@@ -195,6 +195,7 @@ def keep(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float
     at = docs.columns.index("text")
 
     def run(batches):
+        let_go()
         for batch in batches:
             stats = [statistics(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(model.score(np.array(stats).reshape(-1, N_STATS)) >= threshold))

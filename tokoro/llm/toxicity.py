@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import WorkerCache, held_alone, id_and_text, map_arrow, shared_dir, written
+from tokoro.llm.common import WorkerCache, give_back, held_alone, id_and_text, map_arrow, shared_dir, written
 from tokoro.llm.labelled import class_counts, held_out, one_text, sample, within_bytes
 
 WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1500
@@ -408,7 +408,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     sampled = written(one_text(sample(docs, labels, label, most)), f"{shared_dir(docs.sparkSession)}/sample")
     rows = within_bytes(sampled, MOST_BYTES).select("doc_id", "text", "label").collect()
     ordered = sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
-    return train([(t, y) for _, t, y in ordered], class_counts(labels, label))
+    model = train([(t, y) for _, t, y in ordered], class_counts(labels, label))
+    del rows, ordered
+    give_back()
+    return model
 
 
 def worker_scorer(name: str, model) -> Scorer:
