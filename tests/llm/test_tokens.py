@@ -14,7 +14,7 @@ import tiktoken
 from conftest import EDGE
 from tokenizers import Tokenizer
 
-from tokoro.llm import binary_records, byte_bpe, packing, token_counts
+from tokoro.llm import binary_records, byte_bpe, packing, subwords, token_counts
 from tokoro.llm.common import WorkerCache, shared_dir
 
 WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -136,6 +136,23 @@ def test_packing(spark, make):
     assert packing.pack_documents(make([]), BYTE).count() == 0
 
 
+def test_plain_texts_take_one_look_up_a_pre_token(monkeypatch):
+    """Whatever marks and line ends stand around a word, it is cut once and tokenized once."""
+    coder, lib, r = subwords.ByteBPE(BYTE), Tokenizer.from_file(BYTE), random.Random(8)
+    made, tokenize = [], coder.tokenize
+    coder.tokenize = lambda w: made.append(w) or tokenize(w)
+    parts = ["a", "Bé", " ", "  ", "\n", "\t ", "'s", "'", "12", "the", "ing", ".", "|", "==", "ß", "\x0b"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["", " ", "the|>the", "x" * 3000 + " y"]
+    for long in (1 << 20, 5):
+        monkeypatch.setattr(subwords, "LONG_TEXT", long)
+        for t in texts:
+            assert coder.ids(t.encode()) == struct.pack(f"<{len(x := lib.encode(t, add_special_tokens=False).ids)}I", *x)
+    assert not coder.chunks and not coder.first
+    assert len([w for w in made if len(w) < 1000]) == len({w for w in made if len(w) < 1000})
+    for t in ("a<|endoftext|>b the", "the \u2019s 漢字 the", "a\x00b  c\u00a0d"):  # not plain: as before
+        assert coder.ids(t.encode()) == struct.pack(f"<{len(x := lib.encode(t, add_special_tokens=False).ids)}I", *x)
+
+
 def fewest(items, capacity):
     items, best = sorted(items, reverse=True), [len(items)]
 

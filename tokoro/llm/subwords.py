@@ -3,6 +3,10 @@
 Both vocabularies cut a text at places that don't depend on what stands further away, so a
 text's ids are the ids of its chunks put together, and most chunks repeat. Each rule below
 says where a cut is safe; a text that breaks the rule goes through the library whole.
+
+``ByteBPE`` cuts texts of ASCII and Latin letters alone into the vocabulary's own
+pre-tokens in one pass, so that one look-up gives a pre-token's ids, and one call of the
+library those of a new one.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ import struct
 
 from tokoro.llm.common import WorkerCache, held_alone
 
-CHUNKS, PRETOKENS = 150_000, 150_000
+CHUNKS, PRETOKENS, PLAIN_PRETOKENS = 150_000, 150_000, 300_000
+#: Characters of a text from which on its pre-tokens aren't held all at once.
+LONG_TEXT = 1 << 20
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 #: Marks that are a pre-token by themselves behind a word.
@@ -32,8 +38,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def pack_ids(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def each_match(pattern: re.Pattern, text: str):
+    """All matches of a pattern without groups, of a very long text one by one."""
+    return pattern.findall(text) if len(text) < LONG_TEXT else (m[0] for m in pattern.finditer(text))
 
 
 def cut_at_spaces(text: bytes) -> list[bytes] | None:
@@ -134,11 +148,22 @@ class ByteBPE(ByteLevelCutter):
 
         self.library = Tokenizer.from_file(path)
         self.letters = dict(enumerate(byte_letters()))
+        self.tokenize = self.library.model.tokenize
         super().__init__(self.KNOWN)
+        self.pretokens = WorkerCache(self.pretoken, PLAIN_PRETOKENS)
 
     def pretoken(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        return pack_ids([t.id for t in self.library.model.tokenize(mapped)])
+        if word.isascii() and word.isprintable():  # of these the space alone has another letter
+            mapped = word.replace(" ", self.letters[32])
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+        return pack_ids([t.id for t in self.tokenize(mapped)])
+
+    def ids(self, text: bytes) -> bytes:
+        plain = text.decode()
+        if self.PLAIN.fullmatch(plain) and "<|" not in plain:
+            return b"".join(map(self.pretokens.__getitem__, each_match(self.PARTS, plain)))
+        return super().ids(text)
 
     def whole(self, text: str) -> bytes:
         return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
