@@ -153,6 +153,34 @@ def test_plain_texts_take_one_look_up_a_pre_token(monkeypatch):
         assert coder.ids(t.encode()) == struct.pack(f"<{len(x := lib.encode(t, add_special_tokens=False).ids)}I", *x)
 
 
+def test_plain_texts_share_one_cache_of_pieces(monkeypatch, word):
+    """Case and marks don't have a word tokenized again, and the ids are the library's."""
+    coder, r = subwords.WordBPE(WORD), random.Random(5)
+    made, tokenize = [], coder.tokenize
+    coder.tokenize = lambda w: made.append(w) or tokenize(w)
+    parts = ["a", "BÉ", "bé", " ", "  ", "\n", "\t ", "'s", "'S", "'", "12", "The", "ing", ".", "|", "==", "ß", "\x0b", "÷"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["", " ", "the|>The, THE", "x" * 3000 + " y"]
+    for long in (1 << 20, 5):
+        monkeypatch.setattr(subwords, "LONG_TEXT", long)
+        for t in (x for x in texts if "÷" not in x):
+            assert coder.ids(t.encode()) == struct.pack(f"<{len(x := word.encode(t, add_special_tokens=False).ids)}I", *x)
+    assert not coder.chunks
+    assert len([w for w in made if len(w) < 1000]) == len({w for w in made if len(w) < 1000})
+    for t in [x for x in texts if "÷" in x] + ["a<|endoftext|>B the", "The \u2019s 漢字 the", "a\x00b  E\u0301\u00a0d"]:  # not plain
+        assert coder.ids(t.encode()) == struct.pack(f"<{len(x := word.encode(t, add_special_tokens=False).ids)}I", *x)
+
+
+def test_a_payload_holds_its_ids_as_they_are():
+    ids = np.array([5, 65_535, 0, 2], "<u4")
+    for width in (2, 4):
+        data = binary_records.payload(9, ids, width)
+        assert data[14:] == ids.astype(f"<u{width}").tobytes()
+        assert (got := binary_records.parse(data))[0] == 9 and got[1].tolist() == ids.tolist()
+        for damaged in (data[:-width], data + b"\0"):
+            with pytest.raises(ValueError):
+                binary_records.parse(damaged)
+
+
 def fewest(items, capacity):
     items, best = sorted(items, reverse=True), [len(items)]
 

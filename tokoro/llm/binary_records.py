@@ -6,7 +6,7 @@ checksum is CRC-32 rotated right by 15 bits plus 0xa282ead8 (a fixed value of th
 format), so that data holding checksums of its own stays checkable. A payload is a
 byte that says whether there is an id, the bytes of a token id (2, or 4 where the
 vocabulary or the end id needs it), the id (signed 64-bit), the document's number of tokens
-(unsigned 32-bit) and its ids, deflated at level 1. Beside each file lies ``<file>.idx``:
+(unsigned 32-bit) and its ids. Beside each file lies ``<file>.idx``:
 per record doc_id, byte offset in the file, and ids of the file's records before it, so that
 records can be read in any order (``read_shuffled``). Reading back goes by these offsets and
 tests every checksum.
@@ -40,6 +40,8 @@ from tokoro.llm.subwords import word_bpe
 MASK_DELTA = 0xA282EAD8
 #: A file is closed and the next one begun beyond so many bytes.
 FILE_BYTES = 128 << 20
+#: Bytes of a payload before its ids.
+HEAD = struct.calcsize("<?BqI")
 MANIFEST = "part int, file int, path string, first_doc long, records long, tokens long, bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -67,15 +69,14 @@ def unframe(stream) -> Iterator[bytes]:
 
 
 def payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    return struct.pack("<?BqI", doc_id is not None, width, doc_id or 0, len(ids)) + zlib.compress(ids.astype(f"<u{width}").tobytes(), 1)
+    return struct.pack("<?BqI", doc_id is not None, width, doc_id or 0, len(ids)) + ids.astype(f"<u{width}").tobytes()
 
 
 def parse(data: bytes) -> tuple[int | None, np.ndarray]:
     known, width, doc_id, n = struct.unpack_from("<?BqI", data)
-    ids = np.frombuffer(zlib.decompress(data[14:]), f"<u{width}").astype("<u4")
-    if len(ids) != n:
+    if len(data) != HEAD + n * width:
         raise ValueError("damaged record")
-    return doc_id if known else None, ids
+    return doc_id if known else None, np.frombuffer(data, f"<u{width}", n, HEAD).astype("<u4")
 
 
 def filesystem(uri: str):

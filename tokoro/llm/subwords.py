@@ -4,9 +4,10 @@ Both vocabularies cut a text at places that don't depend on what stands further
 text's ids are the ids of its chunks put together, and most chunks repeat. Each rule below
 says where a cut is safe; a text that breaks the rule goes through the library whole.
 
-``ByteBPE`` cuts texts of ASCII and Latin letters alone into the vocabulary's own
-pre-tokens in one pass, so that one look-up gives a pre-token's ids, and one call of the
-library those of a new one.
+Texts of ASCII and Latin letters alone take a shorter way. ``ByteBPE`` cuts them into the
+vocabulary's own pre-tokens in one pass, so that one look-up gives a pre-token's ids, and
+one call of the library those of a new one. ``WordBPE`` lower-cases them whole and cuts at
+white space; pieces and the pre-tokens inside them share one cache.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 #: Marks that are a pre-token by themselves behind a word.
 MARKS = b".,;:!?"
+TEXT_MARKS = frozenset(MARKS.decode())
 #: White space beyond ASCII (in UTF-8; the third also begins other punctuation).
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe2\x80", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 SPACE_AFTER_SPACE = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
@@ -66,7 +68,9 @@ class WordBPE:
     unsigned 32-bit ids."""
 
     PLAIN = re.compile(rf"[!-~{LATIN}]+")
+    PLAIN_TEXT = re.compile(rf"[\t-\r -~{LATIN}]*")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PIECE = re.compile(r"\S+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,26 +78,35 @@ class WordBPE:
         self.library = Tokenizer.from_file(path)
         self.largest = max(self.library.get_vocab(with_added_tokens=True).values())
         self.letters = byte_letters()
-        self.pretokens = WorkerCache(self._pretoken, PRETOKENS)
+        self.tokenize = self.library.model.tokenize
+        self.pieces = WorkerCache(self._piece, PLAIN_PRETOKENS)  # of plain texts, lower-cased
         self.chunks = WorkerCache(self._chunk, CHUNKS)
 
     def _pretoken(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        return pack_ids([t.id for t in self.library.model.tokenize(word)])
+        return pack_ids([t.id for t in self.tokenize(word)])
+
+    def _piece(self, piece: str) -> bytes:
+        # Most pieces seen for the first time are words, with or without a mark behind.
+        if piece.isalpha() or len(piece) == 1:
+            return self._pretoken(piece)
+        if piece[:-1].isalpha() and piece[-1] in TEXT_MARKS:
+            return self.pieces[piece[:-1]] + self.pieces[piece[-1]]
+        parts = self.PARTS.findall(piece)
+        return self._pretoken(piece) if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def _chunk(self, chunk: bytes) -> bytes:
-        # Most chunks seen for the first time are ASCII words, with or without a mark behind.
-        if chunk.isalpha():
-            return self.pretokens[chunk.lower().decode()]
-        if chunk[:-1].isalpha() and chunk[-1] in MARKS:
-            return self.pretokens[chunk[:-1].lower().decode()] + self.pretokens[chr(chunk[-1])]
         word = chunk.decode()
-        if not self.PLAIN.fullmatch(word) or "<|" in word:
+        if not chunk.isalpha() and (not self.PLAIN.fullmatch(word) or "<|" in word):
             return pack_ids(self.library.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pretokens.__getitem__, self.PARTS.findall(word.lower())))
+        return self.pieces[word.lower()]
 
     def ids(self, text: bytes) -> bytes:
+        plain = text.decode()
+        if self.PLAIN_TEXT.fullmatch(plain) and "<|" not in plain:
+            plain = plain.lower()
+            return b"".join(map(self.pieces.__getitem__, plain.split() if len(plain) < LONG_TEXT else each_match(self.PIECE, plain)))
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
