@@ -436,3 +436,27 @@ def test_toxicity_beside_a_labelled_text_of_nine_megabytes(spark):
         scores.append(np.array(toxicity.Scorer(model).scores([t for _, t, _ in rows])))
     assert np.abs(scores[0] - scores[1]).max() < 0.02
     assert scores[1][1::2].max() < 0.5 < scores[1][::2].min()
+
+
+def test_words_are_projected_once_while_the_table_has_room(monkeypatch):
+    """Case and marks are no new word, 70,000 words stay in the table, and scores don't
+    depend on what was dropped from it."""
+    rows = [(f"word{i % 7} good{i % 5} fine", 0) for i in range(40)] + [(f"word{i % 7} bad{i % 5} vile", 1) for i in range(40)]
+    model = toxicity.train(rows, (40, 40))
+    scorer, made, vectors = toxicity.Scorer(model), [], model.vectors
+    monkeypatch.setattr(model, "vectors", lambda words: made.extend(words) or vectors(words))
+    texts = [" ".join(f"{k}w{i}" for i in range(7000)) for k in range(10)]
+    scorer.scores(texts)
+    scorer.scores(["a"])
+    scorer.scores([t.replace("w", "W").replace(" ", ", ") for t in texts])
+    assert len(made) == len(set(made)) == 70_001
+    own = [t for t, _ in rows] + ["", "| |", "Bad1! (vile)", "x" * 900]
+    want = toxicity.Scorer(model).scores(own)
+    monkeypatch.setattr(toxicity.Scorer, "ROWS", 2)
+    for limit in ("KEEP", "KEYS", "KEEP_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity.Scorer, limit, 1)
+            small = toxicity.Scorer(model)
+            assert np.allclose([small.scores([t])[0] for t in own], want, rtol=1e-5)
+            small.forget()
+            assert len(small.table) == 2 and small.row == {"": 0}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokoro.llm.common import WorkerCache, give_back, held_alone, id_and_text, map_arrow, shared_dir, written
+from tokoro.llm.common import give_back, held_alone, id_and_text, map_arrow, shared_dir, written
 from tokoro.llm.labelled import class_counts, held_out, one_text, sample, within_bytes
 
 WINDOW, STRIDE, HIDDEN, EMBED, MOST = 32, 16, 8, 6, 1500
@@ -84,7 +84,7 @@ class Inputs:
         word = np.array([self.words.get(w, 0) for w in words], "i8")
         known, found, n = self.grams.get, array("i"), array("i")
         for w in words:
-            own = [i for g in grams(w) if (i := known(g))] or [0]
+            own = list(filter(None, map(known, grams(w)))) or [0]
             found.extend(own)
             n.append(len(own))
         flat, n = np.frombuffer(found, "i4"), np.frombuffer(n, "i4")
@@ -216,26 +216,39 @@ class Model:
 
 
 class Scorer:
-    """A worker's network with the projected inputs of the words it has met."""
+    """A worker's network with the projected inputs of the words it has met.
 
-    ROWS = 120_000
+    What stands between white space is looked up as it is, lower-cased: ``row`` gives the
+    table's row of its word. All is dropped beyond ``KEEP`` words, ``KEYS`` keys or
+    ``KEEP_BYTES`` characters of keys."""
+
+    KEEP, KEYS, KEEP_BYTES, ROWS = 300_000, 600_000, 48 << 20, 360_000
 
     def __init__(self, model: Model):
         self.model = model
         self.table = np.zeros((self.ROWS, 6 * HIDDEN), "f4")
+        self.forget()
+
+    def forget(self) -> None:
         self.row: dict[str, int] = {"": 0}  # marks alone are no word
-        self.chunks = WorkerCache(clean, 100_000)
+        self.filled, self.held = 1, 0
+        self.table = self.table[: self.ROWS]
 
     def _rows(self, texts: list[str]) -> list[np.ndarray]:
         """The table's rows of each text's words; those of new words are filled."""
-        own = [list(map(self.chunks.__getitem__, t.split())) for t in texts]
-        row = self.row
-        new = list({w for words in own for w in words if w not in row})
-        for k, w in enumerate(new, len(row)):
-            row[w] = k
-        while len(row) > len(self.table):  # only where one batch alone has so many words
+        own = [t.lower().split() for t in texts]
+        row, new, first = self.row, [], self.filled
+        for piece in set().union(*own).difference(row):
+            word = piece.strip(EDGE)
+            k = row.get(word)
+            if k is None:
+                k = row[word] = first + len(new)
+                new.append(word)
+            row[piece] = k
+            self.held += len(piece)
+        self.filled += len(new)
+        while self.filled > len(self.table):  # only where one batch alone has so many words
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        first = len(row) - len(new)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.table[first + at : first + at + len(part)] = self.model.vectors(part)
@@ -243,9 +256,8 @@ class Scorer:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The worst window's logit of each text."""
-        if len(self.row) > self.ROWS // 2:
-            self.row = {"": 0}
-            self.table = self.table[: self.ROWS]
+        if self.filled > self.KEEP or len(self.row) > self.KEYS or self.held > self.KEEP_BYTES:
+            self.forget()
         best = np.full(len(texts), -np.inf)
         pending, owners = [], []
         for k, ids in enumerate(self._rows(texts)):
