@@ -201,3 +201,42 @@ def test_geocoding_without_broadcasts_is_the_same(spark):
     queries = world.queries(spark, ["架空県汐見市若葉三丁目4番6号", "汐見市苦葉", "風待町貝浜免12番地3", "架空県", "無い"])
     rows = [sorted(geocode(queries, i).select("qid", "address", "granularity", "note_code").collect()) for i in (world.index(spark), replace(world.index(spark), broadcast_bytes=0))]
     assert rows[0] == rows[1]
+
+
+def crowd(spark, n=40):
+    """The small world with n more towns of one name; rows from 100 on."""
+    index = world.index(spark)
+    more = spark.createDataFrame([(100 + i, 70000 + i) for i in range(n)], "row_id int, machiaza_id int")
+    more = index.towns.where("row_id = 6").drop("row_id", "machiaza_id").crossJoin(more).select(index.towns.columns)
+    towns = stored(index.towns.unionByName(more))
+    keys = stored(index.keys.unionByName(index.keys.where("row_id = 6").drop("row_id").crossJoin(more.select("row_id"))))
+    return replace(index, towns=towns, heads=stored(index.heads), keys=keys)
+
+
+def test_towns_of_one_name_are_met_once(spark):
+    """A text meets towns that are alike as one group, as many as there are; ends, lists and
+    extensions are those of a plain reading."""
+    index, towns = crowd(spark), [6, 7, *range(100, 140)]
+    texts = spark.createDataFrame([(i, q) for i, q in enumerate(["試作府雲井市東区小文字町9", "雲井市東区小文字町9", "架空県汐見市若葉三丁目4", "雲井市東区小文", "架空県汐見市若葉77"])], "qid long, norm string")
+    hits = candidates.alike_hits(texts, index)
+    assert sorted((r["qid"], r["alike"]) for r in hits.collect()) == [(0, 6), (1, 6), (2, 0), (2, 1), (4, 0)]
+    state = {r["qid"]: (r["n"], r["first_row"], r["last_row"]) for r in candidates.forward(texts, index).collect()}
+    assert state == {0: (12, 6, 139), 1: (9, 6, 139), 2: (11, 1, 1), 3: (None, None, None), 4: (8, 0, 0)}
+    for cap in (None, 1, 3, 41, 99):
+        got = {}
+        for r in candidates.forward_candidates(texts, index, cap).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["row_id"], r["n"]))
+        assert got[0] == [(k + 1, t, 12) for k, t in enumerate(towns[:cap])] and [t for _, t, _ in got[1]] == towns[:cap]
+        assert got[2] == [(1, 1, 11), (2, 0, 8)][:cap] and 3 not in got
+    for cap in (1, 3, 99):
+        assert [r["row_id"] for r in candidates.extensions(texts.where("qid = 3"), index, cap).orderBy("rank").collect()] == towns[:cap]
+
+
+def test_a_perturbed_town_is_found_among_many_of_its_name(spark):
+    """Recall counts all candidates, not the first that a question has room for, and no list
+    of candidates is made for it."""
+    from tokoro.config import Config
+    from tokoro.plans.evaluate import evaluate_perturbations
+
+    got = {r["condition"]: r for r in evaluate_perturbations(crowd(spark), Config(max_options=3), ("as_is", "drop_pref")).collect()}
+    assert (got["as_is"]["n"], got["as_is"]["recall"], got["drop_pref"]["recall"]) == (51, 1.0, 1.0)
