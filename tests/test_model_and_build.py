@@ -260,6 +260,28 @@ def test_a_failed_request_drops_its_own_chunk(spark):
     assert notes[0][0] == "machiaza" and notes[1][0] == "city"  # the second got no answer: no confidence
 
 
+def test_candidates_are_listed_once_for_all_texts_that_share_them(spark, monkeypatch):
+    """What a question's options are made of doesn't grow with the queries of a city: areas,
+    survivors, and towns by display."""
+    from tokoro.plans import decide
+
+    seen, group = [], decide.group_first
+
+    def counted(candidates, *a):
+        seen.append(candidates.count())
+        return group(candidates, *a)
+
+    monkeypatch.setattr(decide, "group_first", counted)
+    index, cfg, made, notes = world.index(spark), Config(max_options=3, narrow_max_machiaza=100, narrow_token_budget=1), [], []
+    for n in (1, 12):
+        seen.clear()
+        texts = [f"{q}{k}番" for k in range(n) for q in ("架空県汐見市苦葉三丁目", "試作府雲井市東区小文字町", "風待町貝浜")]
+        rows, usage = geocode_with_model(world.queries(spark, texts), index, cfg, Fake())
+        notes.append(sorted({(r["machiaza"], r["note_code"]) for r in rows.collect()}))
+        made.append((list(seen), usage["narrow_requests"] / n))
+    assert made[0] == made[1] and made[0][1] > 1 and notes[0] == notes[1] and len(notes[0]) == 3
+
+
 class Counting:
     """Says in each decision how many requests are under way in its worker."""
 
