@@ -240,3 +240,45 @@ def test_a_perturbed_town_is_found_among_many_of_its_name(spark):
 
     got = {r["condition"]: r for r in evaluate_perturbations(crowd(spark), Config(max_options=3), ("as_is", "drop_pref")).collect()}
     assert (got["as_is"]["n"], got["as_is"]["recall"], got["drop_pref"]["recall"]) == (51, 1.0, 1.0)
+
+
+def test_all_candidates_are_listed_and_grouped(spark):
+    """More towns than a question has room for: every one has its rank, and groups count all."""
+    from tokoro.functions.names import display
+
+    index, n = crowd(spark, 300), 302
+    texts = spark.createDataFrame([(i, f"試作府雲井市東区小文字町{i}") for i in range(3)] + [(9, "架空県汐見市若葉三丁目4")], "qid long, norm string")
+    ranks = [(r["rank"], r["row_id"]) for r in candidates.forward_candidates(texts, index).where("qid = 1").orderBy("rank").collect()]
+    assert ranks == [(k + 1, t) for k, t in enumerate([6, 7, *range(100, 400)])] and len(ranks) == n
+    shown = candidates.forward_displays(texts, index, display("pref", "county", "city", "ward", "oaza_cho", "chome", "koaza"))
+    assert shown.columns == ["qid", "option", "display", "row_id", "size"]
+    got = sorted(map(tuple, shown.collect()))
+    assert got == [(i, 0, "試作府雲井市東区小文字町", 6, n) for i in range(3)] + [(9, 0, "架空県汐見市若葉三丁目", 1, 1), (9, 1, "架空県汐見市若葉", 0, 1)]
+
+
+def test_pairs_are_made_once_without_comparing_them(spark):
+    """Two heads of a place, one the beginning of the other, meet one key twice; where there
+    are none such, pairs aren't dealt out to find them."""
+    towns = spark.createDataFrame([(0, 1, 1, 0, "", "", "甲市", "", "町", "", "", "")], "row_id int, lg_code int, machiaza_id int, rsdt_addr_flg int, pref string, county string, city string, ward string, oaza_cho string, chome string, chome_number string, koaza string")
+    heads = stored(spark.createDataFrame([("甲市", 1), ("甲市町", 1), ("乙市", 2)], "head string, place int"))
+    keys = stored(spark.createDataFrame([(1, "町町", 0), (1, "町", 0), (2, "町", 5)], "place int, tail string, row_id int"))
+    index = replace(world.index(spark), towns=towns, heads=heads, keys=keys)
+    texts = stored(spark.createDataFrame([(1, "甲市町町1"), (2, "乙市町1"), (3, "丙")], "qid long, norm string"))
+    assert candidates.town_hits(texts, index).count() == 4
+    assert sorted(map(tuple, candidates.town_pairs(texts, index).collect())) == [(1, 0, 3), (1, 0, 4), (2, 5, 3)]
+    plain = replace(index, heads=stored(heads.where("head <> '甲市町'")))
+    pairs = candidates.town_pairs(texts, plain)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 0, 3), (1, 0, 4), (2, 5, 3)]
+    assert "Exchange hash" not in pairs._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_reports_read_written_results(spark):
+    """The plans of reports hold their results' plan not once for each aggregation."""
+    from tokoro.plans.evaluate import distance_report, stop_reasons
+
+    rows = spark.range(100).select(F.col("id").alias("qid"), F.concat(F.lit("q"), "id").alias("query"), F.when(F.col("id") % 3 == 0, "A").otherwise("").alias("note_code"), (F.col("id") * 20.0).alias("m"))
+    reasons, report = stop_reasons(rows), distance_report(rows, "m", 1000)
+    assert [(r["note_code"], r["queries"], r["samples"]) for r in reasons.collect()] == [("A", 34, ["q0", "q3", "q6"])]
+    assert tuple(report.first()) == (100, 1000.0, 1800.0, 49)
+    for df in (reasons, report):
+        assert "Range (" not in df._jdf.queryExecution().optimizedPlan().toString()
